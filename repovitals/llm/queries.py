@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_count, token_huffman
+from . import decontaminate, partenum, source_mix, token_count, token_huffman
 from .common import new_path
 
 
@@ -26,12 +26,27 @@ def op1_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_huffman.read(spark, path, with_ids=False)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_huffman": op1_token_huffman,
+    "op2_decontaminate": op2_decontaminate,
+    "op8_source_mix": op8_source_mix,
+    "op9_partenum": op9_partenum,
     "op10_token_counts": op10_token_counts,
 }
 
