@@ -45,7 +45,8 @@ def targets(sources: DataFrame) -> DataFrame:
     before, every = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     total = F.sum("source_size").over(every)
     level = (total - EPOCHS * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level).withColumn("level", F.min(F.when(EPOCHS * F.col("source_size") >= F.col("weight") * F.col("level"), F.col("level"))).over(every))
+    open_at = F.when(EPOCHS * F.col("source_size") >= F.col("weight") * F.col("level"), F.struct((F.col("source_size") / F.col("weight")).alias("at"), "source_id", "level"))
+    ranked = ranked.withColumn("level", level).withColumn("level", F.min(open_at).over(every)["level"])  # of the first source below its stop
     target = F.least((EPOCHS * F.col("source_size")).cast("double"), F.coalesce(F.col("weight") * F.col("level"), F.lit(0.0)))
     return ranked.withColumn("target", target).withColumn("quota", F.round("target").cast("long")).drop("level")
 

@@ -40,8 +40,8 @@ def test_mix(spark):
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1
     again = source_mix.mix(docs.repartition(3)).collect()
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
-    assert sorted(map(tuple, got), key=lambda r: (r[0] is None, *r[1:], r[0] or 0)) == sorted(map(tuple, again), key=lambda r: (r[0] is None, *r[1:], r[0] or 0)) and key
+    key = lambda r: (r[0] is None, *r[1:], r[0] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, again), key=key)
 
 
 def test_mix_order_is_even(spark):
@@ -50,7 +50,7 @@ def test_mix_order_is_even(spark):
     slots = defaultdict(list)
     for r in parts.select("source_id", "slot").distinct().collect():
         slots[r["source_id"]].append(r["slot"])
-    n = max(map(max, slots.values())) + 1
+    n = -(-60_000 // source_mix.BLOCK)  # drawn slots; the few late ones come after
     for s, places in slots.items():  # every source's share of the first half is its share of all
         assert abs(sum(p < n / 2 for p in places) - len(places) / 2) <= 4, s
 
