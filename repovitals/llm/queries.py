@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, partenum, source_mix, token_count, token_huffman
-from .common import new_path
+from . import decontaminate, langid, partenum, source_mix, token_count, token_huffman
+from .common import fold, new_path
 
 
 def tokenizer_path() -> str:
@@ -30,6 +31,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_fold(docs))
+    return langid.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_huffman": op1_token_huffman,
     "op2_decontaminate": op2_decontaminate,
+    "op7_langid": op7_langid,
     "op8_source_mix": op8_source_mix,
     "op9_partenum": op9_partenum,
     "op10_token_counts": op10_token_counts,
