@@ -11,6 +11,7 @@ and every other kind of tokenizer takes the library's own path whole."""
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import regex
@@ -19,12 +20,16 @@ from tokenizers import Tokenizer
 #: Fixed value: the pre-token pattern of this kind of tokenizer.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: White space of either library beside the space and the line feed; and the runs of those two.
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x20, 0x0A)]
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+
 
 class _Cache(dict):
     """piece -> value; two generations, so that it stays below twice `limit` entries and keeps what is in use."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.marks = make, limit, {}, {}
 
     def __missing__(self, piece: str):
         value = self.old.get(piece)
@@ -36,6 +41,12 @@ class _Cache(dict):
         self[piece] = value
         return value
 
+    def mark(self, text: str):
+        """The value of a text that no space comes before."""
+        if (value := self.marks.get(text)) is None:
+            value = self.marks[text] = self.make(text)
+        return value
+
 
 class Encoder:
     def __init__(self, path: str, cache: int = 300_000):
@@ -57,19 +68,32 @@ class Encoder:
 
     def _merge(self, pre: str) -> list[int]:
         """Ids of one pre-token, by the library's merges."""
-        return [x.id for x in self.model.tokenize(pre.encode().decode("latin-1").translate(_SHOWN))]
+        if pre.isascii() and pre[1:].isalnum():  # the usual pre-token: bytes are shown as they are, but for a space
+            shown = "\u0120" + pre[1:] if pre[0] == " " else pre
+        else:
+            shown = pre
+        if shown is pre:
+            shown = pre.encode().decode("latin-1").translate(_SHOWN)
+        return [x.id for x in self.model.tokenize(shown)]
 
     def _encode(self, piece: str) -> bytes:
-        if not self.split or max(piece) > "\xff":  # the classes of other characters are the library's own
+        if not self.split:
+            return self._whole(piece)
+        if piece[0] == " ":
+            if piece[1:].isalpha() and (piece.isascii() or max(piece) <= "\xff"):  # one pre-token
+                return array("I", self._merge(piece)).tobytes()
+            if piece[-1] in ".,:;!?|" and piece[1:-1].isalpha():  # one pre-token and a mark, which is its own
+                return self.pieces[piece[1:-1]] + self.pieces.mark(piece[-1])
+        if not piece.isascii() and max(piece) > "\xff":  # the classes of other characters are the library's own
             return self._whole(piece)
         ids: list[int] = []
         for pre in PRE_TOKEN.findall(piece):
             ids += self._merge(pre)
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def parts(self, text: str) -> list[str] | None:
         """The pieces after the first one's leading character, or None where the text must be encoded whole."""
-        if not self.split or any(x in text for x in self.special) or text.replace("\n", " ").split(" ") != text.split():
+        if not self.split or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS) or any(x in text for x in _OTHER_SPACE) or any(x in text for x in self.special):
             return None
         return text.replace("\n", " \n").split(" ")
 
@@ -99,6 +123,8 @@ class Encoder:
         return self._single
 
     def _count(self, piece: str) -> int:
+        if self.split and piece[0] == " " and piece[-1] in ".,:;!?|" and piece[1:-1].isalpha():
+            return self.counts[piece[1:-1]] + 1
         if not self.split or max(piece) > "\xff":
             return len(self._whole(piece)) // 4
         return sum(1 if pre in self.single else len(self._merge(pre)) for pre in PRE_TOKEN.findall(piece))
