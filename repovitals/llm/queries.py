@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, lm_mixing, partenum, source_mix, token_count, token_huffman
+from . import ann, decontaminate, langid, licenses, lm_mixing, partenum, pii_surrogates, source_mix, token_count, token_huffman
 from .common import fold, new_path
 
 
@@ -31,10 +31,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace(table(spark, sf_dir, "documents"), key="repovitals")
+
+
 def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_mixing.scores(table(spark, sf_dir, "documents"), held_fold=2)
 
@@ -60,7 +68,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_huffman": op1_token_huffman,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_adaptive_scan": op4_adaptive_scan,
+    "op5_license_rules": op5_license_rules,
     "op6_lm_mixing": op6_lm_mixing,
     "op7_langid": op7_langid,
     "op8_source_mix": op8_source_mix,
