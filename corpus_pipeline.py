@@ -1,11 +1,76 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language ID, near copies, benchmark passages, source mix, token files.
 
+STAGES lists (name, function of (spark, docs, sf_dir)). Each stage's result is
+written as Parquet and read again as the next one's docs, so a lost executor
+costs a task and not a stage. All but the last return the columns of documents.
+
+Nulls and repeats follow the operators: documents without a letter go at the
+first stage, so a null text doesn't get past it; a document with a null doc_id
+links with nothing; repeated rows of a doc_id are one document to the join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repovitals.llm import decontaminate, langid, partenum, source_mix, token_huffman
+from repovitals.llm.common import new_path, written
+from repovitals.llm.queries import tokenizer_path
+
+#: The stages train, hash and encode in Python; SQL has no equal for them. Tested against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the classifier doesn't reject."""
+    return langid.keep(docs, langid.train(langid.training_fold(docs)))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of near copies, once."""
+    found = partenum.jaccard_components(docs.select("doc_id", "text"))
+    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes its words, to the nearest time; 0 times drops it.
+
+    A document that the mix takes in part stays once, and so does one without doc_id."""
+    taken = source_mix.mix(docs).select("doc_id", F.when(F.col("taken") > 0, F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))).otherwise(F.lit(0)).alias("times"))
+    times = written(taken.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("times").alias("times")), "times")
+    return docs.join(times, "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).where("times > 0 AND nth <= times").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents and returns what is read back: doc_id, start, n_tokens, ids_crc32."""
+    path = new_path(spark, "tokens")
+    token_huffman.write(docs, path, tokenizer_path(), end_id=0)
+    return token_huffman.read(spark, path, with_ids=False)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("source_mix", mixed),
+    ("token_output", token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
