@@ -13,7 +13,9 @@ def col(x) -> Column:
 
 
 def clamp01(x) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x).cast("double")))
+    """x within 0 and 1; null stays null, which greatest and least by themselves would pass over."""
+    v = col(x).cast("double")
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
 
 
 def round12(x) -> Column:
