@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, lm_mixing, partenum, pii_surrogates, source_mix, token_count, token_huffman
+from . import ann, decontaminate, langid, licenses, lm_mixing, oracles, partenum, pii_surrogates, source_mix, token_count, token_huffman
 from .common import fold, new_path
 
 
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
