@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, spaced_hash, token_count
 from ..operators import findings as fnd
-from ..operators import graph, observer, review, text, timeseries
+from ..operators import graph, observer, review, signals, text, timeseries
 from ..sources import adapters as a
 from .base import query
 
@@ -438,3 +438,42 @@ def finding_signals(spark, d):
         named = facts.select(F.element_at(F.array(*map(F.lit, kinds)), (F.col("k") + 1).cast("int")).alias("kind"), "boundary", "n")
         out.append(fnd.score(named, signal, SIZES.get(s.formula, 200_000.0)))
     return reduce(lambda x, y: x.unionByName(y), out)
+
+
+FACTS = """f AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (p_size > 45)::DOUBLE AS a, count(*) FILTER (p_size > 48)::DOUBLE AS b, max(p_size)::DOUBLE AS m, count(DISTINCT p_brand)::DOUBLE AS g, count(*) FILTER (p_size < 1)::DOUBLE AS z FROM part)"""
+
+
+@query(f"""WITH {FACTS} SELECT round(greatest(0, least(1, 1 - least(1, 0.15 * g / 25) - least(0.5, 0.1 * greatest(0, g / 5 - 2)))), 9)::DOUBLE AS crate_cycles, round(greatest(0, least(1, 1 - b / greatest(10, n))), 9)::DOUBLE AS trait_coupling,
+round(greatest(0, least(1, 1 - least(0.4, greatest(0, g - 8) / 8) - least(0.3, g / 40) - least(0.3, 3 / 40))), 9)::DOUBLE AS features, round(greatest(0, least(1, 1 - least(0.6, 2 * b / n) - least(0.4, a / (10 * n)))), 9)::DOUBLE AS rust_hubs,
+round(greatest(0, least(1, 1 - a / n * least(1, n / 5))), 9)::DOUBLE AS chain_share, round(CASE WHEN z > 0 THEN 0 ELSE greatest(0, least(1, 1 - greatest(a / n, least(1, b / n)))) END, 9)::DOUBLE AS unsafe_code, round(a / (a + b), 9)::DOUBLE AS error_granularity,
+round(1 - least(0.5, least(0.35, a / 200) + least(0.15, g / 250)), 9)::DOUBLE AS rust_clones, round(greatest(0, least(1, 1 - least(0.6, n / 1000) - 0.15 * z)), 9)::DOUBLE AS rust_pr, round(greatest(0, least(1, 1 - (4 * z + g + 0.25 * 40) / 100)), 9)::DOUBLE AS suppressions,
+round(greatest(0, least(1, 1 - (0.2 * z + 0.1 * 2 + 0.15 * 3))), 9)::DOUBLE AS dependency_delta, round(1 / (1 + g / 8), 9)::DOUBLE AS construction, round(greatest(0, least(1, 1 - greatest(0, m / 10 - 3) / 3)), 9)::DOUBLE AS reexport, round(least(0.8, greatest(0, least(1, 1 - b / n))), 9)::DOUBLE AS unfinished FROM f""")
+def signal_formulas(spark, d):
+    size = F.col("p_size")
+    n = lambda c: F.count(F.when(c, 1)).cast("double")
+    f = a.table(spark, d, "part").agg(F.count("*").cast("double").alias("n"), n(size > 45).alias("a"), n(size > 48).alias("b"), F.max(size).cast("double").alias("m"), F.count_distinct("p_brand").cast("double").alias("g"), n(size < 1).alias("z"))
+    g, lit = F.col("g"), F.lit
+    scores = {
+        "crate_cycles": signals.crate_cycle_score(g / 25, g / 5), "trait_coupling": signals.trait_coupling_score("b", "n"), "features": signals.feature_score("g", "g", lit(3)), "rust_hubs": signals.rust_hub_score("b", "n", "a"),
+        "chain_share": signals.chain_share_score("a", "n"), "unsafe_code": signals.unsafe_score("a", "n", "b", "z"), "error_granularity": signals.error_granularity_score("a", "b"), "rust_clones": signals.rust_clone_score("a", "g"),
+        "rust_pr": signals.rust_pr_score("n", "z"), "suppressions": signals.suppression_score("z", "g", lit(40), lit(2)), "dependency_delta": signals.dependency_delta_score("z", lit(2), lit(3)), "construction": signals.construction_score("g"),
+        "reexport": signals.reexport_score(F.col("m") / 10), "unfinished": signals.unfinished_score("b", "n", lit(1)),
+    }
+    return f.select(*(F.round(c, 9).alias(k) for k, c in scores.items()))
+
+
+@query("WITH m AS (SELECT p_brand, count(*) FILTER (p_size > 30) / count(*) AS s FROM part GROUP BY 1) SELECT round(1 - 0.3 * greatest(avg((s > 0.35)::INT), avg(CASE WHEN s > 0.35 THEN (s - 0.35) / 0.65 ELSE 0 END)), 9)::DOUBLE AS score FROM m")
+def visibility_surface(spark, d):
+    return signals.visibility_score(a.table(spark, d, "part").groupBy("p_brand").agg(F.count(F.when(F.col("p_size") > 30, 1)).alias("public"), F.count("*").alias("items")))
+
+
+@query("WITH c AS (SELECT l_partkey AS file, count(DISTINCT l_orderkey) AS churn FROM lineitem GROUP BY 1), f AS (SELECT churn, p_size AS complexity FROM part JOIN c ON file = p_partkey) SELECT round(greatest(0.2, 1 - (SELECT coalesce(sum(least(1, sqrt(churn / 28 * (complexity / 45)))), 0) FROM f WHERE churn >= 28 AND complexity >= 45) / (SELECT count(*) FROM f)), 9)::DOUBLE AS score")
+def rust_hotspots(spark, d):
+    churn = a.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_orderkey").alias("churn"))
+    return signals.rust_hotspot_score(a.table(spark, d, "part").join(churn, "p_partkey").select("churn", F.col("p_size").alias("complexity")), 28, 45)
+
+
+@query("WITH g AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END AS c, p_size / 50 AS d FROM part WHERE p_partkey % 50 = 0), b AS (SELECT * FROM g WHERE d > 0.75) SELECT round(greatest(0.25, 1 - (coalesce((max(d) FILTER (c = 'high') - 0.75) / 0.25, 0) * 0.25 + least(0.3, log2(count(*) FILTER (c = 'high') + 1) * 0.12) + coalesce((max(d) FILTER (c = 'medium') - 0.75) / 0.25, 0) * 0.04 + least(0.06, log2(0.5 * count(*) FILTER (c = 'medium') + 1) * 0.03))), 9)::DOUBLE AS score FROM b")
+def clone_divergence_score(spark, d):
+    p = a.table(spark, d, "part").where("p_partkey % 50 = 0")
+    return signals.divergence_score(p.select(F.when(F.col("p_size") % 2 == 0, "high").otherwise("medium").alias("confidence"), (F.col("p_size") / 50).alias("divergence")))
