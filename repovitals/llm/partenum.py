@@ -6,19 +6,25 @@ always share a band. In a band the feature domain is hashed to n1 first-level
 groups of n2 = 2 partitions, and every subset of n2 - 1 partitions of a group
 gives one signature: a hash of the features that fall in the subset. Two sets
 at a Jaccard similarity of 0.8 differ in at most a quarter of the smaller one's
-size, d features, which touch at most d partitions; a set with more than d
-partitions that aren't empty therefore shares one of those with every partner.
-The few sets without so many sign their empty partitions also, which settles
-the rest, so no link is lost.
-
-Candidates are never expanded to all pairs of a signature. Each map task keeps
-one member of a signature and links the others to it, and so does the task that
-gathers a signature, which bounds hot signatures by the number of map tasks.
-These star links are verified on whole sets: first each document's strongest,
-then those that would still join two components. Only signatures that join
-different components even so (their members are alike, but less than 0.8 from
-the member they were held against) go on: their members of different components
-are compared pair by pair, which makes the result exact.
+size, d features, which touch at most d partitions: of M signatures of subsets
+that aren't empty, all but d are shared. So under any order of signatures that
+is the same for all sets, the first d + s of both share s; each set signs its first
+d + d / 2. The order puts subsets with a rare feature first, by a table of how
+often features come. A set that shares fewer signatures with all others together
+than it must with a partner of four fifths its size is settled: it has none. So
+texts that only have a common passage in common mostly drop out before any set
+is compared. A set with too few filled subsets signs all, and empty ones too.
+
+A signature links its members as a star to one of them: first in each map task,
+so that a hot signature sends one row a task, then where it is gathered. The
+components of these stars, clusters of candidates, hold every pair that shares
+a signature. Clusters of more than two blocks sign again among themselves, with
+a table of their own features, which tells the passages that brought them
+together from what makes texts alike, until they stop falling apart. Then inside
+a cluster sets are compared whole, each pair once, by products of blocks of at
+most about BLOCK sets with BLOCK; a large cluster is many pairs of blocks, in as
+many tasks. What comes out are links that join sets, not pairs: at most as many
+as there are sets in a block pair.
 
 Nulls: a null or blank text has no shingles and links with nothing; a row whose
 doc_id is null is counted but takes no part in links, and its component is null.
@@ -40,13 +46,26 @@ from .common import WordHashes, mix64, partitions, shingles, words, written
 from .components import components
 
 SUBPARTS, LEFT_OUT = 2, 1
-FILTER_BITS = 22
+FILTER_BITS, COUNT_BITS, BLOCK = 22, 23, 256
+ROUNDS, PIECES = 3, 16
+
+
+#: Sets of fewer features may fill so few partitions that what two of them share has no useful lower bound.
+COUNTED = 256
+
+
+def least_shared(size):
+    """How many of its signatures a set of this size shares with any partner, at least; size: a number or a column."""
+    if isinstance(size, int):
+        return max(1, -(-4 * size // 5) // 4 // 2) if size >= COUNTED else 1
+    own = F.floor(F.floor(F.ceil(size * 4 / 5) / 4) / 2)
+    return F.when(size >= COUNTED, F.greatest(F.lit(1), own)).otherwise(1)
 
 
 def n_partitions(band: int) -> int:
-    """Partitions of a band: enough that more than a quarter of its largest sets' size aren't empty."""
+    """Partitions of a band: about one for each feature of its sets."""
     largest = (2 << band) - 1
-    n = -(-28 * largest // 100) + 3
+    n = -(-3 * largest // 4) + 3
     return -(-n // SUBPARTS) * SUBPARTS
 
 
@@ -55,24 +74,42 @@ def bands(size: int) -> list[int]:
     return [own, own + 1] if 5 * size >= 4 * (2 << own) else [own]
 
 
-def signatures(features: np.ndarray) -> np.ndarray:
-    """48-bit signatures of one set of 64-bit features."""
-    found = []
-    spread = mix64(features ^ np.uint64(0x5851F42D4C957F2D))
+def places(features: np.ndarray) -> list[np.ndarray]:
+    """Two places of each feature in the tables of counts: a feature is as common as the rarer of them says."""
+    return [(mix64(features ^ np.uint64(salt)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64) for salt in (0x2545F4914F6CDD1D, 0x6C62272E07BB0142)]
+
+
+def _enumerated(features: np.ndarray, level: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all subsets in all groups of a band's partitions, which hold features, and the rarest feature's level."""
+    n = n_partitions(band)
+    part = (features % np.uint64(n)).astype(np.int64)
+    sums, held, least = np.zeros(n, np.uint64), np.bincount(part, minlength=n) > 0, np.full(n, 255, np.uint8)
+    np.add.at(sums, part, mix64(features ^ np.uint64(0x5851F42D4C957F2D)))
+    np.minimum.at(least, part, level)
+    groups = np.arange(n // SUBPARTS, dtype=np.uint64)
+    signed, filled, levels = [], [], []
+    for k, subset in enumerate(itertools.combinations(range(SUBPARTS), SUBPARTS - LEFT_OUT)):
+        total, some, low = np.zeros(len(groups), np.uint64), np.zeros(len(groups), bool), np.full(len(groups), 255, np.uint8)
+        for i in subset:
+            total = total * np.uint64(0x9E3779B97F4A7C15) + sums[i::SUBPARTS]
+            some |= held[i::SUBPARTS]
+            low = np.minimum(low, least[i::SUBPARTS])
+        signed.append(mix64(total ^ mix64(groups * np.uint64(64) + np.uint64(band) + np.uint64((k + 1) << 40))))
+        filled.append(some)
+        levels.append(low)
+    return np.concatenate(signed), np.concatenate(filled), np.concatenate(levels)
+
+
+def signatures(features: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """48-bit signatures of one set of 64-bit features; levels: how common features are, as two tables over places()."""
+    found, most, level = [], len(features) // 4, np.minimum(*(t[at] for t, at in zip(levels, places(features), strict=True)))
     for band in bands(len(features)):
-        n = n_partitions(band)
-        part = (features % np.uint64(n)).astype(np.int64)
-        sums, held = np.zeros(n, np.uint64), np.bincount(part, minlength=n)
-        np.add.at(sums, part, spread)
-        weak = np.count_nonzero(held) <= len(features) // 4
-        groups = np.arange(n // SUBPARTS, dtype=np.uint64)
-        for k, subset in enumerate(itertools.combinations(range(SUBPARTS), SUBPARTS - LEFT_OUT)):
-            total, filled = np.zeros(len(groups), np.uint64), np.zeros(len(groups), bool)
-            for i in subset:
-                total = total * np.uint64(0x9E3779B97F4A7C15) + sums[i::SUBPARTS]
-                filled |= held[i::SUBPARTS] > 0
-            signed = mix64(total ^ mix64(groups * np.uint64(64) + np.uint64(band) + np.uint64((k + 1) << 40)))
-            found.append(signed if weak else signed[filled])
+        signed, filled, low = _enumerated(features, level, band)
+        if np.count_nonzero(filled) > most:
+            signed, low = signed[filled], low[filled]
+            found.append(signed[np.lexsort((signed, low))[: most + max(1, most // 2)]])
+        else:
+            found.append(signed)
     return np.concatenate(found) >> np.uint64(16)
 
 
@@ -80,21 +117,110 @@ def _id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, print): the size of each whole text's set and a 128-bit fingerprint of it."""
+def _repeated(held: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(piece, packed places and counts) of the features that come twice and more in a list of sets."""
+    each, times = np.unique(np.concatenate(held), return_counts=True)
+    each, times = each[times >= 2], times[times >= 2]
+    for t, at in enumerate(places(each)):
+        for k in range(PIECES):
+            mine = at * PIECES >> COUNT_BITS == k
+            if mine.any():
+                yield t * PIECES + k, np.stack([at[mine], times[mine]]).astype("<i4").tobytes()
+
+
+def _levels(rows: DataFrame) -> np.ndarray:
+    """Tables of levels from rows (piece, packed): a level is the number of digits, in base two, of a count over all tasks.
+
+    What the driver gets has a fixed bound: two tables of 2^COUNT_BITS places."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total = (1 << COUNT_BITS) // PIECES, {}
+        for batch in batches:
+            for piece, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, times = np.frombuffer(x, "<i4").reshape(2, -1)
+                np.add.at(total.setdefault(piece, np.zeros(size, np.int64)), at - piece % PIECES * size, times)
+        for piece, n in total.items():
+            used = np.flatnonzero(n)
+            level = np.ceil(np.log2(n[used] + 1)).astype(np.uint8)
+            yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([used.astype("<i4").tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], ["piece", "at", "levels"])
+
+    levels = np.zeros((2, PIECES, (1 << COUNT_BITS) // PIECES), np.uint8)
+    for piece, at, level in rows.repartitionById(2 * PIECES, F.col("piece")).mapInArrow(gather, "piece int, at binary, levels binary").collect():
+        levels[piece // PIECES, piece % PIECES, np.frombuffer(bytes(at), "<i4")] = np.frombuffer(bytes(level), np.uint8)
+    return levels.reshape(2, -1)
+
+
+def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, print) of each whole text, print a 128-bit fingerprint of its set; and levels of features.
+
+    Counted are features that come twice and more among a map task's different
+    sets. Any levels keep the join exact; these decide which signatures come first."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen, held, many = WordHashes(), set(), [], 0
+
+        def common() -> Iterator[pa.RecordBatch]:
+            for piece, packed in _repeated(held):
+                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary()), pa.array([piece], pa.int32())], ["doc_id", "n_shingles", "print", "piece"])
+
         for batch in batches:
             sizes, prints = [], []
             for text in batch.column(1):
                 found = np.unique(shingles(hashes.of(words(text.as_py())), width))
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "n_shingles", "print"])
+                if len(found) and prints[-1] not in seen:
+                    seen.add(prints[-1])
+                    held.append(found)
+                    many += len(found)
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(sizes), pa.int32())], ["doc_id", "n_shingles", "print", "piece"])
+            if many > 4_000_000:
+                yield from common()
+                seen, held, many = set(), [], 0
+        if many:
+            yield from common()
 
-    return _id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, print binary")
+    found = written(_id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, print binary, piece int"), "sets")
+    return found.where("piece IS NULL").drop("piece"), _levels(found.where("piece IS NOT NULL").select("piece", "print"))
+
+
+def _of_texts(width: int):
+    """Reads (doc_id, features) from batches of (doc_id, text)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        hashes = WordHashes()
+        for batch in batches:
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if d is not None and len(found := np.unique(shingles(hashes.of(words(t.as_py())), width))):
+                    yield d, found
+
+    return read
+
+
+def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in batches:
+        for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("features"), strict=True):
+            yield d, np.frombuffer(x.as_buffer(), np.uint64)
+
+
+def levels_among(sets: DataFrame, count: int, together: int = 16_384) -> np.ndarray:
+    """Levels from the features of some sets (doc_id, features), counted about `together` sets at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for _, x in _of_sets(batches):
+            held.append(x)
+            many += len(x)
+            if many > 8_000_000:
+                for piece, packed in _repeated(held):
+                    yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "packed"])
+                held, many = [], 0
+        for piece, packed in _repeated(held) if held else ():
+            yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "packed"])
+
+    parts = max(1, -(-count // together))
+    return _levels(sets.repartition(parts, "doc_id").mapInArrow(run, "piece int, packed binary"))
 
 
 def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,14 +257,14 @@ def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
-def star_links(docs: DataFrame, width: int) -> DataFrame:
-    """(a, b, w): candidates as stars, a < b, w the signatures that gave them."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+def star_links(rows: DataFrame, read, levels: np.ndarray) -> DataFrame:
+    """(kind, a, b) over the sets that read gives from batches of rows. Kind 0: document a shares b signatures with others,
+    at most counted twice; kind 1: a and b are in one cluster of candidates."""
+    spark = rows.sparkSession
+    n, kept = partitions(spark), spark.sparkContext.broadcast(levels)
     flush = 3_000_000
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         sigs, ids, many = [], [], 0
 
         def packed() -> Iterator[pa.RecordBatch]:
@@ -157,20 +283,18 @@ def star_links(docs: DataFrame, width: int) -> DataFrame:
                     index = index.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes()
                     yield pa.record_batch([pa.array([k], pa.int32()), pa.array([small], pa.binary()), pa.array([index], pa.binary()), pa.array([names.tobytes()], pa.binary()), pa.array([np.column_stack([links[mine], times[mine]]).astype("<i8").tobytes()], pa.binary())], ["home", "sigs", "at", "ids", "links"])
 
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.unique(shingles(hashes.of(words(t.as_py())), width)) if d is not None else ()
-                if len(found):
-                    sigs.append(signatures(found))
-                    ids.append(np.full(len(sigs[-1]), d, np.int64))
-                    many += len(sigs[-1])
-                    if many >= flush:
-                        yield from packed()
-                        sigs, ids, many = [], [], 0
+        for d, found in read(batches):
+            sigs.append(signatures(found, kept.value))
+            ids.append(np.full(len(sigs[-1]), d, np.int64))
+            many += len(sigs[-1])
+            if many >= flush:
+                yield from packed()
+                sigs, ids, many = [], [], 0
         if many:
             yield from packed()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stars of this task's signatures; and of each id in one, how many signatures it shares, for the id's home."""
         sigs, ids, local = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
@@ -183,15 +307,49 @@ def star_links(docs: DataFrame, width: int) -> DataFrame:
                 local.append(np.frombuffer(row["links"], "<i8").reshape(-1, 3))
         if sigs:
             _, _, links, times = _stars(np.concatenate(sigs), np.concatenate(ids))
-            out = np.concatenate([np.column_stack([links, times]).astype(np.int64), *local])
-            yield pa.record_batch([pa.array(out[:, i]) for i in range(3)], ["a", "b", "w"])
+            links = np.concatenate([np.column_stack([links, times]).astype(np.int64), *local])
+            each, index = np.unique(links[:, :2], return_inverse=True)
+            shared = np.bincount(index.reshape(-1), np.repeat(links[:, 2], 2), len(each)).astype(np.int64)
+            near = _forest(links[:, :2])
+            for k in range(n):
+                own, edges = each % n == k, near[near.sum(1) % n == k] if len(near) else near
+                if own.any() or len(edges):
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.column_stack([each[own], shared[own]]).tobytes()], pa.binary()), pa.array([edges.tobytes()], pa.binary())], ["home", "shared", "edges"])
 
-    sent = _id_and_text(docs).mapInArrow(emit, "home int, sigs binary, at binary, ids binary, links binary")
-    return sent.repartitionById(n, F.col("home")).mapInArrow(gather, "a long, b long, w long").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Kind 0: an id and how many signatures it shares. Kind 1: links."""
+        counts, edges = [], []
+        for batch in batches:
+            counts += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("shared").to_pylist()]
+            edges += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column("edges").to_pylist()]
+        if counts:
+            x = np.concatenate(counts)
+            each, index = np.unique(x[:, 0], return_inverse=True)
+            links = np.unique(np.concatenate(edges), axis=0)
+            yield pa.record_batch([pa.array(np.zeros(len(each), np.int32)), pa.array(each), pa.array(np.bincount(index, x[:, 1], len(each)).astype(np.int64))], ["kind", "a", "b"])
+            yield pa.record_batch([pa.array(np.ones(len(links), np.int32)), pa.array(links[:, 0]), pa.array(links[:, 1])], ["kind", "a", "b"])
+
+    sent = rows.mapInArrow(emit, "home int, sigs binary, at binary, ids binary, links binary")
+    met = sent.repartitionById(n, F.col("home")).mapInArrow(gather, "home int, shared binary, edges binary")
+    return written(met.repartitionById(n, F.col("home")).mapInArrow(summed, "kind int, a long, b long"), "stars")
+
+
+def _forest(links: np.ndarray) -> np.ndarray:
+    """Links (smaller, larger) with the same components, at most one for each larger end and round."""
+    while True:
+        links = np.unique(links[links[:, 0] != links[:, 1]], axis=0)
+        order = np.argsort(links[:, 1], kind="stable")
+        least = links[order]
+        again = np.concatenate([[False], least[1:, 1] == least[:-1, 1]]) if len(links) else np.zeros(0, bool)
+        if not again.any():
+            return links
+        hub = np.repeat(least[~again, 0], np.diff(np.append(np.flatnonzero(~again), len(least))))
+        moved = np.stack([np.minimum(hub, least[:, 0]), np.maximum(hub, least[:, 0])], 1)[again]
+        links = np.concatenate([least[~again], moved])
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, features) of the documents in wanted (node): sorted 64-bit shingle hashes."""
+    """(doc_id, component, features) of the documents in wanted (node, component): sorted 64-bit shingle hashes."""
     bits = _bitmap(wanted, F.crc32(F.col("node").cast("string").cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,112 +363,110 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sets.append(found.tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "features"])
 
-    return _id_and_text(docs).mapInArrow(run, "doc_id long, features binary").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    return _id_and_text(docs).mapInArrow(run, "doc_id long, features binary").join(wanted.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("doc_id", "component", "features")
+
+
+def joined(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between like sets. left: which sets are one side of the pairs; all True compares all with all.
+
+    Of links that close a circle one is left out."""
+    sizes = np.array([len(x) for x in sets])
+    every, index = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(index, minlength=len(every)) > 1
+    number = np.cumsum(shared) - 1
+    row, at = row[shared[index]], number[index[shared[index]]]
+    whole = bool(left.all())
+    a, b = np.flatnonzero(left), np.arange(len(sets)) if whole else np.flatnonzero(~left)
+    both = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for start in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(at, (start, start + 4096))
+        x = np.zeros((len(sets), min(4096, int(shared.sum()) - start)), np.float32)
+        x[row[lo:hi], at[lo:hi] - start] = 1
+        both += x[a] @ x[b].T
+    same = np.rint(both).astype(np.int64)
+    i, j = np.nonzero(100 * same >= percent * (sizes[a][:, None] + sizes[b][None] - same))
+    parent = list(range(len(sets)))
+
+    def root(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    links = []
+    for p, q in zip(a[i].tolist(), b[j].tolist(), strict=True):
+        p_, q_ = root(p), root(q)
+        if p_ != q_:
+            parent[max(p_, q_)] = min(p_, q_)
+            links.append((int(ids[p]), int(ids[q])))
+    return links
+
+
+def cluster_links(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside clusters of sets (doc_id, component, features), which between them join all like sets."""
+    spark = placed.sparkSession
+    sizes = written(placed.groupBy("component").count().where(F.col("count") > BLOCK).select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("n")), "blocks")
+    blocks = F.coalesce("n", F.lit(1))
+    dealt = placed.join(sizes, "component", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = dealt.select("doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "features")
+    rows = rows.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                left = np.array([b == key[1] for _, b, _ in held])
+                if key[1] == key[2] or 0 < left.sum() < len(left):
+                    links = joined(np.array([d for d, _, _ in held], np.int64), [np.frombuffer(x, np.uint64) for _, _, x in held], left, percent)
+                    if links:
+                        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike: 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(x, y)
-                same = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components of found (node, component)."""
-    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return met.where("coalesce(ca, a) <> coalesce(cb, b)").select(*pairs.columns)
-
-
-def _mixed_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs of different components that share a signature."""
-    spark = sets.sparkSession
-    n = partitions(spark)
-    named = sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "features")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
-                each = [signatures(np.frombuffer(x.as_buffer(), np.uint64)) for x in part.column("features")]
-                sigs = np.concatenate(each)
-                comps = np.repeat(np.array(part.column("component").to_pylist(), np.int64), [len(x) for x in each])
-                order = np.argsort(sigs, kind="stable")
-                sigs, comps = sigs[order], comps[order]
-                firsts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-                low, high, one = np.minimum.reduceat(comps, firsts), np.maximum.reduceat(comps, firsts), sigs[firsts]
-                home = ((one >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
-                order = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[order], np.arange(n + 1))
-                for k in range(n):
-                    if len(rows := order[cuts[k] : cuts[k + 1]]):
-                        yield pa.record_batch([pa.array([k], pa.int32()), *(pa.array([x[rows].tobytes()], pa.binary()) for x in (one, low, high))], ["home", "sigs", "low", "high"])
-
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if rows:
-            sigs = np.concatenate([np.frombuffer(r["sigs"], np.uint64) for r in rows])
-            low, high = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in ("low", "high"))
-            order = np.argsort(sigs, kind="stable")
-            sigs, low, high = sigs[order], low[order], high[order]
-            firsts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-            apart = np.minimum.reduceat(low, firsts) != np.maximum.reduceat(high, firsts)
-            yield pa.record_batch([pa.array(sigs[firsts][apart].astype(np.int64))], ["sig"])
-
-    sigs = written(named.mapInArrow(spans, "home int, sigs binary, low binary, high binary").repartitionById(n, F.col("home")).mapInArrow(mixed, "sig long"), "mixed")
-    bits = _bitmap(sigs, F.col("sig"))
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, c, x in zip(batch.column("doc_id").to_pylist(), batch.column("component").to_pylist(), batch.column("features"), strict=True):
-                signed = np.unique(signatures(np.frombuffer(x.as_buffer(), np.uint64)).astype(np.int64))
-                signed = signed[_held(bits, signed & ((1 << FILTER_BITS) - 1))]
-                if len(signed):
-                    yield pa.record_batch([pa.array(signed), pa.array(np.full(len(signed), d, np.int64)), pa.array(np.full(len(signed), c, np.int64))], ["sig", "doc_id", "component"])
+            for c, i, j, d, b, x in zip(*(batch.column(n).to_pylist() for n in ("component", "i", "j", "doc_id", "block", "features")), strict=True):
+                if key != (c, i, j):
+                    yield from done()
+                    key, held = (c, i, j), []
+                held.append((d, b, x))
+        yield from done()
 
-    held = written(named.mapInArrow(members, "sig long, doc_id long, component long").join(sigs, "sig", "left_semi"), "members")
-    other = held.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    met = held.select("sig", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(other, "sig")
-    return met.where("a < b AND ca <> cb").select("a", "b").distinct()
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     if percent < 80:
-        raise ValueError("the partitions are laid out for similarities of 0.8 and more")
-    base = written(shingle_sets(docs, width), "sets")
+        raise ValueError("the signatures are laid out for similarities of 0.8 and more")
+    base, levels = shingle_sets(docs, width)
     some = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     firsts = some.groupBy("print").agg(F.min("doc_id").alias("a"))
     copies = some.join(firsts, "print").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     copies = written(copies, "copies")
     one = copies.groupBy("b").agg(F.min("a").alias("to"))
 
-    stars = star_links(docs, width)
-    as_first = stars.join(one.withColumnRenamed("b", "a"), "a", "left").withColumn("a", F.coalesce("to", "a")).drop("to").join(one, "b", "left").withColumn("b", F.coalesce("to", "b")).drop("to")
-    stars = written(as_first.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w")), "stars")
-    wanted = written(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct(), "wanted")
-    sets = written(_sets_of(docs, wanted, width), "features")
-
-    strongest = stars.groupBy("b").agg(F.max(F.struct("w", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-    links = copies.unionByName(written(_verified(strongest, sets, percent), "links"))
-    found = components(links)
-    rest = _apart(stars.select("a", "b").join(strongest, ["a", "b"], "left_anti"), found)
-    links = links.unionByName(written(_verified(rest, sets, percent), "links"))
-    found = components(links)
-    rest = _mixed_pairs(sets, found).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(written(_verified(rest, sets, percent), "links"))
+    stars = star_links(_id_and_text(docs), _of_texts(width), levels)
+    edges, shared = stars.where("kind = 1"), stars.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("shared"))
+    as_first = edges.join(one.withColumnRenamed("b", "a"), "a", "left").withColumn("a", F.coalesce("to", "a")).drop("to").join(one, "b", "left").withColumn("b", F.coalesce("to", "b")).drop("to")
+    sizes = some.groupBy(F.col("doc_id").alias("node")).agg(F.min("n_shingles").alias("n"))
+    alive = shared.join(sizes, "node").where(F.col("shared") >= least_shared(F.col("n"))).select("node")
+    clusters = written(components(as_first.select("a", "b")).join(alive, "node", "left_semi"), "clusters")
+    now = written(_sets_of(docs, clusters, width), "features")
+    parts, before = [], None
+    for _ in range(ROUNDS):
+        big = written(now.groupBy("component").count().where(F.col("count") > 2 * BLOCK), "big")
+        inside = big.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        if not inside or before is not None and inside > 0.9 * before:
+            break
+        before = inside
+        parts.append(now.join(big.select("component"), "component", "left_anti"))
+        some = now.join(big.select("component"), "component", "left_semi").select("doc_id", "features")
+        again = components(star_links(some, _of_sets, levels_among(some, inside)).where("kind = 1").select("a", "b"))
+        now = written(some.join(again.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("doc_id", "component", "features"), "features")
+    for part in parts:
+        now = now.unionByName(part)
+    links = copies.unionByName(written(cluster_links(now, percent), "links"))
     found = components(links)
     return base.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
