@@ -5,8 +5,8 @@ that lie in it, each hashed to a row of an embedding table; a text is the mean
 of the rows of all its words' n-grams, and a linear layer with softmax tells
 languages apart. Embeddings and layer are trained by stochastic gradient
 descent in numpy on the driver, from the hashed counts of at most `sample`
-labelled texts (the smallest by a keyed hash of doc_id, whole texts): the one
-bound here, documented because it limits only what a classifier is fitted on.
+labelled texts (those whose keyed hash of doc_id is among the smallest, whole
+texts, with all that tie for the last place): the one bound here, documented because it limits only what a classifier is fitted on.
 
 Calibration, on every fifth of those texts, which descent doesn't see: a
 temperature that minimises their log loss, and a rejection threshold, the
@@ -145,7 +145,9 @@ def train(labelled: DataFrame, sample: int = 3000, epochs: int = 12, batch: int
     """Fits a model to labelled (doc_id, text, lang), from at most `sample` of its texts."""
     plain = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = bags(plain.orderBy(order, "doc_id", "lang").limit(sample).repartition(8)).collect()
+    first = plain.select(order.alias("h")).orderBy("h").limit(sample)  # hashes alone: no text goes to one task
+    most = first.agg(F.max("h")).first()[0]
+    rows = bags(plain.where(order <= most)).collect() if most is not None else []
     rows = sorted((r["lang"], bytes(r["used"]), bytes(r["share"])) for r in rows)
     langs = sorted({r[0] for r in rows})
     if not langs:
