@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from repovitals.functions import scalars
 from repovitals.operators import clones, composite, findings, graph, history, observer, registry, review, text, timeseries
+from repovitals.plans import catalog
 from repovitals.sources import coverage, readers
 
 
@@ -40,6 +41,12 @@ def test_line_survival(spark):
     assert tuple(history.exact_survival(added, head).collect()[0]) == ("f", 4, 1)
 
 
+def test_line_survival_takes_all_lines(spark, tmp_path):
+    rows = [(1, 0, "user", "gone\nsecond line\n\nthird line here"), (1, 2, "user", "unlike\nthird line hers\nsecond line"), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in catalog.queries()["line_survival_fuzzy"](spark, str(tmp_path)).collect()] == [("user/1", 3, 1, 1)]
+
+
 def test_scalars(spark):
     df = spark.sql("SELECT timestamp'2024-01-01' a, timestamp'2024-12-30' b")
     got = one(df.select(scalars.iso_week_key("a").alias("a"), scalars.iso_week_key("b").alias("b"), scalars.week_end("a").alias("e"), scalars.soft_gate(F.lit(2.0), 2, 0.5).alias("g"), scalars.half_life(F.lit(14.0), F.lit(14)).alias("h"), scalars.glob_match(F.lit("src/a/b.ts"), ["src/**"]).alias("m"), scalars.glob_match(F.lit("src/a/b.ts"), ["src/*.ts"]).alias("n"), scalars.entropy(F.lit("aabb")).alias("t"), scalars.non_blank_lines(F.lit("a\n \nb")).alias("l")))
