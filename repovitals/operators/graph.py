@@ -48,12 +48,12 @@ def reach(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     return nodes.join(out, "node", "left").join(back, "node", "left").select("node", zero("reach"), zero("reverse_reach"))
 
 
-def sketches(edges: DataFrame, rounds: int = 32) -> DataFrame:
+def sketches(edges: DataFrame) -> DataFrame:
     """(node, reach) estimated by merging HyperLogLog sketches along edges until nothing grows: rows stay one a node."""
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     now = materialised(nodes.groupBy("node").agg(F.hll_sketch_agg("node").alias("s")), "sketch")
     before = None
-    for _ in range(rounds):
+    while True:
         got = edges.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "s")
         now = materialised(now.unionByName(got).groupBy("node").agg(F.hll_union_agg("s").alias("s")), "sketch")
         told = now.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0]
@@ -95,20 +95,26 @@ def cycle_score(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("cycles"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).withColumn("score", F.round(F.when(F.col("cycles") == 0, 1.0).otherwise(F.greatest(F.lit(0.05), 1 - F.least(F.lit(0.45), 0.05 * F.col("cycles")) - penalty)), 9))
 
 
-def chains(starts: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
-    """(start, last, depth, cyclic): every walk from the starts (node) that ends, closes a cycle or has `most` steps."""
+def chains(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, last, depth, cyclic): every walk from the starts (node) that ends or closes a cycle, or has `most` steps where that is given."""
     walk = starts.select(F.col("node").alias("start"), F.col("node").alias("last"), F.array("node").alias("path"))
     done = None
     hop = edges.select(F.col("src").alias("last"), F.col("dst").alias("to")).distinct()
-    for step in range(most + 1):
+    step = 0
+    while True:
         met = walk.join(hop, "last", "left")
-        over = F.col("to").isNull() if step < most else F.lit(True)
+        over = F.lit(True) if step == most else F.col("to").isNull()
         again = F.array_contains("path", F.col("to"))
         ended = met.where(over | again).select("start", "last", (F.size("path") - 1).alias("depth"), F.coalesce(again, F.lit(False)).alias("cyclic")).distinct()
         done = ended if done is None else done.unionByName(ended)
         if step == most:
             break
         walk = met.where(~over & ~again).select("start", F.col("to").alias("last"), F.array_append("path", F.col("to")).alias("path"))
+        step += 1
+        if most is None:
+            walk = materialised(walk, "chains")
+            if walk.isEmpty():
+                break
     return done
 
 

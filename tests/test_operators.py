@@ -66,6 +66,13 @@ def test_graph(spark):
     assert {r["node"]: r["reach"] for r in graph.sketches(edges).collect()} == exact
 
 
+def test_long_chains_and_reach_have_no_last_round(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(36)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)], "src int, dst int")
+    starts = spark.createDataFrame([(25,), (100,)], "node int")
+    assert {tuple(r) for r in graph.chains(starts, edges).collect()} == {(25, 36, 11, False), (100, 108, 8, True)}
+    assert {r["node"]: r["reach"] for r in graph.sketches(edges).collect()}[0] == 36
+
+
 def test_drift_equals_a_plain_loop(spark):
     r = random.Random(7)
     rows, want = [], {}
