@@ -7,7 +7,9 @@ numbers, lower case for addresses and tokens, and single words for names, so
 "Mrs. Ana Ruiz" and "Frau Ruiz" keep pointing at one person. A surrogate comes
 from sha2(key, kind, entity, attempt). Surrogates that two entities would share,
 or that are entities of the corpus themselves, are drawn again for all but the
-first, until all are distinct. Each spelling is then written in its own format:
+first, until all are distinct. Later draws widen what can grow: host labels of
+addresses, syllables of names. What short numbers are left after ATTEMPTS draws
+is numbered through the free values of their length. Each spelling is then written in its own format:
 digits go into the places of digits, upper case stays upper case.
 
 Formats kept: the local part's classes of characters and the number of labels
@@ -50,6 +52,10 @@ LATIN = [a + b for a in ("b", "d", "f", "k", "l", "m", "n", "r", "s", "t", "v",
 CYRILLIC = [a + b for a in ("б", "д", "к", "л", "м", "н", "р", "с", "т", "в", "з", "г") for b in ("а", "е", "и", "о")]
 ENDINGS = {"given_f": ("na", "на"), "given_m": ("rik", "рик"), "surname": ("sen", "сен"), "given_u": ("li", "ли")}
 ATTEMPTS = 32
+#: Every so many attempts, draws get one label or syllable more.
+WIDEN = 4
+#: Numbers of up to so many digits are numbered through if draws don't end; there are too many longer ones to use up.
+SHORT = 9
 
 
 def _kind(raw: Column) -> Column:
@@ -96,13 +102,15 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(_chars(digits)), value), F.lit(0), lambda a, x: a + x)
 
 
-def _surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
-    seed = F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"))
+def _surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
+    seed = F.concat_ws("\x1f", F.lit(key), kind, norm, F.lit(str(attempt)))
+    wide = min(attempt // WIDEN, 12)  # 64 bytes of the stream last for so many labels
     blocks = F.sequence(F.lit(0), F.floor(F.length(norm) / 32).cast("int") + 1)
     stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", seed, b.cast("string")), 256)), "")
     local, labels = F.split(norm, "@")[0], F.size(F.split(F.get(F.split(norm, "@"), F.lit(1)), "\\."))
     host = F.concat(F.when(labels > 2, F.concat(F.repeat(F.lit("m."), labels - 3), F.lit("h"), (_byte(stream, F.lit(30)) * 256 + _byte(stream, F.lit(31))).cast("string"), F.lit("."))).otherwise(F.lit("")), F.lit("example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), _byte(stream, F.lit(29)) % 3 + 1))
-    email = F.concat(_redrawn(local, stream), F.lit("@"), host)
+    more = [F.concat(F.lit("h"), (_byte(stream, F.lit(32 + 2 * i)) * 256 + _byte(stream, F.lit(33 + 2 * i))).cast("string"), F.lit(".")) for i in range(wide)]
+    email = F.concat(_redrawn(local, stream), F.lit("@"), *more, host)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
     hexed = F.substring(stream, F.lit(1), F.length(norm))
     token = F.when(hexed.rlike("[a-f]"), hexed).otherwise(F.concat(F.lit("a"), F.substring(hexed, F.lit(2), F.length(norm) - 1)))
@@ -113,7 +121,7 @@ def _surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
     cyrillic = norm.rlike("\\p{IsCyrillic}")
 
     def name(k: str) -> Column:
-        made = lambda syllables, end: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(4), F.floor(F.length(norm) / 4)).cast("int") + 1), lambda i: F.element_at(F.array(*map(F.lit, syllables)), _byte(stream, i) % len(syllables) + 1)), ""), F.lit(end))
+        made = lambda syllables, end: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(4), F.floor(F.length(norm) / 4)).cast("int") + 1 + wide), lambda i: F.element_at(F.array(*map(F.lit, syllables)), _byte(stream, i) % len(syllables) + 1)), ""), F.lit(end))
         return F.when(cyrillic, made(CYRILLIC, ENDINGS[k][1])).otherwise(made(LATIN, ENDINGS[k][0]))
 
     drawn = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "token", token).when(kind == "card", card)
@@ -122,12 +130,30 @@ def _surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
     return drawn.otherwise(number)
 
 
+def _numbered(pending: DataFrame, taken: DataFrame, first_kept: bool) -> DataFrame:
+    """(kind, norm, surrogate): pending numbers in order beside the numbers of their length (and first digit) that aren't taken."""
+    spark = pending.sparkSession
+    head = F.substring("norm", 1, 1) if first_kept else F.lit("")
+    asked = pending.withColumn("head", head).withColumn("rest", F.length("norm") - F.length("head"))
+    free = None
+    for digits in sorted(r["rest"] for r in asked.select("rest").distinct().collect()):
+        groups = F.broadcast(asked.where(F.col("rest") == digits).select("kind", "head", "rest").distinct())
+        some = spark.range(10**digits).select(F.lpad(F.col("id").cast("string"), digits, "0").alias("tail")).crossJoin(groups).select("kind", "head", "rest", F.concat("head", "tail").alias("surrogate"))
+        free = some if free is None else free.unionByName(some)
+    free = free.join(taken, ["kind", "surrogate"], "left_anti")
+    place = ["kind", "head", "rest"]
+    free = free.withColumn("nth", F.row_number().over(W.partitionBy(*place).orderBy(F.xxhash64("surrogate"), "surrogate")))
+    asked = asked.withColumn("nth", F.row_number().over(W.partitionBy(*place).orderBy("norm")))
+    return asked.join(free, [*place, "nth"]).select("kind", "norm", "surrogate")
+
+
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) for distinct (kind, norm): surrogates of a kind are distinct and none is an entity."""
     real = entities.select("kind", F.col("norm").alias("surrogate"))
     done, pending = None, entities
-    for attempt in range(ATTEMPTS):
-        drawn = pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), key, F.lit(attempt)))
+    attempt = 0
+    while True:
+        drawn = pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("norm"), key, attempt))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
@@ -137,7 +163,18 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         pending = written(pending.join(kept.select("kind", "norm"), ["kind", "norm"], "left_anti"), "pending")
         if pending.isEmpty():
             return done
-    raise ValueError(f"no distinct surrogates after {ATTEMPTS} attempts: a format has fewer values than there are entities of it")
+        attempt += 1
+        short = F.col("kind").isin("phone", "ssn") & (F.length("norm") <= SHORT)
+        for first_kept in (True, False) if attempt == ATTEMPTS else ():
+            if (left := pending.where(short)).isEmpty():
+                break
+            kept = written(_numbered(left, real.unionByName(done.select("kind", "surrogate")), first_kept), "surrogates")
+            done = done.unionByName(kept)
+            pending = written(pending.join(kept.select("kind", "norm"), ["kind", "norm"], "left_anti"), "pending")
+        if attempt >= ATTEMPTS and not (left := pending.where(short)).isEmpty():
+            raise ValueError(f"{left.count()} numbers have no distinct surrogate: the corpus holds more than half of all numbers of their length")
+        if pending.isEmpty():
+            return done
 
 
 def _spelled(raw: Column, kind: Column, found: Column) -> Column:

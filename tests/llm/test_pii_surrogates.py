@@ -47,6 +47,19 @@ def test_replacement(spark):
     assert pii.replace(docs.limit(0), "k").count() == 0
 
 
+def test_small_formats_never_run_out(spark, monkeypatch):
+    """More entities than their first format has values, and numbers that take up almost half of theirs."""
+    monkeypatch.setattr(pii, "ATTEMPTS", 9)
+    rows = [("email", f"a@foo{i}.com") for i in range(300)] + [("surname", a + b + c) for a in "abcdefghijklmn" for b in "aeiouy" for c in "abcdefghijklmnopqrstuvwxyzäöü"] + [("phone", f"1{i:03}") for i in range(480)] + [("phone", f"2{i:02}") for i in range(80)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, norm string"), "k").collect()
+    made = {(r["kind"], r["surrogate"]) for r in got}
+    assert {(r["kind"], r["norm"]) for r in got} == set(rows) and len(got) == len(rows) == len(made) and not made & set(rows)
+    for r in got:
+        if r["kind"] == "phone":
+            assert len(r["surrogate"]) == len(r["norm"])
+            assert r["norm"][0] == "2" or r["surrogate"][0] == "1"
+
+
 def test_all_surrogates_are_distinct(spark):
     """1,000 numbers of four digits after a kept one: most first draws collide."""
     entities = spark.range(1000).selectExpr("'phone' kind", "cast(10000 + id * 7 as string) norm")
