@@ -55,7 +55,7 @@ def _point(n: Column) -> Column:
     """Fractional part of n times the golden ratio, without losing digits at large n."""
     part = lambda x: x - F.floor(x)
     low, high = n % (1 << 20), F.floor(n / (1 << 20))
-    return part(part(low * 0.6180339887498949) + part(high * 0.5281892866478302))
+    return part(part(low * 0.6180339887498949) + part(high * 0.6077874097403510))
 
 
 def schedule(sources: DataFrame, total: int) -> DataFrame:

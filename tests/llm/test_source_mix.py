@@ -1,4 +1,7 @@
 from collections import defaultdict
+from decimal import Decimal, getcontext
+
+from pyspark.sql import functions as F
 
 from repovitals.llm import source_mix
 
@@ -59,3 +62,13 @@ def test_empty_and_blank(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert sorted(map(tuple, source_mix.mix(docs).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
     assert source_mix.mix(docs.limit(0)).count() == 0
+
+
+def test_points_are_multiples_of_the_golden_ratio(spark):
+    getcontext().prec = 50
+    ratio = (Decimal(5).sqrt() - 1) / 2
+    ns = [0, 1, 5, (1 << 20) - 1, 1 << 20, (1 << 20) + 7, 3_000_001, 123_456_789]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", source_mix._point(F.col("n")).alias("u")).collect()
+    for r in got:
+        off = abs(r["u"] - float(r["n"] * ratio % 1))
+        assert min(off, 1 - off) < 1e-9, r["n"]
