@@ -11,7 +11,9 @@ at least one shingle of an item of their length: no other window can reach a
 similarity above zero, so none is lost.
 
 Items are held in memory in chunks of at most CHUNK_WORDS words; a larger
-benchmark takes one pass over the documents for each chunk.
+benchmark takes one pass over the documents for each chunk. Weights are those of
+the whole benchmark in every chunk: the shingles that two and more items hold
+are counted first, and all others weigh as if one item held them.
 
 Nulls: a null or blank text or item matches nothing; rows with a null doc_id are
 reported with it. Items shorter than five words match as a whole. Documents
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shingles
+from .common import WordHashes, shingles, written
 
 RADIUS = 16
 CHUNK_WORDS = 2_000_000
@@ -78,9 +80,11 @@ class HammingIndex:
 
 
 class Items:
-    """One chunk of the benchmark, laid out for matching."""
+    """One chunk of the benchmark, laid out for matching.
 
-    def __init__(self, rows: list[tuple[int, str]], width: int):
+    whole: items with words of the whole benchmark, and the holders of each shingle that several hold; else this is all of it."""
+
+    def __init__(self, rows: list[tuple[int, str]], width: int, whole: tuple[int, dict[int, int]] | None = None):
         hashes = WordHashes()
         self.width, self.ids, self.sets = width, [], []
         sized, holders = defaultdict(list), Counter()
@@ -91,7 +95,7 @@ class Items:
                 self.ids.append(item)
                 self.sets.append(Counter(features.tolist()))
                 holders.update(set(features.tolist()))
-        n = len(self.ids)
+        n, holders = whole or (len(self.ids), holders)
         self.weight = {s: float(np.log(1 + n / k)) for s, k in holders.items()}
         self.other = float(np.log(1 + n))
         self.table, self.holders = {}, {}
@@ -144,20 +148,38 @@ class Items:
         """Weighted Jaccard similarity of an item's shingles and a window's."""
         mine, its = self.sets[i], Counter(features.tolist())
         both = sum(self.weight.get(s, self.other) * min(n, mine[s]) for s, n in its.items() if s in mine)
-        return both / (sum(self.weight[s] * n for s, n in mine.items()) + sum(self.weight.get(s, self.other) * n for s, n in its.items()) - both)
+        return both / (sum(self.weight.get(s, self.other) * n for s, n in mine.items()) + sum(self.weight.get(s, self.other) * n for s, n in its.items()) - both)
+
+
+def shared_shingles(benchmark: DataFrame, width: int) -> tuple[int, dict[int, int]]:
+    """Items that have words, and how many items hold each shingle that more than one holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for text in batch.column(0):
+                if found := plain_words(text.as_py()):
+                    held = np.unique(shingles(hashes.of(found), width))
+                    yield pa.record_batch([pa.array(np.append(held.view(np.int64), 0)), pa.array(np.append(np.zeros(len(held), bool), True))], ["shingle", "item"])
+
+    found = written(benchmark.select(F.col("text").cast("string")).where("text IS NOT NULL").mapInArrow(run, "shingle long, item boolean").groupBy("shingle", "item").count(), "holders")
+    items = found.where("item").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    several = found.where("NOT item AND count > 1").select("shingle", "count").toLocalIterator()
+    return items, {s & (1 << 64) - 1: k for s, k in several}
 
 
 def chunks(benchmark: DataFrame, width: int) -> Iterator[Items]:
     """The benchmark's items, at most CHUNK_WORDS words at a time on the driver."""
-    rows, held = [], 0
+    rows, held, whole = [], 0, None
     for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
         rows.append((item, text))
         held += len(plain_words(text))
         if held >= CHUNK_WORDS:
-            yield Items(rows, width)
+            whole = whole or shared_shingles(benchmark, width)
+            yield Items(rows, width, whole)
             rows, held = [], 0
     if rows:
-        yield Items(rows, width)
+        yield Items(rows, width, whole)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:

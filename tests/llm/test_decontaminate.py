@@ -45,3 +45,18 @@ def test_chunks_give_the_same(spark, monkeypatch):
     one = sorted(x[:2] for x in de.matches(docs, bench).collect())
     monkeypatch.setattr(de, "CHUNK_WORDS", 5)
     assert sorted(x[:2] for x in de.matches(docs, bench).collect()) == one == [(0, 0), (1, 1)]
+
+
+def test_weights_are_those_of_the_whole_benchmark(spark, monkeypatch):
+    """Boilerplate that items of several chunks share, and near copies whose similarity hangs on its weight."""
+    r = random.Random(6)
+    make = lambda n: [f"v{r.randrange(400)}" for _ in range(n)]
+    same = make(15)
+    items = [same + make(25) for _ in range(12)]
+    docs = [(i, " ".join(make(20) + items[i][:39] + ["other"] + make(20))) for i in range(12)] + [(20 + i, " ".join(make(15) + items[i][15:])) for i in range(12)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    run = lambda: sorted((*x[:5], round(x[5], 12)) for x in de.matches(docs, bench, threshold=0.6).collect())
+    one = run()
+    monkeypatch.setattr(de, "CHUNK_WORDS", 100)
+    assert len(one) >= 12 and run() == one
