@@ -6,7 +6,8 @@ costs a task and not a stage. All but the last return the columns of documents.
 
 Nulls and repeats follow the operators: documents without a letter go at the
 first stage, so a null text doesn't get past it; a document with a null doc_id
-links with nothing; repeated rows of a doc_id are one document to the join."""
+links with nothing; rows of a doc_id with the same text are one document to the
+join, and rows with different texts are documents of their own."""
 
 from __future__ import annotations
 
@@ -26,16 +27,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep(docs, langid.train(langid.training_fold(docs)))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key: the doc_id, but another number for each further text (by its hash) under a doc_id."""
+    spark = docs.sparkSession
+    prints = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_print"))
+    several = written(prints.groupBy("doc_id").agg(F.min("text_print").alias("first"), F.max("text_print").alias("last")).where("first <> last"), "several")
+    if several.isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    start, step = (high + 1, 1) if high < 1 << 62 else (low - 1, -1)
+    others = prints.join(several, "doc_id").where("text_print <> first").select("doc_id", "text_print").distinct().orderBy("doc_id", "text_print")
+    numbers = spark.createDataFrame(others.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], start + step * x[1])), "doc_id long, text_print long, other_key long")
+    marked = docs.withColumn("text_print", F.xxhash64("text")).join(written(numbers, "numbers"), ["doc_id", "text_print"], "left")
+    return written(marked.select(*docs.columns, F.coalesce("other_key", "doc_id").alias("row_key")), "keyed")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near copies, once."""
-    found = partenum.jaccard_components(docs.select("doc_id", "text"))
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """Keeps one text of each component of near copies, once: of the smallest doc_id, further texts under a doc_id last."""
+    keyed = _keyed(docs)
+    found = partenum.jaccard_components(keyed.select(F.col("row_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row_key")
+    gone = written(found.where("component_id <> row_key").select("row_key").distinct(), "gone")
+    kept = keyed.join(gone, "row_key", "left_anti").select("row_key", *docs.columns)
+    repeated = written(found.where("row_key IS NOT NULL").groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(repeated, "row_key", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

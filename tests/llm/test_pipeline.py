@@ -53,3 +53,15 @@ def test_stages_against_plain_python(spark, tmp_path):
     for x in out:
         ids = np.array(plain.encode(texts[x["doc_id"]], add_special_tokens=False).ids + [0], "<u4")
         assert x["n_tokens"] == len(ids) and x["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
+def test_texts_under_a_reused_doc_id_are_documents_of_their_own(spark):
+    r = random.Random(3)
+    a, b, c = (text("en", 60, r) for _ in range(3))
+    rows = [(1, a, "s1"), (2, b, "s1"), (2, a, "s2"), (2, c, "s3"), (2, c, "s0"), (3, c, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 4):
+        got = corpus_pipeline.one_of_each_group(spark, docs.repartition(parts), "")
+        assert got.columns == docs.columns
+        got = [tuple(x) for x in got.collect()]
+        assert sorted(x[1] for x in got) == sorted([a, b, c]) and (1, a, "s1") in got and all(x[2] != "s3" for x in got)
