@@ -1,8 +1,8 @@
 """Token ids in files of canonical length-limited Huffman blocks.
 
 Writing takes three jobs. The first encodes every text once and keeps the ids
-as packed binaries in a shared table; the second counts ids over all rows; the
-third orders documents by id over ranges, and each range writes blocks of whole
+as packed binaries in a shared table, and each task's counts of ids beside them;
+the second adds up the counts; the third orders documents by id over ranges, and each range writes blocks of whole
 documents: the code bits of all ids of the block, and the bit offset of every
 256th id. The code is canonical, so the file keeps one length for each id and
 nothing else. Reading decodes blocks independently, and within a block all
@@ -128,19 +128,34 @@ class Decoder:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, packed): the ids of each whole text and the end id, packed by zstd."""
+    """(doc_id, packed, counts): the ids of each whole text and the end id, packed by zstd.
+
+    counts is null, but in one row more of each task, which holds how often each id came in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, press, end = encoder(tokenizer), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes()
-        narrow = max(coder.size, end_id + 1) <= 1 << 16
+        coder, press = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        size = max(coder.size, end_id + 1)
+        wide = id_type(size)
+        end, total = np.array([end_id], wide).tobytes(), np.zeros(size, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [coder.encode(t) + end for t in part.column(1).to_pylist()]
-                plain = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if narrow else x for x in found]
-                yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([press.compress(x) for x in plain], pa.binary())], ["doc_id", "n_tokens", "packed"])
+                if wide == coder.wide:
+                    found = [coder.codes(t) + end for t in part.column(1).to_pylist()]
+                else:
+                    found = [np.frombuffer(coder.codes(t), coder.wide).astype(wide).tobytes() + end for t in part.column(1).to_pylist()]
+                for lo in range(0, len(found), 32):
+                    total += np.bincount(np.frombuffer(b"".join(found[lo : lo + 32]), wide), minlength=size)
+                yield pa.record_batch([part.column(0), pa.array([press.compress(x) for x in found], pa.binary()), pa.nulls(len(found), pa.binary())], ["doc_id", "packed", "counts"])
+        if (used := np.flatnonzero(total)).size:
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary())], ["doc_id", "packed", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, packed binary, counts binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, packed binary")
+
+def id_type(size: int) -> str:
+    """How ids below `size` are packed."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def unpacked(part: pa.RecordBatch, wide: str) -> list[np.ndarray]:
@@ -154,21 +169,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits:
     Counts go to the driver: at most one row for each id of the vocabulary."""
     spark = docs.sparkSession
     size = max(encoder(tokenizer).size, end_id + 1)
-    wide = "<u2" if size <= 1 << 16 else "<u4"
+    wide = id_type(size)
     kept = new_path(spark, "ids")
     encoded(docs, tokenizer, end_id).write.option("compression", "uncompressed").parquet(kept)
     ids = spark.read.parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in unpacked(batch, wide):
-                total += np.bincount(x, minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
+            for x in batch.column(0).to_pylist():
+                used, n = np.frombuffer(x, "<i8").reshape(2, -1)
+                yield pa.record_batch([pa.array(used), pa.array(n)], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for row in ids.select("packed").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in ids.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     used = int((counts > 0).sum())
     bits = max(max_bits, (max(1, used - 1)).bit_length() + 1 if used > 1 << (max_bits - 1) else max_bits)
@@ -180,6 +193,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, part, number, first = canonical_codes(lengths), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
+        held_ids = 0
 
         def block() -> pa.RecordBatch:
             ids = np.concatenate([x for _, x in held])
@@ -190,17 +204,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits:
         for batch in batches:
             for d, x in zip(batch.column("doc_id").to_pylist(), unpacked(batch, wide), strict=True):
                 held.append((d, x))
-                if sum_of(held) >= BLOCK_TOKENS:
+                held_ids += len(x)
+                if held_ids >= BLOCK_TOKENS:
                     yield block()
-                    number, first, held = number + 1, first + sum_of(held), []
+                    number, first, held, held_ids = number + 1, first + held_ids, [], 0
         if held:
             yield block()
 
-    def sum_of(held: list) -> int:
-        return sum(len(x) for _, x in held)
-
     n = num_partitions or partitions(spark)
-    ordered = ids.select("doc_id", "packed").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "packed")
+    ordered = ids.where("packed IS NOT NULL").select("doc_id", "packed").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "packed")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_path(spark, kept)
 

@@ -23,6 +23,8 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: White space of either library beside the space and the line feed; and the runs of those two.
 _OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x20, 0x0A)]
 _RUNS = ("  ", "\n\n", " \n", "\n ")
+#: Marks that are a token of their own after letters.
+_MARKS = frozenset(".,:;!?|")
 
 
 class _Cache(dict):
@@ -34,7 +36,7 @@ class _Cache(dict):
     def __missing__(self, piece: str):
         value = self.old.get(piece)
         if value is None:
-            value = self.make(piece if piece[0] == "\n" else " " + piece)
+            value = self.make(piece, True)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -49,47 +51,52 @@ class _Cache(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         told = json.loads(self.tokenizer.to_str())
         pre = told.get("pre_tokenizer") or {}
         self.split = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not told["model"].get("dropout")
         self.special = [x["content"] for x in told.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: How codes() writes an id: type codes of array and of numpy.
+        self.kind, self.wide = ("H", "<u2") if self.size <= 1 << 16 else ("I", "<u4")
         self.pieces = _Cache(self._encode, cache)
         self._single: set[str] | None = None
         self.counts = _Cache(self._count, cache)
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _merge(self, pre: str) -> list[int]:
         """Ids of one pre-token, by the library's merges."""
-        if pre.isascii() and pre[1:].isalnum():  # the usual pre-token: bytes are shown as they are, but for a space
-            shown = "\u0120" + pre[1:] if pre[0] == " " else pre
-        else:
-            shown = pre
-        if shown is pre:
-            shown = pre.encode().decode("latin-1").translate(_SHOWN)
-        return [x.id for x in self.model.tokenize(shown)]
-
-    def _encode(self, piece: str) -> bytes:
-        if not self.split:
-            return self._whole(piece)
-        if piece[0] == " ":
-            if piece[1:].isalpha() and (piece.isascii() or max(piece) <= "\xff"):  # one pre-token
-                return array("I", self._merge(piece)).tobytes()
-            if piece[-1] in ".,:;!?|" and piece[1:-1].isalpha():  # one pre-token and a mark, which is its own
-                return self.pieces[piece[1:-1]] + self.pieces.mark(piece[-1])
-        if not piece.isascii() and max(piece) > "\xff":  # the classes of other characters are the library's own
-            return self._whole(piece)
+        return [x.id for x in self.tokenize(pre.encode().decode("latin-1").translate(_SHOWN))]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+    def _encode(self, piece: str, spaced: bool = False) -> bytes:
+        """The packed ids of a piece, after a space unless it begins with a line feed."""
+        if spaced and self.split and piece and piece[0] != "\n":
+            if piece.isascii():
+                if piece.isalpha() or piece.isdigit():  # one pre-token, whose bytes are shown as they are, but for the space
+                    return array(self.kind, [x.id for x in self.tokenize("\u0120" + piece)]).tobytes()
+                if piece[-1] in _MARKS and piece[:-1].isalpha():  # one pre-token and a mark, which is its own
+                    return self.pieces[piece[:-1]] + self.pieces.mark(piece[-1])
+            elif max(piece) <= "\xff" and piece.isalpha():
+                return self._packed(self._merge(" " + piece))
+            elif piece[-1] in _MARKS and piece[:-1].isalpha():
+                return self.pieces[piece[:-1]] + self.pieces.mark(piece[-1])
+        if spaced and piece[:1] != "\n":
+            piece = " " + piece
+        if not self.split or (not piece.isascii() and max(piece) > "\xff"):  # the classes of other characters are the library's own
+            return self._packed(self._whole(piece))
         ids: list[int] = []
         for pre in PRE_TOKEN.findall(piece):
             ids += self._merge(pre)
-        return array("I", ids).tobytes()
+        return self._packed(ids)
 
     def parts(self, text: str) -> list[str] | None:
         """The pieces after the first one's leading character, or None where the text must be encoded whole."""
@@ -97,14 +104,18 @@ class Encoder:
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers; a null is empty."""
+    def codes(self, text: str | None) -> bytes:
+        """Ids of a whole text in little-endian integers of kind `wide`; a null is empty."""
         if not text:
             return b""
         if (found := self.parts(text)) is None:
-            return self._whole(text)
+            return self._packed(self._whole(text))
         return self._encode(found[0]) + b"".join(map(self.pieces.__getitem__, found[1:]))
 
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers; a null is empty."""
+        return np.frombuffer(self.codes(text), self.wide).astype("<u4").tobytes()
+
     # Counting: whole-token shortcut.
 
     @property
@@ -122,19 +133,22 @@ class Encoder:
             self._single = {t for t, e in zip(texts, coded, strict=True) if e.ids == [found[t]]}
         return self._single
 
-    def _count(self, piece: str) -> int:
-        if self.split and piece[0] == " " and piece[-1] in ".,:;!?|" and piece[1:-1].isalpha():
-            return self.counts[piece[1:-1]] + 1
-        if not self.split or max(piece) > "\xff":
-            return len(self._whole(piece)) // 4
-        return sum(1 if pre in self.single else len(self._merge(pre)) for pre in PRE_TOKEN.findall(piece))
+    def _count(self, piece: str, spaced: bool = False) -> int:
+        """Ids of a piece, after a space unless it begins with a line feed."""
+        if spaced and piece[:1] != "\n":
+            if self.split and piece[-1:] in _MARKS and piece[:-1].isalpha():
+                return self.counts[piece[:-1]] + 1
+            piece = " " + piece
+        if not self.split or (not piece.isascii() and max(piece) > "\xff"):
+            return len(self._whole(piece))
+        return sum(1 if pre in self.single else len(self._merge(pre)) for pre in ((piece,) if piece[:1] == " " and piece[1:].isalpha() else PRE_TOKEN.findall(piece)))
 
     def count(self, text: str | None) -> int:
         """Number of ids of a whole text."""
         if not text:
             return 0
         if (found := self.parts(text)) is None:
-            return len(self._whole(text)) // 4
+            return len(self._whole(text))
         return self._count(found[0]) + sum(map(self.counts.__getitem__, found[1:]))
 
 
