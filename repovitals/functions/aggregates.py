@@ -32,6 +32,21 @@ def inclusive_percentile(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(ranks, value)
 
 
+def global_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
+    """Adds the place of each row by value, largest first, and tie. The value (a double from 0 to 1) is dealt to
+    RANK_CELLS cells, so that only counts of cells are ordered in one task and rows are ordered within their cell."""
+    cell = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(value))) * RANK_CELLS)
+    placed = df.withColumn("__c", F.coalesce(cell, F.lit(-1)))
+    before = F.coalesce(F.sum("__k").over(W.orderBy(F.desc("__c")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = placed.groupBy("__c").agg(F.count("*").alias("__k")).withColumn("__b", before).select("__c", "__b")
+    inside = F.row_number().over(W.partitionBy("__c").orderBy(F.desc(value), tie))
+    return placed.withColumn("__r", inside).join(F.broadcast(cells), "__c").withColumn(name, (F.col("__r") + F.col("__b")).cast("int")).drop("__c", "__r", "__b")
+
+
+#: Cells that values from 0 to 1 are dealt to for a rank: at most so many rows of counts are broadcast.
+RANK_CELLS = 4096
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(F.when(value.isNotNull(), weight))
 

@@ -11,13 +11,19 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """spark.checkpoint.dir, or the checkpoint folder set on the context; a folder of our own in local runs that set neither.
+
+    On a cluster that would be a folder of one machine, so there it is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="repovitals-")
-    return _own[app]
+    context = spark.sparkContext
+    if (chosen := context._jsc.sc().getCheckpointDir()).isDefined():
+        return chosen.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="repovitals-")
+    return _own[context.applicationId]
 
 
 def materialised(df: DataFrame, name: str = "step") -> DataFrame:

@@ -126,7 +126,21 @@ def sorted_json(mapping) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(mapping)))))
 
 
+#: Naming conventions and their patterns, in the order in which they are tried.
+CASINGS = {
+    "camelCase": "^[a-z][a-zA-Z0-9]*$",
+    "UPPER_SNAKE_CASE": "^[A-Z][A-Z0-9_]*$",
+    "PascalCase": "^[A-Z][a-zA-Z0-9]*$",
+    "snake_case": "^[a-z][a-z0-9_]*$",
+    "kebab-case": "^[a-z][a-z0-9-]*$",
+}
+
+
 def casing(name) -> Column:
     """Naming convention of an identifier."""
-    x = col(name)
-    return F.when(x.rlike("^[a-z][a-z0-9]*$"), "lower").when(x.rlike("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$|^[A-Z][A-Z0-9]+$"), "SCREAMING_SNAKE").when(x.rlike("^[a-z][a-z0-9]*(_[a-z0-9]+)+$"), "snake_case").when(x.rlike("^[a-z][a-z0-9]*(-[a-z0-9]+)+$"), "kebab-case").when(x.rlike("^[a-z][a-zA-Z0-9]*$"), "camelCase").when(x.rlike("^[A-Z][a-zA-Z0-9]*$"), "PascalCase").otherwise("mixed")
+    return F.coalesce(*(F.when(col(name).rlike(p), F.lit(k)) for k, p in CASINGS.items()), F.lit("unrecognized"))
+
+
+def matches_casing(name, convention: Column) -> Column:
+    """Whether a name keeps a convention; null for an unknown one."""
+    return F.coalesce(*(F.when(convention == k, col(name).rlike(p)) for k, p in CASINGS.items()))

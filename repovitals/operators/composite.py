@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import inclusive_percentile
+from ..functions.aggregates import global_rank, inclusive_percentile
 from ..functions.scalars import above_floor, blend_weight, clamp01, magnitude, soft_gate
 
 
@@ -27,15 +27,15 @@ def quadrants(facts: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(mid)).withColumn("quadrant", name).drop("mc", "mh")
 
 
-def risks(facts: DataFrame) -> DataFrame:
+def risks(facts: DataFrame, rank: bool = True) -> DataFrame:
     """facts: (file, complexity, churn, weighted, ownership, coverage, cochange), the last four null where unknown.
 
-    Risk is the weighted mean of the factors a file has; absent is not zero. Rank by risk, then file."""
+    Risk is the weighted mean of the factors a file has; absent is not zero. rank: by risk, then file."""
     churn = F.coalesce(magnitude("weighted", 2, 0.5), magnitude("churn", 2, 0.5))
     risk = weighted_present([(magnitude("complexity", 5, 0.5), 0.35), (churn, 0.25), (F.col("ownership"), 0.15), (F.col("coverage"), 0.15), (F.col("cochange"), 0.10)])
     gate = soft_gate("churn", 2, 0.5) * soft_gate("complexity", 5, 0.5)
-    scored = facts.withColumn("risk", F.round(risk, 9)).withColumn("gate", F.round(gate, 9))
-    return scored.where("gate > 0").withColumn("rank", F.row_number().over(W.orderBy(F.desc("risk"), "file")))
+    scored = facts.withColumn("risk", F.round(risk, 9)).withColumn("gate", F.round(gate, 9)).where("gate > 0")
+    return global_rank(scored, "risk", "file", "rank") if rank else scored
 
 
 def risk_score(ranked: DataFrame, top: int = 10) -> DataFrame:

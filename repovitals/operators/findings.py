@@ -14,12 +14,13 @@ from ..functions.scalars import clamp01, saturating
 
 @dataclass(frozen=True)
 class Finding:
-    """formula: what the weighted count becomes; weights: of kinds (others 1); at: the formula's constants."""
+    """formula: what the weighted count becomes; weights: of kinds (`others` for the rest); at: the formula's constants."""
 
     formula: str
     weights: dict[str, float] = field(default_factory=dict)
     boundary: float = 1.0
     at: tuple[float, ...] = ()
+    others: float = 1.0
 
 
 #: Formulas, weights of kinds and thresholds of the finding signals.
@@ -49,14 +50,14 @@ SIGNALS = {
     "RS-SL-04": Finding("capped", at=(25, 0.8)),
     "RS-SL-03": Finding("unwrap", at=(0.05, 0.001, 0.5)),
     "RS-RP-02": Finding("capped", at=(10_000, 1.0)),
-    "RS-SL-02": Finding("zero-or-count", {"missing": 1, "expired": 1}, at=(25,)),
+    "RS-SL-02": Finding("zero-or-count", {"missing": 1, "expired": 1}, at=(25,), others=0.0),
 }
 
 
 def weighed(facts: DataFrame, signal: str) -> DataFrame:
     """facts: (kind, boundary boolean, n). One row (weighted, boundary_weighted, n, warned)."""
     s = SIGNALS[signal]
-    w = F.lit(1.0)
+    w = F.lit(float(s.others))
     for kind, weight in s.weights.items():
         w = F.when(F.col("kind") == kind, float(weight)).otherwise(w)
     full = w * F.when(F.coalesce("boundary", F.lit(False)), float(s.boundary)).otherwise(1.0) * F.col("n")
@@ -93,6 +94,40 @@ def score(facts: DataFrame, signal: str, size: float) -> DataFrame:
     return weighed(facts, signal).select(F.lit(signal).alias("signal_id"), "n", F.round("weighted", 6).alias("weighted"), F.round(formula(signal, F.lit(float(size))), 9).alias("score"))
 
 
+def score_all(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(signal_id, n, weighted, score) of every signal of SIGNALS that has a row in sizes, in one aggregation.
+
+    counts: (signal_id, kind, boundary, n); sizes: (signal_id, size). Weights are a small table that facts join by kind."""
+    spark = counts.sparkSession
+    weights = [(i, k, float(w)) for i, s in SIGNALS.items() for k, w in s.weights.items()]
+    shapes = [(i, s.formula, float(s.boundary), [float(x) for x in s.at], float(s.others)) for i, s in SIGNALS.items()]
+    by_kind = spark.createDataFrame(weights, "signal_id string, kind string, w double")
+    shape = spark.createDataFrame(shapes, "signal_id string, formula string, b double, at array<double>, others double")
+    met = counts.join(F.broadcast(by_kind), ["signal_id", "kind"], "left").join(F.broadcast(shape.select("signal_id", "b", "others")), "signal_id")
+    w = F.coalesce("w", "others")
+    inside = F.coalesce("boundary", F.lit(False))
+    full = w * F.when(inside, F.col("b")).otherwise(1.0) * F.col("n")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    sums = met.groupBy("signal_id").agg(F.sum(full).alias("weighted"), F.sum(F.when(inside, full)).alias("bw"), F.sum("n").alias("n"), F.sum(F.when(w > 0, F.col("n"))).alias("warned"))
+    every = shape.join(F.broadcast(sizes), "signal_id").join(sums, "signal_id", "left")
+    row = every.select("signal_id", "formula", "at", F.col("size").cast("double").alias("size"), *(zero(F.col(c).cast("double")).alias(c) for c in ("weighted", "bw", "n", "warned")))
+    x, size, at = F.col("weighted"), F.col("size"), lambda i: F.get(F.col("at"), F.lit(i))
+    share = F.coalesce(x / F.nullif("size", F.lit(0.0)), F.lit(0.0))
+    d = F.coalesce((F.col("n") - F.col("warned")) / F.nullif("size", F.lit(0.0)), F.lit(0.0))
+    by = {
+        "saturating": saturating(x / at(0)),
+        "capability": saturating(x) * (1 - at(0) * d / (1 + d)),
+        "density": saturating(F.greatest(share / at(0), F.col("bw") / at(1))),
+        "share": clamp01(1 - share),
+        "double-share": 1 - F.least(F.lit(1.0), 2 * share),
+        "capped": 1 - F.least(at(1), x / at(0)),
+        "unwrap": 1 - F.least(at(2), at(0) * size + at(1) * x),
+        "zero-or-count": F.when(F.col("warned") > 0, 0.0).otherwise(1 - F.least(F.lit(1.0), F.col("n") / at(0))),
+    }
+    score_ = F.coalesce(*(F.when(F.col("formula") == k, v) for k, v in by.items()))
+    return row.select("signal_id", F.col("n").cast("long").alias("n"), F.round("weighted", 6).alias("weighted"), F.round(score_, 9).alias("score"))
+
+
 def complexity_score(functions: DataFrame, least: int = 20) -> DataFrame:
     """functions: (complexity). Pressure: the larger of min(1, 2 share above) and how far the worst is above."""
     over = F.count(F.when(F.col("complexity") > least, 1))
@@ -132,10 +167,15 @@ def unused_score(exports: DataFrame) -> DataFrame:
     return counted.agg(F.count("*").alias("exports"), F.round(clamp01(1 - F.coalesce(F.sum(bad) / F.sum("weight"), F.lit(0.0))), 9).alias("score"))
 
 
+def pr_size_penalty(lines: Column, small: int = 100, medium: int = 300, large: int = 500) -> Column:
+    """0 up to the small budget, then in a straight line to .2 at the medium one, .4 at the large one and .6 two hundred lines on."""
+    share = lambda a, b: F.lit(1.0) if b <= a else (lines - a) / (b - a)
+    return F.when(lines <= small, 0.0).when(lines <= medium, 0.2 * share(small, medium)).when(lines <= large, 0.2 + 0.2 * share(medium, large)).otherwise(F.least(F.lit(0.6), 0.4 + (lines - large) / 1000))
+
+
 def pr_size_score(lines: Column, boundary: Column, package: Column) -> Column:
-    """Budgets of 100, 300 and 500 changed lines; new boundary and package edges."""
-    size = F.when(lines <= 100, 0.0).when(lines <= 300, 0.1).when(lines <= 500, 0.3).otherwise(0.5)
-    return clamp01(1 - size - 0.2 * boundary - 0.1 * package)
+    """What changed lines cost, and new boundary and package edges."""
+    return F.greatest(F.lit(0.0), 1 - pr_size_penalty(lines) - 0.2 * boundary - 0.1 * package)
 
 
 def implementation_score(interfaces: DataFrame, least: int = 5) -> DataFrame:

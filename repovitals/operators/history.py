@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialised
 from ..functions.scalars import age_days, half_life
 
 
@@ -17,11 +18,45 @@ def in_window(facts: DataFrame, days: float, at: str = "committed_at") -> DataFr
 
 
 def latest_commits(commits: DataFrame, days: float, most: int) -> DataFrame:
-    """The latest `most` commits of the window (ties by sha), with head and `sampled`: whether the cap was reached."""
-    recent = in_window(commits, days).orderBy(F.desc("committed_at"), "sha").limit(most)
+    """The latest `most` commits of the window (ties by sha), with head and `sampled`: whether the cap was reached.
+
+    The anchor is read first, so that the scan gets a literal to prune by."""
+    head = commits.agg(F.max("committed_at").alias("head")).first()["head"]
+    since = F.lit(head) - F.expr(f"INTERVAL {int(days * 86_400)} SECONDS")
+    recent = commits.where(F.col("committed_at") >= since).orderBy(F.desc("committed_at"), "sha").limit(most).withColumn("head", F.lit(head))
     return recent.withColumn("sampled", F.count("*").over(W.partitionBy()) >= most)
 
 
+def commit_count(commits: DataFrame, days: float) -> DataFrame:
+    """(commits): those of the window that are no merges. commits: (sha, committed_at, parents)."""
+    return in_window(commits, days).where(F.size("parents") < 2).agg(F.count("*").alias("commits"))
+
+
+def commit_range(commits: DataFrame, first: str, last: str) -> DataFrame:
+    """(sha, committed_at) of commits that `last` holds and `first` doesn't, the oldest first. commits: (sha, committed_at, parents)."""
+    from .graph import ancestors
+
+    parents = commits.select("sha", F.explode("parents").alias("parent"))
+    inside = ancestors(parents, last).join(ancestors(parents, first), "node", "left_anti")
+    return commits.join(inside.withColumnRenamed("node", "sha"), "sha").select("sha", "committed_at").orderBy("committed_at", "sha")
+
+
+def file_at(trees: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (sha, file) with the file's text there, null where it is missing. trees: (sha, file, text)."""
+    return wanted.join(trees.select("sha", "file", "text"), ["sha", "file"], "left")
+
+
+def last_change(blamed: DataFrame, places: DataFrame, width: int = 64) -> DataFrame:
+    """(id, changed_in, changed_at) of places (id, file, start, end): the latest commit of their lines. blamed: (file, line, sha, at).
+
+    A range join by blocks of lines; a place without blamed lines has nulls."""
+    block = lambda c: (F.col(c) / width).cast("int")
+    spread = places.select("id", "file", "start", "end", F.explode(F.sequence(block("start"), block("end"))).alias("b"))
+    met = spread.join(blamed.select("file", "line", "sha", "at", block("line").alias("b")), ["file", "b"]).where("line BETWEEN start AND end")
+    last = met.groupBy("id").agg(F.max_by(F.struct("sha", "at"), F.struct("at", "sha")).alias("m")).select("id", F.col("m.sha").alias("changed_in"), F.col("m.at").alias("changed_at"))
+    return places.select("id").join(last, "id", "left")
+
+
 def recent_churn(touches: DataFrame, commits: DataFrame, days: int = 90, most: int = 500) -> DataFrame:
     """(file, touch_count, sampled): commits that touch each file in the window."""
     recent = latest_commits(commits, days, most).select("sha", "sampled")
@@ -34,28 +69,44 @@ def weighted_churn(touches: DataFrame, commits: DataFrame, days: int = 90, most:
     return touches.join(F.broadcast(recent), "sha").groupBy("file").agg(F.count("*").alias("touch_count"), F.round(F.sum(half_life(age_days("committed_at", "head"), life)), 9).alias("weighted"), F.max("committed_at").alias("last_touched_at"))
 
 
+#: Files of one commit that are paired in one task.
+WIDE = 512
+
+
 def cochange_pairs(touches: DataFrame, least: int = 2, widest: int | None = None) -> DataFrame:
     """Pairs of files that commits change together, with support over commits and confidence over the busier file.
 
-    widest: leave out commits of more files than this, which bounds what one commit adds; None keeps all."""
-    plain = touches.select("sha", "file", "committed_at").dropDuplicates(["sha", "file"])
-    if widest is not None:
-        plain = plain.withColumn("__n", F.count("*").over(W.partitionBy("sha"))).where(F.col("__n") <= widest).drop("__n")
-    other = plain.select("sha", F.col("file").alias("right_file"))
-    pairs = plain.withColumnRenamed("file", "left_file").join(other, "sha").where("left_file < right_file")
+    A commit of more than WIDE files is dealt to blocks, and pairs of blocks meet, so that it is many tasks. widest:
+    leave out commits of more files than this, which bounds what one commit adds; None keeps all."""
+    plain = materialised(touches.select("sha", "file", "committed_at").dropDuplicates(["sha", "file"]), "touches")
+    wide = materialised(plain.groupBy("sha").agg(F.count("*").alias("__n")).where(F.col("__n") > min(WIDE, widest or WIDE)), "wide")
+    pairs = plain.select("sha", F.col("file").alias("left_file"), "committed_at").join(plain.select("sha", F.col("file").alias("right_file")), "sha").where("left_file < right_file").select("left_file", "right_file", "committed_at")
+    if not wide.isEmpty():
+        if widest is not None:
+            plain = plain.join(wide.where(F.col("__n") > widest).select("sha"), "sha", "left_anti")
+        dealt = plain.join(wide, "sha", "left").withColumn("blocks", F.ceil(F.coalesce("__n", F.lit(1)) / WIDE).cast("int")).withColumn("b", F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int"))
+        met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sha", "committed_at", "file", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+        other = met.select("sha", "i", "j", F.col("file").alias("right_file"), F.col("b").alias("rb"))
+        pairs = met.withColumnRenamed("file", "left_file").join(other, ["sha", "i", "j"]).where("left_file < right_file AND (i = j OR b <> rb)").select("left_file", "right_file", "committed_at")
     pairs = pairs.groupBy("left_file", "right_file").agg(F.count("*").alias("co_change_count"), F.max("committed_at").alias("last_co_changed_at")).where(F.col("co_change_count") >= least)
     counts = plain.groupBy("file").agg(F.count("*").alias("n"))
     total = plain.agg(F.count_distinct("sha").alias("commits"))
     of = lambda side: counts.select(F.col("file").alias(f"{side}_file"), F.col("n").alias(f"{side}_touch_count"))
     met = pairs.join(of("left"), "left_file").join(of("right"), "right_file").join(F.broadcast(total))
-    return met.select("left_file", "right_file", "co_change_count", "left_touch_count", "right_touch_count", F.round(F.col("co_change_count") / F.col("commits"), 12).alias("support"), F.round(F.col("co_change_count") / F.greatest("left_touch_count", "right_touch_count"), 12).alias("confidence"), "last_co_changed_at")
+    support, confidence = F.col("co_change_count") / F.col("commits"), F.col("co_change_count") / F.greatest("left_touch_count", "right_touch_count")
+    return met.select("left_file", "right_file", "co_change_count", "left_touch_count", "right_touch_count", F.round(support, 12).alias("support"), F.round(confidence, 12).alias("confidence"), "last_co_changed_at")
+
+
+def cochange_order(pairs: DataFrame) -> DataFrame:
+    """Pairs with the most telling first: by count, confidence, support, then files."""
+    return pairs.orderBy(F.desc("co_change_count"), F.desc("confidence"), F.desc("support"), "left_file", "right_file")
 
 
 def resolve_aliases(authors: DataFrame, aliases: DataFrame) -> DataFrame:
     """authors: (..., author, name, email); aliases: (alias, canonical). The full text is tried, then name, then email."""
     out = authors
     for i, part in enumerate(("author", "name", "email")):
-        out = out.join(F.broadcast(aliases.select(F.col("alias").alias(part), F.col("canonical").alias(f"__c{i}"))), part, "left")
+        out = out.join(aliases.select(F.col("alias").alias(part), F.col("canonical").alias(f"__c{i}")), part, "left")
     return out.withColumn("canonical", F.coalesce("__c0", "__c1", "__c2", "author")).drop("__c0", "__c1", "__c2")
 
 
@@ -147,14 +198,38 @@ def added_in_window(touches: DataFrame, newest: int = 14, oldest: int = 28) -> D
     return touches.join(F.broadcast(head)).where((age >= newest) & (age <= oldest)).groupBy("file").agg(F.sum("added").alias("added"))
 
 
-def follow_renames(names: DataFrame, renames: DataFrame, most: int = 64) -> DataFrame:
-    """names: (file); renames: (old, new). Adds `current`, the end of the chain; a cycle stops where it would close."""
-    now = names.select("file", F.col("file").alias("current"), F.array("file").alias("path"))
-    hop = F.broadcast(renames.groupBy("old").agg(F.max("new").alias("new")))
-    for _ in range(most):
-        step = now.join(hop, now["current"] == hop["old"], "left").withColumn("go", F.col("new").isNotNull() & ~F.array_contains("path", F.col("new")))
-        if step.where("go").isEmpty():
-            break
-        now = step.select("file", F.when(F.col("go"), F.col("new")).otherwise(F.col("current")).alias("current"), F.when(F.col("go"), F.array_append("path", F.col("new"))).otherwise(F.col("path")).alias("path"))
-    return now.select("file", "current")
+def follow_renames(names: DataFrame, renames: DataFrame) -> DataFrame:
+    """names: (file); renames: (old, new). Adds `current`, the end of the chain; on a cycle the last name before it would close.
 
+    Hops double each round: after n rounds a row knows where 2^n renames lead and how many they were."""
+    hop = materialised(renames.groupBy("old").agg(F.max("new").alias("new")).where("old <> new"), "renames")
+    total = hop.count()
+    jump = hop.select("old", "new", F.lit(1).cast("long").alias("n"))
+    jumps = [jump]
+    while (1 << (len(jumps) - 1)) < total:
+        nxt = jump.alias("a").join(jump.alias("b"), F.col("a.new") == F.col("b.old")).select(F.col("a.old").alias("old"), F.col("b.new").alias("new"), (F.col("a.n") + F.col("b.n")).alias("n"))
+        jump = materialised(nxt, "renames")
+        if jump.isEmpty():
+            break
+        jumps.append(jump)
+    # What a jump of as many hops as there are renames ends at lies on a cycle; all of a cycle's names do.
+    ended = jump.isEmpty() or (1 << (len(jumps) - 1)) < total
+    loops = materialised((jump.limit(0) if ended else jump).select(F.col("new").alias("old")).distinct(), "cycles")
+    stop = loops.withColumn("__stop", F.lit(True))
+    now = names.select("file", F.col("file").alias("current"))
+    open_ = [j.join(stop.select(F.col("old")), "old", "left_anti") for j in jumps]
+    for j in reversed(open_):
+        step = j.join(stop.select(F.col("old").alias("new"), "__stop"), "new", "left").where("__stop IS NULL").select(F.col("old").alias("current"), F.col("new").alias("__to"))
+        now = materialised(now.join(step, "current", "left").select("file", F.coalesce("__to", "current").alias("current")), "names")
+    # What is left: one hop into a cycle, and around it to the name before the one it came in by.
+    around = _before_closing(hop, loops)
+    last = now.join(hop.withColumnRenamed("old", "current"), "current", "left")
+    entered = last.select("file", "current", "new")
+    came = entered.join(around.withColumnRenamed("node", "new"), "new", "left").join(around.select(F.col("node").alias("current"), F.col("before").alias("own")), "current", "left")
+    return came.select("file", F.coalesce("own", "before", "new", "current").alias("current"))
+
+
+def _before_closing(hop: DataFrame, loops: DataFrame) -> DataFrame:
+    """(node, before): of each name on a cycle the one that is renamed to it there."""
+    inside = hop.join(loops, "old", "left_semi")
+    return inside.join(loops.withColumnRenamed("old", "new"), "new", "left_semi").select(F.col("new").alias("node"), F.col("old").alias("before"))

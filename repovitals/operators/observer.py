@@ -93,6 +93,17 @@ def hard_gate(findings: DataFrame, gated: list[str]) -> DataFrame:
     return findings.where(F.col("signal_id").isin(gated)).groupBy("signal_id").agg(F.count(F.when(F.col("severity") == "block", 1)).alias("violations")).withColumn("status", F.when(F.col("violations") > 0, "fail").otherwise("pass"))
 
 
+#: Severities, the gravest first.
+SEVERITIES = ["block", "warn", "info"]
+
+
+def top_diagnostics(findings: DataFrame, n: int = 10) -> DataFrame:
+    """The n gravest findings of each signal (signal_id, severity, file, line, ...), then by place; `rank` from 1."""
+    grave = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    order = W.partitionBy("signal_id").orderBy(grave, "file", F.col("line").asc_nulls_first(), "hash")
+    return findings.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def severity_ceiling(findings: DataFrame, may_block: Column) -> DataFrame:
     """Blocks that may not gate become warnings and say so."""
     lowered = (F.col("severity") == "block") & ~may_block

@@ -36,11 +36,38 @@ class Signal:
     aliases: tuple[str, ...] = ()
     provider: bool = False
     defaults: dict[str, Any] = field(default_factory=dict)
+    evidence: str = "statistical"
+    needs: tuple[str, ...] = ()
 
     @property
     def confidence(self) -> float:
         return TIER_CONFIDENCE.get(self.tier, 0.5)
 
+    @property
+    def gates(self) -> bool:
+        """Whether a block of this signal may fail the gate: structural, of tier 1 or 2, on evidence that doesn't guess."""
+        return self.kind == "structural" and self.tier in (1.0, 2.0) and self.evidence in ("deterministic-ast", "manifest-fact", "reference-backed")
+
+    @property
+    def poisons(self) -> bool:
+        return self.gates and self.tier <= 1.5 and self.evidence != "reference-backed"
+
+
+@dataclass(frozen=True)
+class Batch:
+    """An output that is one row of a frame which several signals share: frame() has (signal_id, score)."""
+
+    name: str
+    frame: Callable[[], DataFrame]
+    signal: str
+
+
+@dataclass(frozen=True)
+class Failed:
+    """What a signal that couldn't be planned leaves behind."""
+
+    why: str
+
 
 class Registry:
     def __init__(self, signals: Iterable[Signal]):
@@ -117,31 +144,97 @@ class Vector:
         return sha256(json.dumps([self.active, self.weight, self.config], sort_keys=True).encode()).hexdigest()
 
 
-#: Presets: named vectors.
-PRESETS: dict[str, Vector] = {"balanced": Vector()}
+#: Presets, each what it weighs and sets.
+PRESETS: dict[str, Vector] = {
+    "ai-slop-defense": Vector(
+        weight={"TS-SL-01": 1.7, "TS-SL-02": 1.55, "TS-SL-03": 1.5, "TS-SL-04": 1.7, "TS-LD-01": 1.4, "TS-AB-03": 1.3, "TS-AB-05": 1.35, "TS-RP-01": 1.2, "SHARED-03": 1.15},
+        config={"TS-SL-01": {"min_tokens": 8}, "TS-SL-02": {"max_groups_analyzed": 8}, "TS-SL-04": {"hard_gate_production": True}, "TS-LD-01": {"max_complexity": 15}, "TS-RP-01": {"min_churn": 1, "min_complexity": 4, "threshold_softness": 0.35}},
+    ),
+    "domain-purist": Vector(weight={"TS-LD-05": 1.6, "TS-LD-04": 1.2, "TS-AD-01": 1.5, "TS-AD-02": 1.4, "TS-AD-03": 1.2, "TS-AB-01": 1.1, "TS-DE-03": 1.1, "TS-RP-02": 0.8}),
+    "refactor-friendly": Vector(
+        weight={"TS-RP-01": 1.5, "TS-RP-02": 1.1, "TS-AB-01": 1.3, "TS-AB-02": 1.1, "TS-AD-02": 1.35, "TS-AD-03": 1.2, "TS-DE-01": 1.15, "TS-DE-03": 1.15, "TS-LD-01": 1.1, "SHARED-02": 1.1, "SHARED-03": 1.2}
+    ),
+    "security-paranoid": Vector(weight={"TS-SL-03": 1.7, "TS-SL-04": 1.65, "TS-DE-05": 1.45, "TS-DE-04": 1.25, "TS-AD-01": 1.1, "TS-AD-02": 1.15, "TS-RP-02": 0.75}),
+    "strict-type-safety": Vector(weight={"TS-LD-06": 1.45, "TS-AB-03": 1.3, "TS-AB-05": 1.35, "TS-DE-01": 1.2, "TS-AD-01": 1.1, "TS-AD-02": 1.05, "TS-RP-01": 0.8, "TS-RP-02": 0.7}),
+    "velocity-first": Vector(
+        weight={"TS-LD-01": 0.45, "TS-LD-02": 0.45, "TS-LD-03": 0.4, "TS-LD-04": 0.45, "TS-LD-05": 0.5, "TS-LD-06": 0.45, "TS-AD-01": 0.55, "TS-AD-02": 0.55, "TS-AD-03": 0.5, "TS-DE-01": 0.5, "TS-DE-02": 0.45, "TS-DE-03": 0.45,
+                "TS-DE-04": 1.6, "TS-DE-05": 0.65, "TS-AB-01": 0.45, "TS-AB-02": 0.45, "TS-AB-03": 0.4, "TS-AB-04": 0.45, "TS-AB-05": 0.4, "TS-RP-01": 0.55, "TS-RP-02": 0.55, "TS-SL-01": 0.55, "TS-SL-02": 0.55, "TS-SL-03": 0.65, "TS-SL-04": 0.7}
+    ),
+}
+
+
+def ledger(registry: Registry, vector: Vector, patches: dict[str, dict[str, Any]] | None = None) -> list[tuple[str, str, Any, Any, str]]:
+    """(signal, setting, default, value, source) of every setting: a module's patch wins over the default, the vector over both."""
+    v, patches = vector.checked(registry), {registry.resolve(k).id: p for k, p in (patches or {}).items()}
+    out = []
+    for i in registry.order:
+        for name, default in registry.by_id[i].defaults.items():
+            value, source = default, "signal-default"
+            for origin, given in (("module", patches.get(i, {})), ("vector", v.config.get(i, {}))):
+                if name in given:
+                    value, source = given[name], origin
+            out.append((i, f"config.{name}", default, value, source))
+    return out
+
 
+def run(registry: Registry, facts: dict[str, DataFrame], vector: Vector | None = None, only: str | None = None) -> dict[str, DataFrame | Batch | Failed]:
+    """Outputs of active signals (or of one and what it needs), each a lazy plan; those without their facts are left out.
 
-def run(registry: Registry, facts: dict[str, DataFrame], vector: Vector | None = None, only: str | None = None) -> dict[str, DataFrame]:
-    """Outputs of active signals (or of one and what it needs), each a lazy plan."""
+    A signal that can't be planned is Failed and stops no other; what needs it is left out."""
     v = (vector or Vector()).checked(registry)
-    outputs: dict[str, DataFrame] = {}
+    outputs: dict[str, DataFrame | Batch | Failed] = {}
     for i in registry.ancestors(only) if only else registry.order:
         s = registry.by_id[i]
-        if only or v.active.get(i, True):
-            given = {n: outputs[registry.alias[n]] for n in s.inputs + s.optional if registry.alias.get(n) in outputs}
-            if all(n in given for n in s.inputs):
+        if not (only or v.active.get(i, True)) or not all(n in facts for n in s.needs):
+            continue
+        given = {n: outputs[registry.alias[n]] for n in s.inputs + s.optional if isinstance(outputs.get(registry.alias.get(n)), DataFrame)}
+        if all(n in given for n in s.inputs):
+            try:
                 outputs[i] = s.compute(facts, s.defaults | v.config.get(i, {}), given)
+            except Exception as why:  # noqa: BLE001  one signal's fault is a finding, not the end of the observation
+                outputs[i] = Failed(str(why))
     return outputs
 
 
-def results(registry: Registry, outputs: dict[str, DataFrame], vector: Vector | None = None) -> DataFrame:
-    """One row for each output, ready for the observer: needs a column `score`; a null score is insufficient evidence."""
+_RESULT = "category string, signal_id string, score double, tier double, weight double, confidence double, grp string, applicability string, authority boolean, provider boolean"
+
+
+def results(registry: Registry, outputs: dict[str, DataFrame | Batch | Failed], vector: Vector | None = None) -> DataFrame:
+    """One row for each output, ready for the observer: of its column `score`; a null score is insufficient evidence, a
+    failed signal scores 0 and doesn't count. Signals of one batch are one join of its frame."""
     v = (vector or Vector()).checked(registry)
-    rows = []
-    for i, out in outputs.items():
+
+    def about(i: str) -> tuple:
         s = registry.by_id[i]
         grp = "typescript" if i.startswith("TS-") else "rust" if i.startswith("RS-") else "shared"
-        rows.append(out.select(F.lit(s.category).alias("category"), F.lit(i).alias("signal_id"), F.coalesce(F.col("score").cast("double"), F.lit(1.0)).alias("score"), F.lit(s.tier).alias("tier"), F.lit(float(v.weight.get(i, 1.0))).alias("weight"), F.lit(s.confidence).alias("confidence"), F.lit(grp).alias("grp"), F.when(F.col("score").isNull(), "insufficient_evidence").otherwise("applicable").alias("applicability"), F.lit(s.kind == "structural" and s.tier < 2).alias("authority"), F.lit(s.provider).alias("provider")))
+        return s.category, i, s.tier, float(v.weight.get(i, 1.0)), s.confidence, grp, s.poisons, s.provider
+
+    columns = ["category", "signal_id", "tier", "weight", "confidence", "grp", "authority", "provider"]
+    state = F.when(F.col("score").isNull(), "insufficient_evidence").otherwise("applicable")
+
+    def shaped(scored: DataFrame) -> DataFrame:
+        told = F.col("applicability") if "applicability" in scored.columns else state
+        return scored.withColumn("applicability", told).withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(1.0))).select(*(c.split()[0] for c in _RESULT.split(", ")))
+
+    rows, batches, failed = [], {}, []
+    for i, out in outputs.items():
+        if isinstance(out, Batch):
+            batches.setdefault(out.name, (out.frame, []))[1].append((out.signal, *about(i)))
+        elif isinstance(out, Failed):
+            failed.append(i)
+        else:
+            if registry.by_id[i].provider:
+                continue
+            values = {c: F.lit(x) for c, x in zip(columns, about(i), strict=True)}
+            keep = [c for c in ("score", "applicability") if c in out.columns]
+            rows.append(shaped(out.select(*keep).withColumns(values)))
+    for frame, members in batches.values():
+        scored = frame().select(F.col("signal_id").alias("__s"), "score")
+        known = scored.sparkSession.createDataFrame(members, "__s string, " + ", ".join(f"{c} {'double' if c in ('tier', 'weight', 'confidence') else 'boolean' if c in ('authority', 'provider') else 'string'}" for c in columns))
+        rows.append(shaped(F.broadcast(known).join(scored, "__s")))
+    if failed:
+        spark = next(x for x in (rows[0] if rows else None,) if x is not None).sparkSession
+        rows.append(spark.createDataFrame([(c, i, 0.0, t, w, k, g, "failed", a, p) for c, i, t, w, k, g, a, p in map(about, failed)], _RESULT))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -28,8 +28,54 @@ def ratchet(base: DataFrame, current: DataFrame) -> DataFrame:
     return compare(base, current).agg(n("new").alias("new"), n("paid").alias("paid"), n("tolerated").alias("tolerated"), F.when(n("new") > 0, "fail").otherwise("pass").alias("verdict"))
 
 
+def assess_ci(base: DataFrame | None, current: DataFrame, base_config: str | None = None, current_config: str | None = None) -> DataFrame:
+    """(mode, new, paid, tolerated, status): no baseline fails, and so does one observed under another configuration.
+
+    base: None where there is no baseline; base_config: None where the baseline doesn't tell."""
+    spark = current.sparkSession
+    for mode, stops in (("missing-baseline", base is None), ("observer-config-mismatch", base_config is not None and base_config != current_config)):
+        if stops:
+            return spark.sql(f"SELECT '{mode}' AS mode, 0L AS new, 0L AS paid, 0L AS tolerated, 'fail' AS status")
+    return ratchet(base, current).select(F.lit("ratcheted").alias("mode"), "new", "paid", "tolerated", F.col("verdict").alias("status"))
+
+
 def introduced(base: DataFrame, head: DataFrame) -> DataFrame:
-    return head.join(base.select(*KEY), KEY, "left_anti")
+    return head.join(base.select(*KEY).distinct(), KEY, "left_anti")
+
+
+def resolved(base: DataFrame, head: DataFrame) -> DataFrame:
+    return introduced(head, base)
+
+
+def diff(base: DataFrame, head: DataFrame, scores: DataFrame) -> DataFrame:
+    """Findings of either side that the other lacks, with `change`: introduced, resolved or projection-churn.
+
+    base, head: findings with signal_id, hash, in_scope; scores: (signal_id, before, after). Churn is what a signal now
+    shows instead of what it showed before: introduced outside the changed scope, where the signal has findings that
+    are gone and its score did not get worse."""
+    new, gone = introduced(base, head), resolved(base, head)
+    steady = scores.where(F.col("after") + 1e-9 >= F.col("before")).select("signal_id")
+    moved = gone.select("signal_id").distinct().join(steady, "signal_id", "left_semi").withColumn("__moved", F.lit(True))
+    churn = F.coalesce(F.col("__moved") & ~F.col("in_scope"), F.lit(False))
+    changed = new.join(moved, "signal_id", "left").withColumn("change", F.when(churn, "projection-churn").otherwise("introduced")).drop("__moved")
+    return changed.unionByName(gone.withColumn("change", F.lit("resolved")))
+
+
+#: Categories whose findings are routed for trust.
+TRUST = ["security-risk", "concurrency-safety", "behavior-preservation"]
+
+
+def decide_gate(new: DataFrame, changed_only: bool = False) -> DataFrame:
+    """(introduced, routed, trust, status) of introduced findings (category, tier, kind, ceiling, severity, in_scope).
+
+    block: a block of a tier-1 structural signal that may gate, in scope or not; else route where findings are routed
+    (those in scope, with changed_only), first for trust; else pass."""
+    blocking = (F.col("severity") == "block") & (F.col("tier") == 1) & (F.col("kind") == "structural") & F.array_contains("ceiling", "hard-gate")
+    routed = F.col("in_scope") if changed_only else F.lit(True)
+    n = lambda c: F.count(F.when(c, 1))
+    trust = routed & F.col("category").isin(TRUST)
+    status = F.when(n(blocking) > 0, "block").when(n(routed) > 0, "route").otherwise("pass")
+    return new.agg(F.count("*").alias("introduced"), n(routed).alias("routed"), n(trust).alias("trust"), status.alias("status"))
 
 
 def diff_gate(new: DataFrame, may_gate: list[str]) -> DataFrame:
@@ -60,7 +106,7 @@ def in_scope(findings: DataFrame, hunks: DataFrame, width: int = 64) -> DataFram
 def triggers(signals: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern_id, reviewer): patterns (id, signal_id, below, change_ratio_above, reviewer) that a signal's score
     (signal_id, score, relative) sets off."""
-    met = signals.join(F.broadcast(patterns), "signal_id")
+    met = signals.join(patterns, "signal_id")
     return met.where((F.col("score") < F.col("below")) | (F.abs("relative") >= F.col("change_ratio_above"))).select(F.col("id").alias("pattern_id"), "signal_id", "reviewer").distinct()
 
 
@@ -75,12 +121,34 @@ def imports_match(imports: DataFrame, specifiers: DataFrame) -> DataFrame:
     return exact.unionByName(under).distinct()
 
 
-def merge_requests(requests: DataFrame, budget: int = 400) -> DataFrame:
-    """requests: (reviewer, priority, reason). One row a reviewer: the top priority and its reasons within a byte budget."""
-    sums = requests.groupBy("reviewer").agg(F.max("priority").alias("priority"), F.array_sort(F.collect_set("reason")).alias("all"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
-    fit = F.aggregate("all", start, lambda a, r: F.when(a["n"] + F.octet_length(r) <= budget, F.struct((a["n"] + F.octet_length(r)).alias("n"), F.array_append(a["kept"], r).alias("kept"))).otherwise(a))
-    return sums.select("reviewer", "priority", F.array_join(fit["kept"], "; ").alias("reasons"), (F.size("all") - F.size(fit["kept"])).alias("left_out"))
+#: What stands at the end of a context that was cut.
+CUT = "context truncated to fit the plan's budget"
+#: Priorities, the most urgent last.
+PRIORITIES = ["informational", "required", "block"]
+
+
+def merge_requests(requests: DataFrame, budget: int = 4096) -> DataFrame:
+    """requests: (reviewer, nth, priority, reason, context array<string>). One row a reviewer: (reviewer, priority, reason, context, cut).
+
+    In order of nth: the most urgent priority, different neighbouring reasons joined, and the contexts' different items
+    up to the first that doesn't fit the budget of bytes; where one doesn't, a note stands last."""
+    rank = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
+    asked = F.array_sort(F.collect_list(F.struct("nth", rank.alias("rank"), "priority", "reason", "context")))
+    by = requests.groupBy("reviewer").agg(asked.alias("r"))
+    join = lambda a, r: F.when(a.isNull(), r["reason"]).when(F.element_at(F.split(a, "; "), -1) == r["reason"], a).otherwise(F.concat(a, F.lit("; "), r["reason"]))
+    reason = F.aggregate("r", F.lit(None).cast("string"), join)
+    items = F.array_distinct(F.flatten(F.transform("r", lambda r: F.coalesce(r["context"], F.array().cast("array<string>")))))
+    start = F.struct(F.lit(2).alias("n"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
+
+    def take(a, item):
+        size = a["n"] + F.octet_length(item) + 3  # quotes and a comma, as in a JSON list
+        over = a["full"] | (size > budget)
+        return F.when(over, F.struct(a["n"].alias("n"), F.lit(True).alias("full"), a["kept"].alias("kept"))).otherwise(F.struct(size.alias("n"), F.lit(False).alias("full"), F.array_append(a["kept"], item).alias("kept")))
+
+    top = F.array_max(F.transform("r", lambda r: F.struct(r["rank"].alias("rank"), r["priority"].alias("priority"))))
+    fit = by.select("reviewer", top["priority"].alias("priority"), reason.alias("reason"), F.aggregate(items, start, take).alias("fit"))
+    context = F.when(F.col("fit.full"), F.array_append("fit.kept", F.lit(CUT))).otherwise(F.col("fit.kept"))
+    return fit.select("reviewer", "priority", "reason", context.alias("context"), F.col("fit.full").alias("cut"))
 
 
 def override_patterns(built_in: DataFrame, custom: DataFrame) -> DataFrame:
@@ -88,29 +156,57 @@ def override_patterns(built_in: DataFrame, custom: DataFrame) -> DataFrame:
     return custom.unionByName(built_in.join(custom.select("id"), "id", "left_anti"))
 
 
-def pairwise_preference(samples: DataFrame, ignore: float = 0.05) -> DataFrame:
-    """(signal, signed, magnitude, weight) over accepted and rejected samples (id, outcome, confidence, signal, score).
+def _clamped(weight):
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(2.0), weight)), 2)
+
+
+def _weights(evidence: DataFrame, prior: DataFrame | None, factor: float) -> DataFrame:
+    """evidence: (signal, signed, magnitude). weight: the prior plus factor times signed / magnitude, in 0..2; support: that share."""
+    own = evidence.withColumn("prior", F.lit(1.0)) if prior is None else evidence.join(prior, "signal", "left").withColumn("prior", F.coalesce("prior", F.lit(1.0)))
+    share = F.coalesce(F.col("signed") / F.nullif("magnitude", F.lit(0.0)), F.lit(0.0))
+    return own.select("signal", F.round("signed", 4).alias("signed"), F.round("magnitude", 4).alias("magnitude"), F.round(share, 3).alias("support"), _clamped(F.col("prior") + factor * share).alias("weight"))
+
+
+def _counted(samples: DataFrame) -> DataFrame:
+    """(signal, kept, score, confidence, n): how many samples have each score; one without a signal scores 0 there."""
+    kept = samples.withColumn("kept", F.col("outcome") == "accepted")
+    own = kept.groupBy("signal", "kept", "score", "confidence").agg(F.count("*").alias("n"))
+    every = kept.select("id", "kept", "confidence").distinct().groupBy("kept", "confidence").agg(F.count("*").alias("all"))
+    each = samples.select("signal").distinct().withColumn("__k", F.lit(1)).join(every.withColumn("__k", F.lit(1)), "__k").drop("__k")  # signals by levels of confidence
+    have = own.groupBy("signal", "kept", "confidence").agg(F.sum("n").alias("have"))
+    lacking = each.join(have, ["signal", "kept", "confidence"], "left").withColumn("n", F.col("all") - F.coalesce("have", F.lit(0))).where("n > 0")
+    return own.unionByName(lacking.select("signal", "kept", F.lit(0.0).alias("score"), "confidence", "n")).groupBy("signal", "kept", "score", "confidence").agg(F.sum("n").alias("n"))
+
+
+def pairwise_preference(samples: DataFrame, prior: DataFrame | None = None, ignore: float = 0.05) -> DataFrame:
+    """(signal, signed, magnitude, support, weight) over samples (id, outcome, confidence, signal, score) and a prior (signal, prior).
 
-    All pairs of an accepted and a rejected sample count, so this is for samples of review decisions, not for corpora:
-    scores are counted first, and distinct (score, confidence) values meet."""
-    counts = samples.groupBy("signal", "outcome", "score", "confidence").agg(F.count("*").alias("n"))
-    of = lambda o, p: counts.where(F.col("outcome") == o).select("signal", *(F.col(c).alias(p + c) for c in ("score", "confidence", "n")))
-    met = of("accepted", "a").join(of("rejected", "r"), "signal").withColumn("d", F.col("ascore") - F.col("rscore")).where(F.abs("d") >= ignore)
-    c = F.sqrt(F.col("aconfidence") * F.col("rconfidence")) * F.col("an") * F.col("rn")
-    return met.groupBy("signal").agg(F.sum(F.col("d") * c).alias("s"), F.sum(F.abs("d") * c).alias("m")).select("signal", F.round("s", 6).alias("signed"), F.round("m", 6).alias("magnitude"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 + 0.6 * F.col("s") / F.col("m"))), 9).alias("weight"))
+    Every accepted sample is held against every other one, weighed by the product of their confidences; what isn't
+    accepted is rejected. Scores are counted first, and distinct (score, confidence) values meet."""
+    counts = _counted(samples)
+    of = lambda kept, p: counts.where(F.col("kept") == kept).select("signal", *(F.col(c).alias(p + c) for c in ("score", "confidence", "n")))
+    met = of(True, "a").join(of(False, "r"), "signal").withColumn("d", F.col("ascore") - F.col("rscore")).where(F.abs("d") >= ignore)
+    c = F.col("aconfidence") * F.col("rconfidence") * F.col("an") * F.col("rn")
+    sums = met.groupBy("signal").agg(F.sum(F.col("d") * c).alias("signed"), F.sum(F.abs("d") * c).alias("magnitude"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
+    return _weights(samples.select("signal").distinct().join(sums, "signal", "left").select("signal", zero("signed"), zero("magnitude")), prior, 0.6)
 
 
-def frequency_preference(samples: DataFrame) -> DataFrame:
-    """(signal, accepted, rejected, weight): mean scores by outcome; weight 1 + .45 of their difference."""
-    mean = lambda o: F.avg(F.when(F.col("outcome") == o, F.col("score")))
-    both = samples.groupBy("signal").agg(mean("accepted").alias("a"), mean("rejected").alias("r"))
-    return both.select("signal", F.round("a", 9).alias("accepted"), F.round("r", 9).alias("rejected"), F.round(1 + 0.45 * (F.coalesce("a", F.lit(0.0)) - F.coalesce("r", F.lit(0.0))), 9).alias("weight"))
+def frequency_preference(samples: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """(signal, signed, magnitude, support, weight): the difference of the mean score times confidence by outcome."""
+    n = lambda kept: F.sum(F.when(F.col("kept") == kept, F.col("n")))
+    total = lambda kept: F.sum(F.when(F.col("kept") == kept, F.col("score") * F.col("confidence") * F.col("n")))
+    mean = lambda kept: F.coalesce(total(kept) / n(kept), F.lit(0.0))
+    d = _counted(samples).groupBy("signal").agg((mean(True) - mean(False)).alias("signed"))
+    return _weights(d.withColumn("magnitude", F.abs("signed")), prior, 0.45)
 
 
-def blended(preferences: DataFrame, prior: DataFrame, samples: int, full: int = 24) -> DataFrame:
-    """(signal, weight): from the prior (signal, prior) to the preference as samples grow to `full`."""
-    share = min(1.0, samples / full)
-    return prior.join(preferences.select("signal", F.col("weight").alias("w")), "signal", "left").select("signal", F.round(F.col("prior") + share * (F.coalesce("w", "prior") - F.col("prior")), 9).alias("weight"))
+def prior_adjusted_preference(samples: DataFrame, prior: DataFrame | None = None, full: int = 24) -> DataFrame:
+    """(signal, support, weight): pairwise weights, which replace the prior's as samples grow to `full`."""
+    some = samples.agg(F.least(F.lit(1.0), F.count_distinct("id") / full).alias("share"))
+    own = pairwise_preference(samples, prior)
+    own = own.withColumn("prior", F.lit(1.0)) if prior is None else own.join(prior, "signal", "left").withColumn("prior", F.coalesce("prior", F.lit(1.0)))
+    return own.join(F.broadcast(some)).select("signal", "support", _clamped(F.col("prior") + (F.col("weight") - F.col("prior")) * F.col("share")).alias("weight"))
 
 
 def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -102,17 +102,15 @@ def unfinished_score(stubs, budget, capped) -> Column:
     return F.when(_n(capped) > 0, F.least(F.lit(0.8), s)).otherwise(s)
 
 
-def divergence_score(groups: DataFrame) -> DataFrame:
-    """groups: (confidence high/medium, divergence). Only above .75; 1 - penalties of both classes, at least .25."""
-    bad = groups.where("divergence > 0.75")
-
-    def penalty(kind: str, most: float, scale: float, breadth: float, weight: float) -> Column:
-        own = F.col("confidence") == kind
-        top = F.coalesce((F.max(F.when(own, F.col("divergence"))) - 0.75) / 0.25, F.lit(0.0))
-        return top * most + _cap(breadth, F.log2(weight * F.count(F.when(own, 1)) + 1) * scale)
-
-    both = penalty("high", 0.25, 0.12, 0.30, 1.0) + penalty("medium", 0.04, 0.03, 0.06, 0.5)
-    return bad.agg(F.round(F.greatest(F.lit(0.25), 1 - both), 9).alias("score"))
+def unsafe_spread_score(spread: DataFrame, seeds: DataFrame, functions: DataFrame) -> DataFrame:
+    """(functions, spreading, sites, score) of the functions that unsafe seeds (node) reach (node), among all (node[, safe_only]).
+
+    A seed in a module that says it is safe only makes the score 0."""
+    broken = F.col("safe_only") if "safe_only" in functions.columns else F.lit(False)
+    marked = functions.join(spread.withColumn("__s", F.lit(True)), "node", "left").join(seeds.select("node").distinct().withColumn("__u", F.lit(True)), "node", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    sums = marked.agg(F.count("*").alias("functions"), n(F.col("__s")).alias("spreading"), n(F.col("__u")).alias("sites"), n(F.col("__u") & broken).alias("broken"))
+    return sums.withColumn("score", F.round(unsafe_score("spreading", "functions", "sites", "broken"), 9)).drop("broken")
 
 
 #: Script names that show a class of machine feedback.

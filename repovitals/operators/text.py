@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import casing, entropy
+from ..functions.scalars import CASINGS, casing, entropy, glob_match, matches_casing
 
 
 def lines(sources: DataFrame) -> DataFrame:
@@ -14,15 +14,15 @@ def lines(sources: DataFrame) -> DataFrame:
     return sources.select("file", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def bypasses(line_facts: DataFrame, now) -> DataFrame:
-    """(file, line_no, ticket, until, reason, expired) of lines with `allow(TICKET[, until=DATE][: reason])`.
+def bypasses(line_facts: DataFrame, now, marker: str = "[A-Za-z]+-allow") -> DataFrame:
+    """(file, line_no, ticket, until, reason, expired) of lines that are a comment `// MARKER TICKET until:DATE reason`.
 
-    A date alone lasts to the end of its day; one that can't be read, or is past, has expired."""
-    pattern = "allow\\(\\s*([A-Za-z]+-?\\d*)\\s*(?:,\\s*until=([^):\\s]+))?\\s*(?::\\s*([^)]*))?\\)"
-    part = lambda i: F.nullif(F.trim(F.regexp_extract("line", pattern, i)), F.lit(""))
+    A date alone lasts to the end of its day in UTC; one that can't be read, or is past, has expired."""
+    pattern = f"^\\s*//\\s*(?:{marker})\\s+(\\S+)\\s+until:(\\S+)\\s+(.+?)\\s*$"
+    part = lambda i: F.regexp_extract("line", pattern, i)
     found = line_facts.where(F.col("line").rlike(pattern)).select("file", "line_no", part(1).alias("ticket"), part(2).alias("until"), part(3).alias("reason"))
-    at = F.try_to_timestamp(F.when(F.col("until").rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.concat("until", F.lit(" 23:59:59"))).otherwise(F.col("until")))
-    return found.withColumn("expired", F.col("until").isNotNull() & (at.isNull() | (at < F.lit(now).cast("timestamp"))))
+    at = F.try_to_timestamp(F.when(F.col("until").rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.concat("until", F.lit(" 23:59:59.999"))).otherwise(F.col("until")))
+    return found.withColumn("expired", at.isNull() | (at < F.lit(now).cast("timestamp")))
 
 
 def suppression_score(found: DataFrame, files: int) -> DataFrame:
@@ -33,10 +33,15 @@ def suppression_score(found: DataFrame, files: int) -> DataFrame:
     return found.agg(expired.alias("expired"), missing.alias("missing"), fine.alias("justified"), F.round(1 - F.least(F.lit(1.0), (4 * expired + missing + 0.25 * fine) / max(100.0, 0.25 * files)), 9).alias("score"))
 
 
+def _split(name: Column) -> Column:
+    """The words of an identifier: cut at marks, before the last capital of a run and at small to capital; those with a letter."""
+    spaced = F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda w: w.rlike("[a-z]"))
+
+
 def terms(identifiers: DataFrame, column: str = "name") -> DataFrame:
     """(..., term): the words of identifiers, split at case changes and marks."""
-    spaced = F.regexp_replace(F.regexp_replace(column, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
-    return identifiers.withColumn("term", F.explode(F.split(F.lower(F.trim(spaced)), " "))).where("term <> ''")
+    return identifiers.withColumn("term", F.explode(_split(F.col(column))))
 
 
 def glossary(term_facts: DataFrame, least: int = 2) -> DataFrame:
@@ -81,16 +86,39 @@ def term_classes(names: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("name", F.when(F.col("__m"), "match").when(F.col("__d"), "duplicate").when(F.col("__c"), "conflict").otherwise("new").alias("class"))
 
 
+def term_score(classes: DataFrame) -> DataFrame:
+    """(total, conflicts, duplicates, new, score) of term_classes(): 1 - (.9 conflicts + .5 duplicates + .15 new) / total."""
+    n = lambda k: F.count(F.when(F.col("class") == k, 1))
+    cost = 0.9 * n("conflict") + 0.5 * n("duplicate") + 0.15 * n("new")
+    score = 1 - F.coalesce(cost / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
+    return classes.agg(F.count("*").alias("total"), n("conflict").alias("conflicts"), n("duplicate").alias("duplicates"), n("new").alias("new"), F.round(score, 9).alias("score"))
+
+
+#: What is expected of a kind that has no name to learn from.
+DEFAULTS = {"function": "camelCase", "class": "PascalCase", "interface": "PascalCase", "type": "PascalCase", "const": "camelCase | UPPER_SNAKE_CASE", "enum": "PascalCase"}
+
+
 def conventions(identifiers: DataFrame) -> DataFrame:
-    """(kind, convention, n): the most frequent casing of each kind, ties by name."""
-    counts = identifiers.groupBy("kind", casing("name").alias("convention")).agg(F.count("*").alias("n"))
-    return counts.withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "convention"))).where("r = 1").drop("r")
+    """(kind, convention, n): of identifiers (kind, name) the most frequent casing of each kind, ties by name; of kind const
+    all casings that occur, in their order. Names of no known casing don't count; a kind without others has its default."""
+    seen = identifiers.select("kind", casing("name").alias("convention"))
+    counts = seen.where(F.col("convention") != "unrecognized").groupBy("kind", "convention").agg(F.count("*").alias("n"))
+    top = F.max_by(F.struct("convention", "n"), F.struct("n", F.transform(F.split("convention", ""), lambda c: -F.ascii(c)).alias("t")))
+    place = lambda c: F.array_position(F.array(*map(F.lit, CASINGS)), c)
+    union = F.transform(F.array_sort(F.collect_list(F.struct(place(F.col("convention")).alias("at"), "convention"))), lambda x: x["convention"])
+    picked = counts.groupBy("kind").agg(top.alias("top"), F.array_join(union, " | ").alias("all"), F.sum("n").alias("every"))
+    const = F.col("kind") == "const"
+    chosen = picked.select("kind", F.when(const, F.col("all")).otherwise(F.col("top.convention")).alias("convention"), F.when(const, F.col("every")).otherwise(F.col("top.n")).alias("n"))
+    plain = F.element_at(F.create_map(*(F.lit(x) for kv in DEFAULTS.items() for x in kv)), F.col("kind"))
+    kinds = identifiers.select("kind").distinct().join(chosen, "kind", "left")
+    return kinds.select("kind", F.coalesce("convention", plain).alias("convention"), F.coalesce("n", F.lit(0)).alias("n")).where("convention IS NOT NULL")
 
 
 def naming_score(identifiers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """identifiers: (kind, name); wanted: (kind, convention). 1 - violations / total."""
-    met = identifiers.join(F.broadcast(wanted), "kind")
-    return met.agg(F.count("*").alias("total"), F.count(F.when(casing("name") != F.col("convention"), 1)).alias("violations")).withColumn("score", F.round(1 - F.coalesce(F.col("violations") / F.nullif("total", F.lit(0)), F.lit(0.0)), 9))
+    """identifiers: (kind, name); wanted: (kind, convention), alternatives apart by " | ". 1 - violations / total."""
+    met = identifiers.join(wanted, "kind")
+    fits = F.exists(F.split("convention", " *\\| *"), lambda c: F.coalesce(matches_casing("name", c), F.lit(False)))
+    return met.agg(F.count("*").alias("total"), F.count(F.when(~fits, 1)).alias("violations")).withColumn("score", F.round(1 - F.coalesce(F.col("violations") / F.nullif("total", F.lit(0)), F.lit(0.0)), 9))
 
 
 def taxonomy(path: Column) -> Column:
@@ -100,6 +128,34 @@ def taxonomy(path: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("source"))).otherwise(F.array_distinct(found))
 
 
+def included(path: Column, extensions: list[str], excludes: list[str] = ()) -> Column:
+    """Whether a path has one of the endings and matches no exclusion."""
+    ends = F.lit(False)
+    for e in extensions:
+        ends = ends | path.endswith(e)
+    return ends & ~glob_match(path, list(excludes))
+
+
+#: Framework, the packages whose presence shows it, and the pattern of files that follow its conventions.
+FRAMEWORKS = {
+    "nextjs-app-router": (("next",), "(^|/)app/(.*/)?(page|layout|route|loading|error|not-found|template|default)\\.[cm]?[jt]sx?$"),
+    "solidjs-start": (("@solidjs/start",), "(^|/)src/routes/.+\\.[cm]?[jt]sx?$"),
+    "convex": (("convex",), "(^|/)convex/.+\\.[cm]?[jt]s$"),
+    "effect": (("effect",), "$^"),
+}
+
+
+def frameworks(dependencies: DataFrame, paths: DataFrame) -> DataFrame:
+    """(framework, packages, files, confidence) of dependencies (root, name) and paths (path): high with both kinds of evidence."""
+    spark = dependencies.sparkSession
+    names = spark.createDataFrame([(k, n) for k, (some, _) in FRAMEWORKS.items() for n in some], "framework string, name string")
+    declared = dependencies.join(F.broadcast(names), "name").groupBy("framework").agg(F.count_distinct("root").alias("packages"))
+    told = paths.agg(*(F.count(F.when(F.col("path").rlike(p), 1)).alias(k) for k, (_, p) in FRAMEWORKS.items()))
+    files = told.select(F.explode(F.array(*(F.struct(F.lit(k).alias("framework"), F.col(f"`{k}`").alias("files")) for k in FRAMEWORKS))).alias("x")).select("x.*")
+    confidence = F.when(F.col("files") > 0, "high").otherwise("medium")
+    return declared.join(files, "framework").select("framework", "packages", "files", confidence.alias("confidence"))
+
+
 def owners(paths: DataFrame, packages: DataFrame) -> DataFrame:
     """(path, package): the package whose root is the longest folder prefix. Joined on each folder of a path."""
     parts = F.split("path", "/")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, observations  # noqa: F401  (they register their queries)
+from . import history, observations, observe  # noqa: F401  (they register their queries)
 from .base import ORACLES, QUERIES
 
 

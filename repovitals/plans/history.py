@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import distribution, inclusive_percentile
-from ..functions.scalars import source_hash, token_count
-from ..operators import clones, composite, findings, history, packages
+from ..functions.scalars import e_fold, source_hash, token_count, violation_share
+from ..operators import clones, composite, findings, history, observer, packages
 from ..sources import adapters as a
 from .base import query
 
 LATEST = "head AS (SELECT max(committed_at) AS h FROM commits), latest AS (SELECT sha, h FROM commits, head WHERE committed_at >= h - INTERVAL 90 DAY ORDER BY committed_at DESC, sha LIMIT 500)"
 
 
+def _latest(spark, d):
+    """Touches of the commits that churn looks at, cut to them in the scan of line items."""
+    return a.touches(spark, d, history.latest_commits(a.commits(spark, d), 90, 500))
+
+
 @query(f"WITH {LATEST} SELECT file, count(*) AS touch_count, (SELECT count(*) FROM latest) >= 500 AS sampled FROM touches JOIN latest USING (sha) GROUP BY file", "commits", "touches")
 def churn_recent(spark, d):
-    return history.recent_churn(a.touches(spark, d), a.commits(spark, d))
+    return history.recent_churn(_latest(spark, d), a.commits(spark, d))
 
 
 @query(f"WITH {LATEST} SELECT file, count(*) AS touch_count, round(sum(pow(0.5, (epoch_us(h) - epoch_us(committed_at)) / 86400e6 / 14)), 9) AS weighted, max(committed_at) AS last_touched_at FROM touches JOIN latest USING (sha) GROUP BY file", "commits", "touches")
 def churn_weighted(spark, d):
-    return history.weighted_churn(a.touches(spark, d), a.commits(spark, d))
+    return history.weighted_churn(_latest(spark, d), a.commits(spark, d))
 
 
 @query("""WITH n AS (SELECT file, count(*) AS n FROM touches GROUP BY file), t AS (SELECT count(DISTINCT sha) AS c FROM touches),
@@ -101,7 +106,7 @@ HOT = f"""{LATEST}, churn AS (SELECT file, count(*) AS churn, sum(pow(0.5, (epoc
 
 
 def _hot(spark, d):
-    churn = history.weighted_churn(a.touches(spark, d), a.commits(spark, d)).select("file", F.col("touch_count").alias("churn"), "weighted")
+    churn = history.weighted_churn(_latest(spark, d), a.commits(spark, d)).select("file", F.col("touch_count").alias("churn"), "weighted")
     return a.files(spark, d).select("file", "complexity").join(churn, "file")
 
 
@@ -183,31 +188,60 @@ def clone_score(spark, d):
     return clones.score(clones.impact(_clones(spark, d)), 1000)
 
 
-#: Structural: letters are one class, marks stay; the first line of a text is its body here.
-STRUCT = """m AS (SELECT doc_id AS id, md5(regexp_replace(split_part(text, chr(10), 1), '[A-Za-z]+', 'w', 'g')) AS hash, md5(split_part(text, chr(10), 1)) AS text_hash, n_chars AS tokens, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 60)::INT AS changed_at FROM documents)"""
+#: Structural: runs of letters are one class, all else stays; whole texts.
+STRUCT = """m AS (SELECT doc_id AS id, md5(regexp_replace(text, '[A-Za-z]+', 'w', 'g')) AS hash, md5(text) AS text_hash, n_chars AS tokens, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (n_chars % 60)::INT AS changed_at FROM documents),
+sz AS (SELECT hash, count(*) AS a, max(tokens) AS t FROM m WHERE tokens >= 30 GROUP BY hash HAVING count(*) > 1), tp AS (SELECT * FROM sz ORDER BY t DESC, a DESC, hash LIMIT 8),
+nt AS (SELECT m.*, row_number() OVER (PARTITION BY hash ORDER BY id) AS r FROM m JOIN tp USING (hash) WHERE tokens >= 30),
+gs AS (SELECT hash, count(*) AS members, count(DISTINCT text_hash) AS variants, count(*) FILTER (changed_at > TIMESTAMP '2024-02-29' - INTERVAL 30 DAY) AS recent FROM nt WHERE r <= 16 GROUP BY hash),
+ic AS (SELECT hash, members, variants, recent, round((variants - 1) / (members - 1), 9)::DOUBLE AS divergence, 'high' AS confidence FROM gs WHERE members > 1 AND recent > 0 AND (variants - 1) / (members - 1) >= 0.5)"""
 
 
 def _structural(spark, d):
-    first = F.substring_index("text", "\n", 1)
-    return a.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.regexp_replace(first, "[A-Za-z]+", "w")).alias("hash"), F.md5(first).alias("text_hash"), F.col("n_chars").alias("tokens"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("doc_id") % 60).cast("int"))).alias("changed_at"))
+    text = F.col("text")
+    docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.regexp_replace(text, "[A-Za-z]+", "w")).alias("structural"), F.md5(text).alias("exact"), F.col("n_chars").alias("tokens"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("n_chars") % 60).cast("int"))).alias("changed_at"))
+    return clones.structural(docs)
+
+
+def _head():
+    return F.lit("2024-02-29").cast("timestamp")
 
 
-@query(f"""WITH {STRUCT}, n AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS r FROM m WHERE tokens >= 30), s AS (SELECT hash, count(*) AS members, count(DISTINCT text_hash) AS variants, count(*) FILTER (changed_at >= TIMESTAMP '2024-02-29' - INTERVAL 30 DAY) AS recent FROM n WHERE r <= 16 GROUP BY hash HAVING count(*) > 1)
-SELECT hash, members, variants, recent, round(least(1, (variants - 1) / (members - 1) * CASE WHEN recent > 0 AND recent < members THEN 2 ELSE 1 END), 9)::DOUBLE AS divergence FROM s ORDER BY members DESC, hash LIMIT 8""")
+@query(f"WITH {STRUCT} SELECT * FROM ic")
 def inconsistent_clones(spark, d):
-    return clones.inconsistent(_structural(spark, d), F.lit("2024-02-29").cast("timestamp"))
+    return clones.inconsistent(_structural(spark, d), _head())
+
+
+@query(f"""WITH {STRUCT}, bad AS (SELECT * FROM ic WHERE divergence > 0.75), lm AS (SELECT CASE WHEN count(*) > 8 OR max(a) > 16 THEN 0.95 ELSE 1.0 END AS cap FROM sz),
+c AS (SELECT least(0.75, coalesce((max(divergence) - 0.75) / 0.25, 0) * 0.25 + least(0.3, log2(count(*) + 1) * 0.12)) AS cost FROM bad)
+SELECT round(greatest(0, least(cap, 1 - cost)), 9)::DOUBLE AS score FROM c, lm""")
+def clone_divergence_score(spark, d):
+    members = _structural(spark, d)
+    return clones.divergence_score(clones.inconsistent(members, _head()), clones.limited(members))
+
 
+SG = "sg AS (SELECT 'structural' AS kind, hash, count(*) AS members, max(tokens) AS tokens, min(id) AS representative FROM m WHERE tokens >= 12 GROUP BY hash HAVING count(*) > 1 AND count(DISTINCT text_hash) > 1)"
 
-@query(f"WITH {STRUCT} SELECT 'structural' AS kind, hash, count(*) AS members, max(tokens) AS tokens, min(id) AS representative FROM m WHERE tokens >= 12 GROUP BY hash HAVING count(*) > 1 AND count(DISTINCT text_hash) > 1")
+
+@query(f"WITH {STRUCT}, {SG} SELECT * FROM sg")
 def structural_clone_hash(spark, d):
     return clones.groups(_structural(spark, d), "hash", "structural", "text_hash")
 
 
-LOCK = "lock AS (SELECT DISTINCT l_partkey AS name, l_suppkey % 5 AS version, l_suppkey % 10 = 0 AS direct FROM lineitem WHERE l_partkey % 3 > 0 OR l_suppkey % 5 = 0)"
+@query(f"WITH {STRUCT}, {SG} SELECT * FROM sg UNION ALL SELECT 'exact', text_hash, count(*), max(tokens), min(id) FROM m WHERE tokens >= 12 GROUP BY text_hash HAVING count(*) > 1")
+def clone_groups_united(spark, d):
+    return clones.united(_structural(spark, d))
+
+
+@query(f"WITH {STRUCT}, {SG}, g AS (SELECT * FROM sg UNION ALL SELECT 'exact', text_hash, count(*), max(tokens), min(id) FROM m WHERE tokens >= 12 GROUP BY text_hash HAVING count(*) > 1), i AS (SELECT *, round(CASE WHEN kind = 'exact' THEN CASE WHEN tokens < 20 THEN 0 ELSE CASE WHEN tokens < 50 THEN 0.5 * log2(members) ELSE members - 1 END * 1.2 * greatest(0.3, least(3.0, tokens / 30)) END WHEN tokens < 30 THEN 0 ELSE (members - 1) * least(0.35, (tokens - 30) / 120) END, 9)::DOUBLE AS impact FROM g) SELECT kind, hash, members, tokens, representative, impact, row_number() OVER (ORDER BY impact DESC, members DESC, tokens DESC, kind, representative, hash)::INT AS \"rank\" FROM i")
+def clone_group_order(spark, d):
+    return clones.ordered(clones.impact(clones.united(_structural(spark, d))))
+
+
+LOCK = "lock AS (SELECT DISTINCT l_partkey AS name, l_suppkey % 5 AS version, l_suppkey % 10 = 0 AS direct FROM lineitem)"
 
 
 def _lock(spark, d):
-    return a.table(spark, d, "lineitem").where("l_partkey % 3 > 0 OR l_suppkey % 5 = 0").select(F.col("l_partkey").alias("name"), (F.col("l_suppkey") % 5).alias("version"), (F.col("l_suppkey") % 10 == 0).alias("direct")).distinct()
+    return a.table(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), (F.col("l_suppkey") % 5).alias("version"), (F.col("l_suppkey") % 10 == 0).alias("direct")).distinct()
 
 
 DUP = f"{LOCK}, dv AS (SELECT name, count(DISTINCT version) AS versions, count(DISTINCT version) FILTER (direct) AS direct, round(CASE WHEN count(DISTINCT version) FILTER (direct) > 0 THEN 2 + 0.15 * count(DISTINCT version) FILTER (direct) ELSE 0.35 + 0.03 * count(DISTINCT version) END, 9)::DOUBLE AS weight FROM lock GROUP BY name HAVING count(DISTINCT version) > 1)"
@@ -223,14 +257,16 @@ def duplicate_version_score(spark, d):
     return packages.duplicate_score(_lock(spark, d))
 
 
-#: Declared: parts a supplier shipped with flag A or N; used: those with R or N.
-HEALTH = """dc AS (SELECT l_suppkey AS owner, l_partkey AS name, bool_and(l_returnflag = 'A') AS dev FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY ALL), us AS (SELECT DISTINCT l_suppkey AS owner, l_partkey AS name FROM lineitem WHERE l_returnflag IN ('R', 'N')),
-pb AS (SELECT owner, name, CASE WHEN dev IS NULL THEN 'missing' WHEN u IS NULL THEN 'unused' WHEN dev THEN 'dev-in-prod' END AS problem FROM dc FULL JOIN (SELECT *, true AS u FROM us) x USING (owner, name))"""
+#: Declared: parts a supplier shipped with flag A or N; used: those with R or N, R only for their types; brought: those of clerks' open lines.
+HEALTH = """dc AS (SELECT l_suppkey AS owner, l_partkey AS name, bool_and(l_returnflag = 'A') AS dev FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY ALL), us AS (SELECT l_suppkey AS owner, l_partkey AS name, max(CASE l_returnflag WHEN 'R' THEN 0.2 ELSE 1.0 END)::DOUBLE AS u FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY ALL),
+rc AS (SELECT DISTINCT l_suppkey AS owner, l_partkey AS name, true AS r FROM lineitem WHERE l_discount >= 0.09),
+pb AS (SELECT owner, name, CASE WHEN dev IS NULL AND r THEN 'transitive' WHEN dev IS NULL THEN 'missing' WHEN u IS NULL THEN 'unused' WHEN dev THEN 'dev-in-prod' END AS problem, coalesce(u, 1.0)::DOUBLE AS weight FROM dc FULL JOIN us USING (owner, name) LEFT JOIN rc USING (owner, name))"""
 
 
 def _health(spark, d):
-    lines = a.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("name"), (F.col("l_returnflag") == "A").alias("dev"), "l_returnflag")
-    return packages.health(lines.where("l_returnflag IN ('A', 'N')"), lines.where("l_returnflag IN ('R', 'N')"))
+    lines = a.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("name"), (F.col("l_returnflag") == "A").alias("dev"), "l_returnflag", "l_discount")
+    used = lines.where("l_returnflag IN ('R', 'N')").select("owner", "name", F.when(F.col("l_returnflag") == "R", "type-only").otherwise("runtime").alias("usage"))
+    return packages.health(lines.where("l_returnflag IN ('A', 'N')"), used, lines.where("l_discount >= 0.09").select("owner", "name"))
 
 
 @query(f"WITH {HEALTH} SELECT * FROM pb WHERE problem IS NOT NULL")
@@ -238,9 +274,60 @@ def package_health(spark, d):
     return _health(spark, d)
 
 
-@query(f"WITH {HEALTH}, k AS (SELECT count(*) FILTER (problem = 'missing') AS missing, count(*) FILTER (problem = 'unused') AS unused, count(*) FILTER (problem = 'dev-in-prod') AS dev_in_prod FROM pb) SELECT missing, unused, dev_in_prod, round(1 - least(1, missing / 99 * 1.25 + unused / 5000 + dev_in_prod / 2000), 9)::DOUBLE AS score FROM k")
+@query(f"WITH {HEALTH}, k AS (SELECT count(*) FILTER (problem = 'missing') AS missing, coalesce(sum(weight) FILTER (problem = 'missing'), 0) AS w, count(*) FILTER (problem = 'unused') AS unused, count(*) FILTER (problem = 'transitive') AS transitive, count(*) FILTER (problem = 'dev-in-prod') AS dev_in_prod FROM pb) SELECT missing, unused, transitive, dev_in_prod, round(1 - least(1, w / 99999 * 1.25 + unused / 5000000 + (transitive + dev_in_prod) / 2000000), 9)::DOUBLE AS score FROM k")
 def package_health_score(spark, d):
-    return packages.health_score(_health(spark, d), 100)
+    return packages.health_score(_health(spark, d), 100_000)
+
+
+@query("WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_discount >= 0.1) SELECT (SELECT count(*) FROM part) AS pkgs, (SELECT count(*) FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1)) AS duplicates, (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM e)::BIGINT AS depth, (SELECT count(*) FROM part WHERE p_size > 45) AS unused")
+def cargo_tree(spark, d):
+    crates = a.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("version"), (F.col("p_size") <= 45).alias("used"))
+    edges = a.table(spark, d, "lineitem").where("l_discount >= 0.1").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return packages.cargo_tree(crates, edges)
+
+
+@query("WITH t AS (SELECT o_orderkey AS sha, (o_totalprice / 500)::DOUBLE AS lines, (o_custkey % 3)::DOUBLE AS b, (o_custkey % 2)::DOUBLE AS p FROM orders) SELECT sha, round(greatest(0, 1 - CASE WHEN lines <= 100 THEN 0 WHEN lines <= 300 THEN 0.2 * (lines - 100) / 200 WHEN lines <= 500 THEN 0.2 + 0.2 * (lines - 300) / 200 ELSE least(0.6, 0.4 + (lines - 500) / 1000) END - 0.2 * b - 0.1 * p), 9)::DOUBLE AS score FROM t")
+def pr_size(spark, d):
+    orders = a.table(spark, d, "orders")
+    return orders.select(F.col("o_orderkey").alias("sha"), F.round(findings.pr_size_score(F.col("o_totalprice") / 500, (F.col("o_custkey") % 3).cast("double"), (F.col("o_custkey") % 2).cast("double")), 9).alias("score"))
+
+
+@query("SELECT round(sum(4 * a + b) / sum(4 * n + m), 9)::DOUBLE AS score FROM (SELECT l_linenumber AS n, least(l_linenumber, (l_quantity % 5)::INT) AS a, 1 AS m, (l_tax > 0.03)::INT AS b FROM lineitem)")
+def annotation_coverage(spark, d):
+    facts = a.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("params"), F.least("l_linenumber", (F.col("l_quantity") % 5).cast("int")).alias("params_annotated"), F.lit(1).alias("returns"), (F.col("l_tax") > 0.03).cast("int").alias("returns_annotated"))
+    return findings.annotation_score(facts)
+
+
+@query("WITH x AS (SELECT p_partkey, p_name AS e, p_type AS h FROM part), s AS (SELECT CASE WHEN l_partkey IS NULL THEN 'missing' WHEN p_partkey IS NULL THEN 'orphan' WHEN f = '-' THEN 'missing-provenance' WHEN f <> h THEN 'stale' ELSE 'fresh' END AS state FROM x FULL JOIN (SELECT l_partkey, CASE min(l_returnflag) WHEN 'A' THEN '-' ELSE min(l_returnflag) END AS f FROM lineitem GROUP BY 1) b ON l_partkey = p_partkey), w AS (SELECT sum(CASE state WHEN 'stale' THEN 5 WHEN 'missing' THEN 4 WHEN 'orphan' THEN 3 WHEN 'missing-provenance' THEN 2 ELSE 0 END) AS w FROM s) SELECT w::BIGINT AS weighted, round(1 / (1 + w / 8), 9)::DOUBLE AS score FROM w")
+def contract_freshness(spark, d):
+    built = F.when(F.min("l_returnflag") != "A", F.min("l_returnflag"))
+    actual = a.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("artifact")).agg(built.alias("built_from"))
+    expected = a.table(spark, d, "part").select(F.col("p_partkey").alias("artifact"), F.col("p_type").alias("source_hash"))
+    return findings.freshness_score(findings.contract_states(expected, actual))
+
+
+@query("SELECT l_returnflag AS flag, round(greatest(0, least(1, 1 - v / t)), 9)::DOUBLE AS score, round(avg_base * exp(-30 / 90.0), 9)::DOUBLE AS confidence FROM (SELECT l_returnflag, count(*) FILTER (l_discount > 0.08) AS v, count(*) AS t, avg(l_tax) AS avg_base FROM lineitem GROUP BY 1)")
+def violation_share_and_decay(spark, d):
+    sums = a.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.when(F.col("l_discount") > 0.08, 1)).alias("v"), F.count("*").alias("t"), F.avg("l_tax").alias("b"))
+    return sums.select("flag", F.round(violation_share("v", "t"), 9).alias("score"), F.round(e_fold("b", 30, 90.0), 9).alias("confidence"))
+
+
+@query("SELECT signal_id, file, line, severity, \"rank\"::INT AS \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY list_position(['block', 'warn', 'info'], severity), file, line, hash) AS \"rank\" FROM findings) WHERE \"rank\" <= 10", "findings")
+def top_diagnostics(spark, d):
+    return observer.top_diagnostics(a.findings(spark, d)).select("signal_id", "file", "line", "severity", "rank")
+
+
+@query("SELECT count(*) AS commits FROM (SELECT o_orderkey FROM orders, (SELECT max(o_orderdate) AS h FROM orders) WHERE o_orderdate >= h - INTERVAL 90 DAY AND o_orderstatus <> 'F')")
+def commit_count(spark, d):
+    parents = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    return history.commit_count(a.table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("committed_at"), parents.alias("parents")), 90)
+
+
+@query("WITH c AS (SELECT l_partkey AS id, arg_max(l_orderkey, (l_shipdate, l_orderkey)) AS changed_in, max(l_shipdate) AS changed_at FROM lineitem, part WHERE l_partkey = p_partkey AND l_linenumber BETWEEN 2 AND 2 + p_size % 3 GROUP BY 1) SELECT p_partkey AS id, changed_in, changed_at FROM part LEFT JOIN c ON id = p_partkey")
+def last_change_of_range(spark, d):
+    blamed = a.table(spark, d, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("sha"), F.col("l_shipdate").alias("at"))
+    places = a.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("file"), F.lit(2).alias("start"), (2 + F.col("p_size") % 3).alias("end"))
+    return history.last_change(blamed, places)
 
 
 @query("SELECT count(*) AS functions, count(*) FILTER (complexity > 20) AS \"over\", max(complexity) AS worst, round(1 - greatest(least(1, 2 * count(*) FILTER (complexity > 20) / count(*)), greatest(0, (max(complexity) - 20) / max(complexity))), 9)::DOUBLE AS score FROM files", "files")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, spaced_hash, token_count
+from ..operators import elicitation, graph, observer, review, signals, text, timeseries
 from ..operators import findings as fnd
-from ..operators import graph, observer, review, signals, text, timeseries
 from ..sources import adapters as a
 from .base import query
 
@@ -109,21 +109,56 @@ def backpressure_trend(spark, d):
     return timeseries.trend(hourly)
 
 
-HID = "hid AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY sha1('2817:' || id)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT signal::VARCHAR AS id FROM observations)) WHERE n > 2 AND r <= greatest(1, floor(n * 0.2)))"
+HOURLY = """en AS (SELECT strftime(date_trunc('hour', ts), '%Y%m%d%H') AS sha, date_trunc('hour', ts) AS ts, signal::VARCHAR AS id, avg(score) AS score FROM observations GROUP BY 1, 2, 3), hd AS (SELECT max(ts) AS h FROM en), slot AS (SELECT floor(epoch_us(h) / (7 * 86400e6))::BIGINT::VARCHAR AS slot, h FROM hd),
+hid AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY sha1(slot || ':' || id)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT id, slot FROM en, slot WHERE ts = h)) WHERE n > 2 AND r <= greatest(1, floor(n * 0.2)))"""
 
 
-@query(f"WITH {HID} SELECT id FROM hid", "observations")
+def _hourly(spark, d):
+    hour = F.date_trunc("hour", "ts")
+    return _daily(spark, d).groupBy(F.date_format(hour, "yyyyMMddHH").alias("sha"), hour.alias("ts"), F.col("signal").cast("string").alias("id")).agg(F.avg("score").alias("score"))
+
+
+@query(f"WITH {HOURLY} SELECT id FROM hid", "observations")
 def holdout_selection(spark, d):
-    return timeseries.holdout(_daily(spark, d).select(F.col("signal").cast("string").alias("id")), 2817)
+    entries = _hourly(spark, d)
+    head = entries.agg(F.max("ts").alias("h"))
+    return timeseries.hidden_signals(entries.join(F.broadcast(head), F.col("ts") == F.col("h")).select("id", timeseries.slot_of(F.col("ts")).alias("slot")))
 
 
-@query(f"""WITH {HID}, m AS (SELECT signal::VARCHAR AS id, avg(score) FILTER (ts < TIMESTAMP '2024-01-16') AS a, avg(score) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM observations GROUP BY 1), g AS (SELECT avg(b - a) FILTER (id NOT IN (SELECT id FROM hid)) AS v, avg(b - a) FILTER (id IN (SELECT id FROM hid)) AS h FROM m WHERE a IS NOT NULL AND b IS NOT NULL)
-SELECT round(v, 9)::DOUBLE AS visible_delta, round(h, 9)::DOUBLE AS hidden_delta, round(coalesce(v - h, 0), 9)::DOUBLE AS gap, CASE WHEN coalesce(v - h, 0) > 0.16 THEN 'high' WHEN coalesce(v - h, 0) > 0.08 THEN 'elevated' ELSE 'none' END AS risk FROM g""", "observations")
-def goodhart_gap(spark, d):
-    rows = _daily(spark, d).select(F.col("signal").cast("string").alias("id"), "ts", "score")
-    cut = F.lit("2024-01-16").cast("timestamp")
-    half = lambda c: rows.where(c).groupBy("id").agg(F.avg("score").alias("score"))
-    return timeseries.goodhart(half(F.col("ts") < cut), half(F.col("ts") >= cut), timeseries.holdout(rows, 2817))
+@query(f"""WITH {HOURLY}, ids AS (SELECT DISTINCT id, id IN (SELECT id FROM hid) AS hidden FROM en, hd WHERE ts = h), w AS (SELECT en.* FROM en, hd WHERE ts >= h - INTERVAL 14 DAY), b AS (SELECT min(ts) AS f, max(ts) AS l, count(DISTINCT sha) AS points FROM w),
+m AS (SELECT points, avg(score) FILTER (ts = l AND NOT hidden) AS v, avg(score) FILTER (ts = l AND hidden) AS hs, avg(score) FILTER (ts = f AND NOT hidden) AS v0, avg(score) FILTER (ts = f AND hidden) AS h0 FROM w JOIN ids USING (id), b GROUP BY points),
+t AS (SELECT *, v - hs AS g, CASE WHEN points >= 2 THEN coalesce(v - v0, 0) ELSE 0 END AS vt, CASE WHEN points >= 2 THEN coalesce(hs - h0, 0) ELSE 0 END AS ht FROM m)
+SELECT round(v, 9)::DOUBLE AS visible_score, round(hs, 9)::DOUBLE AS hidden_score, round(g, 9)::DOUBLE AS gap, round(vt, 9)::DOUBLE AS visible_trend, round(ht, 9)::DOUBLE AS hidden_trend, round(vt - ht, 9)::DOUBLE AS velocity, points,
+CASE WHEN coalesce(g > 0.08, false) AND points >= 4 AND vt - ht > 0.12 THEN 'high' WHEN coalesce(g > 0.08, false) OR (points >= 4 AND vt - ht > 0.12) THEN 'elevated' ELSE 'low' END AS suspicion FROM t""", "observations")
+def goodhart_assessment(spark, d):
+    return timeseries.goodhart(_hourly(spark, d))
+
+
+@query(f"WITH {SL}, l AS (SELECT category, arg_max(score, (ts, sha)) AS latest FROM observations GROUP BY 1), lv AS (SELECT {LEVEL.format(s='latest')} AS level, latest FROM sl JOIN l USING (category) WHERE n >= 2) SELECT CASE WHEN count(*) = 0 THEN 'unavailable' WHEN min(latest) < 0.4 THEN 'red' ELSE ['green', 'yellow', 'red'][greatest(2, max(list_position(['green', 'yellow', 'red'], level)))] END AS level FROM lv", "observations")
+def backpressure_overall(spark, d):
+    levels = timeseries.backpressure(_daily(spark, d))
+    latest = levels.agg(F.lit("pass").alias("hard_gate_status"), F.min("latest").alias("minimum"), F.lit("yellow").alias("readiness_status"))
+    return timeseries.overall_level(levels, latest)
+
+
+ENTRIES = """en AS (SELECT sha::VARCHAR AS sha, ts, score, CASE WHEN score < 0.6 THEN 'red' WHEN score < 0.85 THEN 'yellow' ELSE 'green' END AS status FROM observations), h AS (SELECT max(ts) AS h FROM en), o AS (SELECT *, ts < h - INTERVAL 10 DAY AS old, year(date_trunc('week', ts))::VARCHAR || '-W' || lpad(week(date_trunc('week', ts))::VARCHAR, 2, '0') AS week FROM en, h)"""
+
+
+@query(f"""WITH {ENTRIES} SELECT 'aggregate:' || week AS sha, max(date_trunc('week', ts) + INTERVAL 7 DAY - INTERVAL 1 MILLISECOND) AS ts, 'weekly-average' AS source, round(avg(score), 9)::DOUBLE AS weighted_mean, CASE WHEN bool_or(score < 0.05) THEN 'fail' ELSE 'pass' END AS hard_gate_status, round(avg(1 - score), 9)::DOUBLE AS pressure, max(1 - score) AS local_max,
+['green', 'yellow', 'red'][max(list_position(['green', 'yellow', 'red'], status))] AS status, count(*)::BIGINT AS samples, count(DISTINCT sha)::INT AS shas FROM o WHERE old GROUP BY week
+UNION ALL SELECT sha, ts, 'raw', score, CASE WHEN score < 0.05 THEN 'fail' ELSE 'pass' END, 1 - score, 1 - score, status, 1, 0 FROM o WHERE NOT old""", "observations")
+def compacted_entries(spark, d):
+    status = F.when(F.col("score") < 0.6, "red").when(F.col("score") < 0.85, "yellow").otherwise("green")
+    entries = _daily(spark, d).select(
+        F.col("sha").cast("string").alias("sha"), "ts", F.lit("raw").alias("source"), F.col("score").alias("weighted_mean"), F.when(F.col("score") < 0.05, "fail").otherwise("pass").alias("hard_gate_status"), F.col("score").alias("readiness"),
+        (1 - F.col("score")).alias("pressure"), (1 - F.col("score")).alias("pnorm"), (1 - F.col("score")).alias("local_max"), status.alias("status"), status.alias("band"), F.lit(1).cast("long").alias("samples"), F.lit(None).cast("array<string>").alias("commit_shas"))
+    out = timeseries.compact(entries, 10)
+    return out.select("sha", "ts", "source", "weighted_mean", "hard_gate_status", "pressure", "local_max", "status", "samples", F.coalesce(F.size("commit_shas"), F.lit(0)).alias("shas")).withColumn("shas", F.greatest(F.lit(0), "shas"))
+
+
+@query("SELECT sha, ts, category FROM observations WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'", "observations")
+def observations_between(spark, d):
+    return timeseries.between(_daily(spark, d), "2024-01-10 00:00:00", "2024-01-12 00:00:00").select("sha", "ts", "category")
 
 
 CURVE = "curve AS (SELECT category AS series, (epoch_us(date_trunc('hour', ts)) // 3600000000)::BIGINT AS idx, round(avg(score), 6) AS score FROM observations GROUP BY 1, 2)"
@@ -194,6 +229,37 @@ def diff_gate(spark, d):
     return review.diff_gate(review.introduced(*_sides(spark, d)), ["S-N"])
 
 
+SIDES = "bf AS (SELECT signal_id, hash, severity, line <= 3 AS in_scope FROM findings WHERE baseline), hf AS (SELECT signal_id, hash, severity, line <= 3 AS in_scope FROM findings WHERE NOT baseline), nw AS (SELECT * FROM hf f WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.signal_id = f.signal_id AND bf.hash = f.hash)), gn AS (SELECT * FROM bf f WHERE NOT EXISTS (SELECT 1 FROM hf WHERE hf.signal_id = f.signal_id AND hf.hash = f.hash))"
+
+
+def _scoped(spark, d):
+    f = a.findings(spark, d).withColumn("in_scope", F.col("line") <= 3)
+    return f.where("baseline").drop("baseline"), f.where("NOT baseline").drop("baseline")
+
+
+@query(f"WITH {SIDES}, sc(signal_id, ok) AS (VALUES ('S-A', true), ('S-N', false), ('S-R', true)), ch AS (SELECT signal_id, CASE WHEN NOT in_scope AND ok AND signal_id IN (SELECT signal_id FROM gn) THEN 'projection-churn' ELSE 'introduced' END AS change FROM nw JOIN sc USING (signal_id) UNION ALL SELECT signal_id, 'resolved' FROM gn) SELECT signal_id, change, count(*) AS n FROM ch GROUP BY 1, 2", "findings")
+def score_diff(spark, d):
+    scores = spark.createDataFrame([("S-A", 0.5, 0.5), ("S-N", 0.6, 0.4), ("S-R", 0.2, 0.9)], "signal_id string, before double, after double")
+    return review.diff(*_scoped(spark, d), scores).groupBy("signal_id", "change").agg(F.count("*").alias("n"))
+
+
+GATED = "(SELECT count(*) FROM nw) AS introduced, (SELECT count(*) FROM nw WHERE in_scope) AS routed, (SELECT count(*) FROM nw WHERE in_scope AND signal_id = 'S-R') AS trust"
+
+
+@query(f"WITH {SIDES} SELECT {GATED}, CASE WHEN (SELECT count(*) FROM nw WHERE severity = 'block' AND signal_id = 'S-A') > 0 THEN 'block' WHEN (SELECT count(*) FROM nw WHERE in_scope) > 0 THEN 'route' ELSE 'pass' END AS status", "findings")
+def score_diff_gate(spark, d):
+    signal = F.col("signal_id")
+    new = review.introduced(*_scoped(spark, d)).select(
+        F.when(signal == "S-R", "security-risk").otherwise("review-pain").alias("category"), F.when(signal == "S-A", 1.0).otherwise(2.0).alias("tier"), F.lit("structural").alias("kind"), F.array(F.lit("hard-gate")).alias("ceiling"), "severity", "in_scope")
+    return review.decide_gate(new, changed_only=True)
+
+
+@query(f"WITH {BASE}, k AS (SELECT (SELECT count(*) FROM hd ANTI JOIN bs USING (signal_id, hash)) AS n, (SELECT count(*) FROM bs ANTI JOIN hd USING (signal_id, hash)) AS p, (SELECT count(*) FROM bs SEMI JOIN hd USING (signal_id, hash)) AS t) SELECT 'ratcheted' AS mode, n AS \"new\", p AS paid, t AS tolerated, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status FROM k UNION ALL SELECT 'missing-baseline', 0, 0, 0, 'fail' UNION ALL SELECT 'observer-config-mismatch', 0, 0, 0, 'fail'", "findings")
+def score_ci(spark, d):
+    base, head = _sides(spark, d)
+    return review.assess_ci(base, head, "c1", "c1").unionByName(review.assess_ci(None, head)).unionByName(review.assess_ci(base, head, "c1", "c2"))
+
+
 HALVES = "ha AS (SELECT category || '/' || signal::VARCHAR AS signal_id, round(avg(score) FILTER (ts < TIMESTAMP '2024-01-16'), 9) AS x, round(avg(score) FILTER (ts >= TIMESTAMP '2024-01-16'), 9) AS y FROM observations GROUP BY 1)"
 
 
@@ -215,40 +281,95 @@ def routing_triggers(spark, d):
     return review.triggers(review.deltas(*_halves(spark, d)).withColumnRenamed("after", "score"), patterns)
 
 
-@query("WITH r AS (SELECT DISTINCT o_orderpriority AS reviewer, c_mktsegment AS reason FROM orders JOIN customer ON o_custkey = c_custkey) SELECT reviewer, (SELECT max(o_custkey) FROM orders WHERE o_orderpriority = reviewer) AS priority, string_agg(reason, '; ' ORDER BY reason) AS reasons, 0 AS left_out FROM r GROUP BY reviewer")
+@query("""WITH r AS (SELECT o_orderpriority AS reviewer, c_mktsegment AS reason, min(o_orderkey) AS nth, max(o_orderstatus) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), p AS (SELECT *, CASE WHEN reason < 'F' THEN 2 ELSE 1 END AS pr, reason || '/' || s AS item FROM r),
+x AS (SELECT *, 2 + sum(octet_length(item::BLOB) + 3) OVER (PARTITION BY reviewer ORDER BY nth) AS upto FROM p)
+SELECT reviewer, ['informational', 'required', 'block'][max(pr)] AS priority, string_agg(reason, '; ' ORDER BY nth) AS reason, array_to_string(list_concat(coalesce(list(item ORDER BY nth) FILTER (upto <= 50), []), CASE WHEN max(upto) > 50 THEN ['context truncated to fit the plan''s budget'] ELSE [] END), '|') AS context, max(upto) > 50 AS cut FROM x GROUP BY reviewer""")
 def review_plan_merge(spark, d):
     o = a.table(spark, d, "orders").join(a.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return review.merge_requests(o.select(F.col("o_orderpriority").alias("reviewer"), F.col("o_custkey").alias("priority"), F.col("c_mktsegment").alias("reason")))
+    asked = o.groupBy(F.col("o_orderpriority").alias("reviewer"), F.col("c_mktsegment").alias("reason")).agg(F.min("o_orderkey").alias("nth"), F.max("o_orderstatus").alias("s"))
+    asked = asked.select("reviewer", "nth", F.when(F.col("reason") < "F", "required").otherwise("informational").alias("priority"), "reason", F.array(F.concat_ws("/", "reason", "s")).alias("context"))
+    return review.merge_requests(asked, 50).withColumn("context", F.array_join("context", "|"))
 
 
-HUNKS = "hk AS (SELECT p_partkey AS file, p_size % 5 + 1 AS new_start, p_size % 3 AS new_lines FROM part WHERE p_partkey % 2 = 0)"
+@query("SELECT p_partkey AS id, p_brand AS globs, 'custom' AS origin FROM part WHERE p_size > 40 UNION ALL SELECT p_partkey, p_type, 'built-in' FROM part WHERE p_size <= 40")
+def pattern_overrides(spark, d):
+    p = a.table(spark, d, "part")
+    built_in = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("globs"), F.lit("built-in").alias("origin"))
+    return review.override_patterns(built_in, p.where("p_size > 40").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("globs"), F.lit("custom").alias("origin")))
+
+
+HUNKS = "hk AS (SELECT p_partkey AS file, p_size % 5 + 1 AS new_start, p_size % 3 AS new_lines FROM part)"
 
 
 @query(f"WITH {HUNKS} SELECT signal_id, count(*) AS n, sum(file)::BIGINT AS checksum FROM findings f WHERE EXISTS (SELECT 1 FROM hk WHERE hk.file = f.file AND line BETWEEN new_start AND new_start + new_lines - 1) GROUP BY 1", "findings")
 def changed_scope_findings(spark, d):
-    hunks = a.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("file"), (F.col("p_size") % 5 + 1).alias("new_start"), (F.col("p_size") % 3).alias("new_lines"))
+    hunks = a.table(spark, d, "part").select(F.col("p_partkey").alias("file"), (F.col("p_size") % 5 + 1).alias("new_start"), (F.col("p_size") % 3).alias("new_lines"))
     return review.in_scope(a.findings(spark, d), hunks).groupBy("signal_id").agg(F.count("*").alias("n"), F.sum("file").alias("checksum"))
 
 
-SAMPLES = "sm AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS outcome, (0.5 + (doc_id % 3) * 0.25)::DOUBLE AS confidence, unnest(['length', 'words']) AS signal, unnest([round(least(1, n_chars / 5000), 4), round(least(1, len(regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r ]+')) / 1000), 3)])::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
+SAMPLES = "sm AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS outcome, (0.5 + (n_chars % 3) * 0.25)::DOUBLE AS confidence, unnest(['length', 'words']) AS signal, unnest([round(least(1, n_chars / 5000), 4), round(least(1, len(regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r ]+')) / 1000), 3)])::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
 
 
 def _samples(spark, d):
     scores = F.array(F.struct(F.lit("length").alias("signal"), F.round(F.least(F.lit(1.0), F.col("n_chars") / 5000), 4).alias("score")), F.struct(F.lit("words").alias("signal"), F.round(F.least(F.lit(1.0), token_count("text") / 1000), 3).alias("score")))
     both = a.table(spark, d, "documents").join(a.table(spark, d, "labels"), "doc_id")
-    return both.select(F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("outcome"), (0.5 + F.col("doc_id") % 3 * 0.25).alias("confidence"), F.explode(scores).alias("s")).select("outcome", "confidence", "s.signal", "s.score")
+    return both.select(F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("outcome"), (0.5 + F.col("n_chars") % 3 * 0.25).alias("confidence"), F.col("doc_id").alias("id"), F.explode(scores).alias("s")).select("id", "outcome", "confidence", "s.signal", "s.score")
+
+
+PW = "p AS (SELECT x.signal, x.score - y.score AS d, x.confidence * y.confidence AS c FROM sm x JOIN sm y ON x.signal = y.signal AND x.outcome = 'accepted' AND y.outcome = 'rejected' WHERE abs(x.score - y.score) >= 0.05), e AS (SELECT signal, sum(d * c) AS s, sum(abs(d) * c) AS m FROM p GROUP BY 1)"
 
 
-@query(f"WITH {SAMPLES}, p AS (SELECT x.signal, x.score - y.score AS d, sqrt(x.confidence * y.confidence) AS c FROM sm x JOIN sm y ON x.signal = y.signal AND x.outcome = 'accepted' AND y.outcome = 'rejected' WHERE abs(x.score - y.score) >= 0.05) SELECT signal, round(sum(d * c), 6)::DOUBLE AS signed, round(sum(abs(d) * c), 6)::DOUBLE AS magnitude, round(greatest(0, least(2, 1 + 0.6 * sum(d * c) / sum(abs(d) * c))), 9)::DOUBLE AS weight FROM p GROUP BY 1")
+@query(f"WITH {SAMPLES}, {PW} SELECT signal, round(s, 4)::DOUBLE AS signed, round(m, 4)::DOUBLE AS magnitude, round(s / m, 3)::DOUBLE AS support, round(greatest(0, least(2, 1 + 0.6 * s / m)), 2)::DOUBLE AS weight FROM e")
 def revealed_preference_pairwise(spark, d):
     return review.pairwise_preference(_samples(spark, d))
 
 
-@query(f"WITH {SAMPLES} SELECT signal, round(avg(score) FILTER (outcome = 'accepted'), 9)::DOUBLE AS accepted, round(avg(score) FILTER (outcome = 'rejected'), 9)::DOUBLE AS rejected, round(1 + 0.45 * (coalesce(avg(score) FILTER (outcome = 'accepted'), 0) - coalesce(avg(score) FILTER (outcome = 'rejected'), 0)), 9)::DOUBLE AS weight FROM sm GROUP BY 1")
+@query(f"WITH {SAMPLES}, e AS (SELECT signal, avg(score * confidence) FILTER (outcome = 'accepted') - avg(score * confidence) FILTER (outcome = 'rejected') AS s FROM sm GROUP BY 1) SELECT signal, round(s, 4)::DOUBLE AS signed, round(abs(s), 4)::DOUBLE AS magnitude, sign(s)::DOUBLE AS support, round(greatest(0, least(2, 1 + 0.45 * sign(s))), 2)::DOUBLE AS weight FROM e")
 def revealed_preference_frequency(spark, d):
     return review.frequency_preference(_samples(spark, d))
 
 
+@query(f"WITH {SAMPLES}, {PW}, w AS (SELECT signal, round(s / m, 3)::DOUBLE AS support, round(greatest(0, least(2, CASE signal WHEN 'length' THEN 0.5 ELSE 1 END + 0.6 * s / m)), 2) AS w, CASE signal WHEN 'length' THEN 0.5 ELSE 1 END AS p FROM e), n AS (SELECT least(1, count(DISTINCT doc_id) / 1000) AS b FROM sm) SELECT signal, support, round(greatest(0, least(2, p + (w - p) * b)), 2)::DOUBLE AS weight FROM w, n")
+def revealed_preference_prior(spark, d):
+    prior = spark.createDataFrame([("length", 0.5)], "signal string, prior double")
+    return review.prior_adjusted_preference(_samples(spark, d), prior, full=1000)
+
+
+#: A quiz made of parts: an item for each brand, the sides by even and odd size, a signal for each type.
+QUIZ = "dl AS (SELECT p_brand AS item, p_type AS signal, round(sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END * round(p_retailprice / 2000, 3)), 9) AS delta FROM part GROUP BY 1, 2), rs AS (SELECT p_brand AS item, CASE min(p_size) % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'equal' ELSE 'skip' END AS answer FROM part GROUP BY 1 HAVING max(p_retailprice) % 7 < 4), ir AS (SELECT signal, count(*) AS seen, round(sum(CASE answer WHEN 'a' THEN delta WHEN 'b' THEN -delta ELSE 0 END), 9)::DOUBLE AS evidence, round(sum(abs(delta)), 9)::DOUBLE AS magnitude FROM rs JOIN dl USING (item) WHERE answer <> 'skip' GROUP BY 1)"
+
+
+def _quiz(spark, d):
+    p = a.table(spark, d, "part")
+    items = p.select(F.col("p_brand").alias("item"), F.when(F.col("p_size") % 2 == 0, "a").otherwise("b").alias("side"), F.col("p_type").alias("signal"), F.round(F.col("p_retailprice") / 2000, 3).alias("score"))
+    deltas = elicitation.item_deltas(items).withColumn("delta", F.round("delta", 9))
+    least = F.min("p_size") % 4
+    answer = F.when(least == 0, "a").when(least == 1, "b").when(least == 2, "equal").otherwise("skip")
+    asked = p.groupBy(F.col("p_brand").alias("item")).agg(answer.alias("answer"), F.max("p_retailprice").alias("m")).where("m % 7 < 4").select("item", "answer")
+    return deltas, asked
+
+
+@query(f"WITH {QUIZ} SELECT * FROM ir")
+def quiz_inference(spark, d):
+    return elicitation.inference(*_quiz(spark, d))
+
+
+@query(f"WITH {QUIZ}, g AS (SELECT item, round(sum(abs(delta) * (1 / (1 + coalesce(seen, 0)) + 1 - coalesce(least(1, abs(evidence / magnitude)), 0)) + CASE WHEN seen IS NULL THEN 0.25 ELSE 0 END), 4)::DOUBLE AS gain FROM dl LEFT JOIN ir USING (signal) WHERE item NOT IN (SELECT item FROM rs) GROUP BY 1) SELECT * FROM g ORDER BY gain DESC, item LIMIT 1")
+def quiz_next_item(spark, d):
+    return elicitation.next_item(*_quiz(spark, d))
+
+
+@query(f"WITH {QUIZ}, w AS (SELECT signal, 1.0::DOUBLE AS before, round(greatest(0, least(2, 1 + evidence / magnitude * least(1, seen / 3) * 0.5)), 2)::DOUBLE AS weight FROM ir) SELECT * FROM w WHERE abs(weight - before) >= 0.05")
+def quiz_weights(spark, d):
+    return elicitation.quiz_weights(elicitation.inference(*_quiz(spark, d)))
+
+
+@query(f"WITH {HALVES}, k AS (SELECT signal_id AS signal, x AS p, y AS c, round(least(2, 1 + least(0.25, (y - x) * 0.5)), 2) AS w FROM ha WHERE y - x >= 0.02) SELECT signal, round(p, 2)::DOUBLE AS previous, round(c, 2)::DOUBLE AS current, 1.0::DOUBLE AS before, w::DOUBLE AS weight FROM k WHERE abs(w - 1) >= 0.05 ORDER BY round(c, 2) - round(p, 2) DESC, signal LIMIT 3", "observations")
+def passive_proposal(spark, d):
+    before, after = (x.withColumnRenamed("signal_id", "signal") for x in _halves(spark, d))
+    return elicitation.passive_proposal(before, after, least=0.02)
+
+
 # Graphs.
 
 FANS = "fn AS (SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node)"
@@ -299,18 +420,16 @@ def cycle_score(spark, d):
     return graph.cycle_score(graph.cycles(a.edges(spark, d)))
 
 
-@query("""WITH st AS (SELECT DISTINCT src AS node FROM edges WHERE src % 10 = 0), wk(start, last, path, go) AS (SELECT node, node, [node], true FROM st UNION ALL SELECT start, e.dst, list_append(path, e.dst), NOT list_contains(path, e.dst) AND len(path) <= 3 FROM wk JOIN edges e ON e.src = last WHERE go),
-r AS (SELECT start, last, path, go, list_contains(list_slice(path, 1, len(path) - 1), last) AS again FROM wk)
-SELECT DISTINCT start, CASE WHEN again OR len(path) = 5 THEN path[len(path) - 1] ELSE last END AS last, (len(path) - CASE WHEN again OR len(path) = 5 THEN 2 ELSE 1 END)::INT AS depth, again AS cyclic FROM r WHERE again OR len(path) = 5 OR NOT EXISTS (SELECT 1 FROM edges WHERE src = last)""", "edges")
-def reexport_chains(spark, d):
-    e = a.edges(spark, d)
-    return graph.chains(e.where("src % 10 = 0").select(F.col("src").alias("node")).distinct(), e, 3)
+@query()
+def reexport_depths(spark, d):
+    """Longest chains over components; SQL has no end to its recursion on cycles. A unit test holds it against plain search."""
+    return graph.depths(a.edges(spark, d))
 
 
-@query("WITH sp(node) AS (SELECT DISTINCT src FROM edges WHERE src % 25 = 0 UNION SELECT e.src FROM sp JOIN edges e ON e.dst = node) SELECT node FROM sp", "edges")
+@query("WITH sp(node) AS (SELECT DISTINCT src FROM edges WHERE weight >= 5 UNION SELECT e.src FROM sp JOIN edges e ON e.dst = node) SELECT node FROM sp", "edges")
 def unsafe_propagation(spark, d):
     e = a.edges(spark, d)
-    return graph.spread(e.where("src % 25 = 0").select(F.col("src").alias("node")), e)
+    return graph.spread(e.where("weight >= 5").select(F.col("src").alias("node")), e)
 
 
 @query()
@@ -321,11 +440,12 @@ def reach_sketch(spark, d):
 
 # Text.
 
-TERMS = "tm AS (SELECT doc_id AS file, unnest(string_split(lower(trim(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z0-9]+', ' ', 'g'))), ' ')) AS term FROM documents), t AS (SELECT * FROM tm WHERE term <> '')"
+#: Words of whole texts, in lower case: runs of letters and digits with a letter.
+TERMS = "tm AS (SELECT doc_id AS file, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents), t AS (SELECT * FROM tm WHERE regexp_matches(term, '[a-z]'))"
 
 
 def _terms(spark, d):
-    docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.lower(F.substring_index("text", "\n", 1)).alias("name"))
+    docs = a.table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.lower("text").alias("name"))
     return text.terms(docs).select("file", "term")
 
 
@@ -343,36 +463,52 @@ def glossary_synonyms(spark, d):
     return text.synonyms(p, p.groupBy("term").agg(F.count("*").alias("n")))
 
 
-@query(f"WITH {TERMS}, f AS (SELECT term, count(*) AS n FROM t GROUP BY term), kn AS (SELECT term AS known FROM f WHERE n >= 10 AND len(term) >= 4) SELECT DISTINCT f.term, known FROM f JOIN kn ON levenshtein(f.term, known) <= 1 WHERE f.term NOT IN (SELECT known FROM kn)")
+@query(f"""WITH {TERMS}, f AS (SELECT term, count(*) AS n FROM t GROUP BY term), kn AS (SELECT term AS known FROM f WHERE n >= 10 AND len(term) >= 4), un AS (SELECT term FROM f WHERE term NOT IN (SELECT known FROM kn)),
+ku AS (SELECT known, unnest(list_distinct(list_append([known[:i] || known[i + 2:] FOR i IN range(0, len(known))], known))) AS k FROM kn), uu AS (SELECT term, unnest(list_distinct(list_append([term[:i] || term[i + 2:] FOR i IN range(0, len(term))], term))) AS k FROM un)
+SELECT DISTINCT term, known FROM uu JOIN ku USING (k) WHERE levenshtein(term, known) <= 1""")
 def term_conflicts(spark, d):
     counts = _terms(spark, d).groupBy("term").agg(F.count("*").alias("n"))
     return text.near_misses(counts, counts.where("n >= 10 AND length(term) >= 4").select(F.col("term").alias("known")))
 
 
-@query("""WITH c AS (SELECT p_type AS kind, CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '_') WHEN p_size % 3 = 1 THEN replace(p_name, ' ', '-') ELSE split_part(p_name, ' ', 1) END AS name FROM part),
-k AS (SELECT kind, CASE WHEN regexp_matches(name, '^[a-z][a-z0-9]*$') THEN 'lower' WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(name, '^[a-z][a-z0-9]*(-[a-z0-9]+)+$') THEN 'kebab-case' ELSE 'mixed' END AS convention, count(*) AS n FROM c GROUP BY ALL) SELECT DISTINCT ON (kind) kind, convention, n FROM k ORDER BY kind, n DESC, convention""")
-def naming_convention_mode(spark, d):
+NAMES = "c AS (SELECT p_type AS kind, CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '_') WHEN p_size % 3 = 1 THEN replace(p_name, ' ', '-') ELSE split_part(p_name, ' ', 1) END AS name FROM part), k AS (SELECT kind, CASE WHEN regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') THEN 'camelCase' WHEN regexp_matches(name, '^[A-Z][A-Z0-9_]*$') THEN 'UPPER_SNAKE_CASE' WHEN regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(name, '^[a-z][a-z0-9_]*$') THEN 'snake_case' WHEN regexp_matches(name, '^[a-z][a-z0-9-]*$') THEN 'kebab-case' END AS convention FROM c), md AS (SELECT DISTINCT ON (kind) kind, convention, n FROM (SELECT kind, convention, count(*) AS n FROM k WHERE convention IS NOT NULL GROUP BY ALL) ORDER BY kind, n DESC, convention)"
+
+
+def _names(spark, d):
     name = F.when(F.col("p_size") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).when(F.col("p_size") % 3 == 1, F.replace("p_name", F.lit(" "), F.lit("-"))).otherwise(F.split("p_name", " ")[0])
-    return text.conventions(a.table(spark, d, "part").select(F.col("p_type").alias("kind"), name.alias("name")))
+    return a.table(spark, d, "part").select(F.col("p_type").alias("kind"), name.alias("name"))
+
+
+@query(f"WITH {NAMES} SELECT * FROM md")
+def naming_convention_mode(spark, d):
+    return text.conventions(_names(spark, d))
 
 
-ALLOW = "al AS (SELECT CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'T-' || p_partkey::VARCHAR END AS ticket, CASE p_size % 5 WHEN 0 THEN '2024-05-01' WHEN 1 THEN '2023-01-01' WHEN 2 THEN 'never' END AS until, p_partkey FROM part)"
+@query("WITH m(convention, p) AS (VALUES ('camelCase', '^[a-z][a-zA-Z0-9]*$'), ('UPPER_SNAKE_CASE', '^[A-Z][A-Z0-9_]*$'), ('PascalCase', '^[A-Z][a-zA-Z0-9]*$'), ('snake_case', '^[a-z][a-z0-9_]*$'), ('kebab-case', '^[a-z][a-z0-9-]*$')), " + NAMES + " SELECT count(*) AS total, count(*) FILTER (NOT regexp_matches(name, p)) AS violations, round(1 - count(*) FILTER (NOT regexp_matches(name, p)) / count(*), 9)::DOUBLE AS score FROM c JOIN md USING (kind) JOIN m USING (convention)")
+def naming_score(spark, d):
+    names = _names(spark, d)
+    return text.naming_score(names, text.conventions(names))
+
+
+ALLOW = "al AS (SELECT CASE p_size % 5 WHEN 0 THEN '2024-05-01' WHEN 1 THEN '2023-01-01' WHEN 2 THEN 'never' ELSE '2024-01-01' END AS until, p_partkey FROM part WHERE p_size % 7 <> 0)"
 
 
 def _allow(spark, d):
-    until = F.when(F.col("p_size") % 5 == 0, "2024-05-01").when(F.col("p_size") % 5 == 1, "2023-01-01").when(F.col("p_size") % 5 == 2, "never")
-    line = F.concat(F.lit("x(); // allow(T-"), F.col("p_partkey").cast("string"), F.when(until.isNull(), "").otherwise(F.concat(F.lit(", until="), until)), F.lit(": because)"))
-    return text.bypasses(a.table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.lit(1).alias("line_no"), line.alias("line"), "p_size"), "2024-01-01 00:00:00")
+    part = F.col("p_size") % 5
+    until = F.when(part == 0, "2024-05-01").when(part == 1, "2023-01-01").when(part == 2, "never").otherwise("2024-01-01")
+    mark = F.when(F.col("p_size") % 7 == 0, "x(); // repo-allow T-").otherwise("  // repo-allow T-")
+    line = F.concat(mark, F.col("p_partkey").cast("string"), F.lit(" until:"), until, F.lit(" because it must  "))
+    return text.bypasses(a.table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.lit(1).alias("line_no"), line.alias("line")), "2024-01-01 00:00:00")
 
 
-@query(f"WITH {ALLOW} SELECT p_partkey AS file, 'T-' || p_partkey::VARCHAR AS ticket, until, 'because' AS reason, until IS NOT NULL AND until <> '2024-05-01' AS expired FROM al")
+@query(f"WITH {ALLOW} SELECT p_partkey AS file, 'T-' || p_partkey::VARCHAR AS ticket, until, 'because it must' AS reason, until NOT IN ('2024-05-01', '2024-01-01') AS expired FROM al")
 def bypass_expiry(spark, d):
     return _allow(spark, d).select("file", "ticket", "until", "reason", "expired")
 
 
-@query(f"WITH {ALLOW}, k AS (SELECT count(*) FILTER (until IS NOT NULL AND until <> '2024-05-01') AS e, count(*) FILTER (until IS NULL OR until = '2024-05-01') AS j FROM al) SELECT e AS expired, 0::BIGINT AS missing, j AS justified, round(1 - least(1, (4 * e + 0.25 * j) / 10000), 9)::DOUBLE AS score FROM k")
+@query(f"WITH {ALLOW}, k AS (SELECT count(*) FILTER (until NOT IN ('2024-05-01', '2024-01-01')) AS e, count(*) FILTER (until IN ('2024-05-01', '2024-01-01')) AS j FROM al) SELECT e AS expired, 0::BIGINT AS missing, j AS justified, round(1 - least(1, (4 * e + 0.25 * j) / 100000), 9)::DOUBLE AS score FROM k")
 def suppression_governance(spark, d):
-    return text.suppression_score(_allow(spark, d), 40_000)
+    return text.suppression_score(_allow(spark, d), 400_000)
 
 
 @query("SELECT p_brand AS package, sha256(trim(regexp_replace(p_name || '  ' || p_type, '\\s+', ' ', 'g'))) AS hash, count(*) AS n FROM part GROUP BY 1, 2")
@@ -408,36 +544,44 @@ def coverage_summary(spark, d):
     return summary(read_lcov(das.select(record.alias("value")))).select("file", F.col("lines.covered").alias("covered"), F.col("lines.total").alias("total"), F.round("lines.pct", 9).alias("pct"))
 
 
-def _kinds(spark, d):
-    """Line items as findings of the kinds of a signal: five kinds by supplier, boundary by flag."""
-    return a.table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("k"), (F.col("l_returnflag") == "R").alias("boundary")).agg(F.count("*").alias("n"))
-
-
-def _finding_sql(signal: str, size: float) -> str:
-    s = fnd.SIGNALS[signal]
-    kinds = [*list(s.weights)[:5], *["other-kind"] * 5][:5]
-    w = "[" + ", ".join(str(float(s.weights.get(k, 1.0))) for k in kinds) + "][k + 1]"
-    t = {"saturating": "1 / (1 + w / {a})", "share": "greatest(0, least(1, 1 - w / {z}))", "double-share": "1 - least(1, 2 * w / {z})", "capped": "1 - least({b}, w / {a})", "density": "1 / (1 + greatest(w / {z} / {a}, bw / {b}))", "capability": "1 / (1 + w) * (1 - {a} * ((n - wn) / {z}) / (1 + (n - wn) / {z}))", "unwrap": "1 - least({c}, {a} * {z} + {b} * w)", "zero-or-count": "CASE WHEN wn > 0 THEN 0 ELSE 1 - least(1, n / {a}) END"}[s.formula]
-    a_, b_, c_ = [*(float(x) for x in s.at), 1.0, 1.0, 1.0][:3]
-    f = t.format(a=a_, b=b_, c=c_, z=float(size))
-    return f"SELECT '{signal}' AS signal_id, n::BIGINT AS n, round(w, 6)::DOUBLE AS weighted, round({f}, 9)::DOUBLE AS score FROM (SELECT sum({w} * CASE WHEN b THEN {s.boundary} ELSE 1.0 END * n) AS w, coalesce(sum({w} * {s.boundary} * n) FILTER (b), 0) AS bw, sum(n) AS n, coalesce(sum(n) FILTER ({w} > 0), 0) AS wn FROM ks)"
-
-
+#: Kinds of each finding signal, dealt to line items by supplier; a kind without a weight of its own weighs 1.
+KINDS = ["log-only-handler eval parameter broad-throw missing", "function-constructor return catch-without-narrowing expired", "dynamic-import property opaque-promise-api justified", "shell-process type-alias promise-catch-collapse other", "raw-sql variable effect-unknown-exception other"]
 SIZES = {"density": 30_000.0, "capability": 200.0, "unwrap": 3.0}
-KS = "WITH ks AS (SELECT l_suppkey % 5 AS k, l_returnflag = 'R' AS b, count(*) / 400.0 AS n0, count(*) AS n FROM lineitem GROUP BY 1, 2) "
 
 
-@query(KS + " UNION ALL ".join(_finding_sql(s, SIZES.get(fnd.SIGNALS[s].formula, 200_000.0)) for s in fnd.SIGNALS))
-def finding_signals(spark, d):
-    from functools import reduce
-
-    facts = _kinds(spark, d)
-    out = []
+def _counts(spark, d):
+    """(signal_id, kind, boundary, n) and (signal_id, size): line items as findings, five kinds a signal by supplier, boundary by flag."""
+    items = a.table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5).cast("int").alias("k"), (F.col("l_returnflag") == "R").alias("boundary")).agg(F.count("*").alias("n"))
+    named = []
     for signal, s in fnd.SIGNALS.items():
-        kinds = [*list(s.weights)[:5], *["other-kind"] * 5][:5]
-        named = facts.select(F.element_at(F.array(*map(F.lit, kinds)), (F.col("k") + 1).cast("int")).alias("kind"), "boundary", "n")
-        out.append(fnd.score(named, signal, SIZES.get(s.formula, 200_000.0)))
-    return reduce(lambda x, y: x.unionByName(y), out)
+        for k, words in enumerate(KINDS):
+            named.append((signal, k, next((w for w in words.split() if w in s.weights), "other-kind")))
+    kinds = spark.createDataFrame(named, "signal_id string, k int, kind string")
+    sizes = spark.createDataFrame([(i, SIZES.get(s.formula, 200_000.0)) for i, s in fnd.SIGNALS.items()], "signal_id string, size double")
+    return items.join(F.broadcast(kinds), "k").select("signal_id", "kind", "boundary", "n"), sizes
+
+
+#: Each signal's formula, its constants, what a boundary counts, its size and the weights of the five kinds, written out.
+WEIGHED = """wt(signal_id, f, a1, a2, a3, bf, z, w) AS (VALUES
+('TS-CC-01', 'saturating', 5, 0, 0, 1, 200000, [0, 1, 1, 1, 1]), ('TS-CC-02', 'saturating', 5, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('TS-BP-01', 'saturating', 3, 0, 0, 1, 200000, [1, 1, 1, 1, 1]),
+('TS-LD-08', 'saturating', 10, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('TS-SEC-02', 'saturating', 5, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('TS-SEC-01', 'capability', 0.5, 0, 0, 1, 200, [1, 1, 0, 0, 0]),
+('TS-LD-07', 'density', 10, 48, 0, 2, 30000, [3, 3, 2.5, 2.5, 2]), ('TS-LD-09', 'density', 18, 36, 0, 2, 30000, [2.5, 3, 4, 3, 4]),
+('TS-SL-05', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('TS-SL-06', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('TS-AB-03', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]),
+('TS-AB-05', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('TS-LD-03', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('TS-LD-04', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]),
+('TS-AD-01', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('RS-AB-01', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('RS-AB-03', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]),
+('RS-AB-04', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('RS-LD-03', 'share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]),
+('RS-AD-02', 'double-share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('RS-LD-02', 'double-share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]), ('RS-LD-05', 'double-share', 0, 0, 0, 1, 200000, [1, 1, 1, 1, 1]),
+('RS-SL-04', 'capped', 25, 0.8, 0, 1, 200000, [1, 1, 1, 1, 1]), ('RS-RP-02', 'capped', 10000, 1, 0, 1, 200000, [1, 1, 1, 1, 1]), ('RS-SL-03', 'unwrap', 0.05, 0.001, 0.5, 1, 3, [1, 1, 1, 1, 1]),
+('RS-SL-02', 'zero-or-count', 25, 0, 0, 1, 200000, [1, 1, 0, 0, 0])),
+ks AS (SELECT l_suppkey % 5 AS k, l_returnflag = 'R' AS b, count(*) AS n FROM lineitem GROUP BY 1, 2),
+sw AS (SELECT signal_id, f, a1::DOUBLE AS a1, a2::DOUBLE AS a2, a3::DOUBLE AS a3, z::DOUBLE AS z, sum(w[k + 1]::DOUBLE * CASE WHEN b THEN bf ELSE 1 END * n)::DOUBLE AS x, coalesce(sum(w[k + 1]::DOUBLE * bf * n) FILTER (b), 0)::DOUBLE AS bw, sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (w[k + 1] > 0), 0)::DOUBLE AS wn FROM wt, ks GROUP BY ALL),
+fs AS (SELECT signal_id, n::BIGINT AS n, round(x, 6)::DOUBLE AS weighted, round(CASE f WHEN 'saturating' THEN 1 / (1 + x / a1) WHEN 'capability' THEN 1 / (1 + x) * (1 - a1 * ((n - wn) / z) / (1 + (n - wn) / z)) WHEN 'density' THEN 1 / (1 + greatest(x / z / a1, bw / a2)) WHEN 'share' THEN greatest(0, least(1, 1 - x / z))
+WHEN 'double-share' THEN 1 - least(1, 2 * x / z) WHEN 'capped' THEN 1 - least(a2, x / a1) WHEN 'unwrap' THEN 1 - least(a3, a1 * z + a2 * x) ELSE CASE WHEN wn > 0 THEN 0 ELSE 1 - least(1, n / a1) END END, 9)::DOUBLE AS score FROM sw)"""
+
+
+@query(f"WITH {WEIGHED} SELECT * FROM fs")
+def finding_signals(spark, d):
+    return fnd.score_all(*_counts(spark, d))
 
 
 FACTS = """f AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (p_size > 45)::DOUBLE AS a, count(*) FILTER (p_size > 48)::DOUBLE AS b, max(p_size)::DOUBLE AS m, count(DISTINCT p_brand)::DOUBLE AS g, count(*) FILTER (p_size < 1)::DOUBLE AS z FROM part)"""
@@ -471,9 +615,3 @@ def visibility_surface(spark, d):
 def rust_hotspots(spark, d):
     churn = a.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_orderkey").alias("churn"))
     return signals.rust_hotspot_score(a.table(spark, d, "part").join(churn, "p_partkey").select("churn", F.col("p_size").alias("complexity")), 28, 45)
-
-
-@query("WITH g AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END AS c, p_size / 50 AS d FROM part WHERE p_partkey % 50 = 0), b AS (SELECT * FROM g WHERE d > 0.75) SELECT round(greatest(0.25, 1 - (coalesce((max(d) FILTER (c = 'high') - 0.75) / 0.25, 0) * 0.25 + least(0.3, log2(count(*) FILTER (c = 'high') + 1) * 0.12) + coalesce((max(d) FILTER (c = 'medium') - 0.75) / 0.25, 0) * 0.04 + least(0.06, log2(0.5 * count(*) FILTER (c = 'medium') + 1) * 0.03))), 9)::DOUBLE AS score FROM b")
-def clone_divergence_score(spark, d):
-    p = a.table(spark, d, "part").where("p_partkey % 50 = 0")
-    return signals.divergence_score(p.select(F.when(F.col("p_size") % 2 == 0, "high").otherwise("medium").alias("confidence"), (F.col("p_size") / 50).alias("divergence")))

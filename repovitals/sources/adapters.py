@@ -19,9 +19,12 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("committed_at"), F.col("o_custkey").alias("author"))
 
 
-def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sha, committed_at, author, file, added): one row for each file of a commit."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("file")).agg(F.sum("l_quantity").alias("added"))
+def touches(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(sha, committed_at, author, file, added): one row for each file of a commit. only: (sha), few commits that line items are cut to before they are summed."""
+    items = table(spark, sf_dir, "lineitem")
+    if only is not None:
+        items = items.join(F.broadcast(only.select(F.col("sha").alias("l_orderkey"))), "l_orderkey", "left_semi")
+    lines = items.groupBy(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("file")).agg(F.sum("l_quantity").alias("added"))
     return lines.join(commits(spark, sf_dir), "sha").select("sha", "committed_at", "author", "file", "added")
 
 
@@ -47,9 +50,16 @@ def signal_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
-    """(src, dst, weight): transitions between users of consecutive events of a kind, seen `least` times."""
-    step = table(spark, sf_dir, "events").withColumn("dst", F.lead("user_id").over(W.partitionBy("event_type").orderBy("ts", "event_id")))
-    return step.where("dst IS NOT NULL AND dst <> user_id").groupBy(F.col("user_id").alias("src"), "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    """(src, dst, weight): transitions between users of consecutive events of a kind, seen `least` times.
+
+    Events are ordered within an hour; the last one of an hour meets the first of the kind's next hour, so a kind is many tasks."""
+    hourly = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id", F.date_trunc("hour", "ts").alias("hour"))
+    inside = W.partitionBy("event_type", "hour").orderBy("ts", "event_id")
+    step = hourly.withColumn("dst", F.lead("user_id").over(inside)).withColumn("last", F.lead("event_id").over(inside).isNull())
+    firsts = hourly.groupBy("event_type", "hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    after = firsts.withColumn("next", F.lead("first").over(W.partitionBy("event_type").orderBy("hour"))).select("event_type", "hour", "next")
+    met = step.join(after, ["event_type", "hour"]).withColumn("dst", F.when(F.col("last"), F.col("next")).otherwise(F.col("dst")))
+    return met.where("dst IS NOT NULL AND dst <> user_id").groupBy(F.col("user_id").alias("src"), "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,37 @@ def source(spark: SparkSession, path: str, schema: str = SCHEMA, files: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def once(rows: DataFrame, delay: str = "90 days") -> DataFrame:
-    """Observations of a (sha, category) the first time only; state older than the delay is dropped."""
-    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sha", "category"])
+def once(rows: DataFrame) -> DataFrame:
+    """Observations of a (sha, category) the first time only, however late: the keys stay in the state store."""
+    return rows.dropDuplicates(["sha", "category"])
+
+
+def append_once(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends each batch's observations that the store lacks: late ones too, which the next compaction merges into their week."""
+    from ..sources.readers import write_observations
+
+    return rows.writeStream.foreachBatch(lambda batch, _: write_observations(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drift(rows: DataFrame) -> DataFrame:
+    """(category, high, last, deficit) after each batch: the running maximum of a category's scores, its last score, and the sum of
+    shortfalls since the maximum was last reached. Rows of a batch count in order of time; state is one row a category."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        high, last, deficit = state.get if state.exists else (None, None, 0.0)
+        for x in pd.concat(list(batches)).sort_values(["ts", "sha"])["score"].tolist():
+            if high is None or x >= high:
+                high, deficit = x, 0.0
+            else:
+                deficit += high - x
+            last = x
+        state.update((high, last, deficit))
+        yield pd.DataFrame({"category": [key[0]], "high": [high], "last": [last], "deficit": [round(deficit, 9)]})
+
+    told = "category string, high double, last double, deficit double"
+    return rows.groupBy("category").applyInPandasWithState(step, told, "high double, last double, deficit double", "update", GroupStateTimeout.NoTimeout)
 
 
 def weekly(rows: DataFrame, delay: str = "90 days") -> DataFrame:

@@ -25,10 +25,22 @@ def test_cochange_of_three_commits(spark):
     assert history.cochange_pairs(t, widest=1).count() == 0
 
 
+def test_wide_commits_are_paired_in_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    t = [(f"c{c}", f"f{f:03}", dt.datetime(2024, 1, 1 + c)) for c in range(6) for f in r.sample(range(60), 3 if c < 3 else 40)]
+    frame = spark.createDataFrame(t, "sha string, file string, committed_at timestamp")
+    want = {tuple(x) for x in history.cochange_pairs(frame).collect()}
+    monkeypatch.setattr(history, "WIDE", 7)
+    assert {tuple(x) for x in history.cochange_pairs(frame).collect()} == want and len(want) > 100
+
+
 def test_renames_and_aliases(spark):
     names = spark.createDataFrame([("a",), ("x",), ("p",)], "file string")
     moves = spark.createDataFrame([("a", "b"), ("b", "c"), ("p", "q"), ("q", "p")], "old string, new string")
     assert {tuple(r) for r in history.follow_renames(names, moves).collect()} == {("a", "c"), ("x", "x"), ("p", "q")}
+    long = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(300)] + [("in", "r0"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0")], "old string, new string")
+    some = spark.createDataFrame([("f0",), ("f123",), ("in",), ("r1",), ("f300",)], "file string")
+    assert {tuple(r) for r in history.follow_renames(some, long).collect()} == {("f0", "f300"), ("f123", "f300"), ("in", "r2"), ("r1", "r0"), ("f300", "f300")}
     who = spark.createDataFrame([("Al <a@x>", "Al", "a@x"), ("B <b@x>", "B", "b@x")], "author string, name string, email string")
     alias = spark.createDataFrame([("a@x", "al"), ("Al", "albert")], "alias string, canonical string")
     assert {r["canonical"] for r in history.resolve_aliases(who, alias).collect()} == {"albert", "B <b@x>"}
@@ -52,13 +64,14 @@ def test_scalars(spark):
     got = one(df.select(scalars.iso_week_key("a").alias("a"), scalars.iso_week_key("b").alias("b"), scalars.week_end("a").alias("e"), scalars.soft_gate(F.lit(2.0), 2, 0.5).alias("g"), scalars.half_life(F.lit(14.0), F.lit(14)).alias("h"), scalars.glob_match(F.lit("src/a/b.ts"), ["src/**"]).alias("m"), scalars.glob_match(F.lit("src/a/b.ts"), ["src/*.ts"]).alias("n"), scalars.entropy(F.lit("aabb")).alias("t"), scalars.non_blank_lines(F.lit("a\n \nb")).alias("l")))
     assert got["a"] == got["b"] == "2024-W01" and got["e"] == dt.datetime(2024, 1, 7, 23, 59, 59, 999000)
     assert (got["g"], got["h"], got["m"], got["n"], got["t"], got["l"]) == (0.5, 0.5, True, False, 1.0, 2)
-    assert [r[0] for r in spark.createDataFrame([(x,) for x in ("fooBar", "FooBar", "foo_bar", "foo-bar", "FOO_BAR", "foo")], "n string").select(scalars.casing("n")).collect()] == ["camelCase", "PascalCase", "snake_case", "kebab-case", "SCREAMING_SNAKE", "lower"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in ("fooBar", "FooBar", "foo_bar", "foo-bar", "FOO_BAR", "foo")], "n string").select(scalars.casing("n")).collect()] == ["camelCase", "PascalCase", "snake_case", "kebab-case", "UPPER_SNAKE_CASE", "camelCase"]
 
 
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "src int, dst int")
     assert {tuple(r) for r in graph.cycles(edges).collect()} == {(1, 3, 1, 2), (5, 1, 5, 5)}
     assert {tuple(r) for r in graph.reach(edges).collect()} == {(1, 3, 2), (2, 3, 2), (3, 3, 2), (4, 0, 3), (5, 0, 0)}
+    assert {tuple(r) for r in graph.depths(edges).collect()} == {(1, 3, True), (2, 3, True), (3, 3, True), (4, 0, False), (5, 1, True)}
     starts = spark.createDataFrame([(1,)], "node int")
     assert {tuple(r) for r in graph.chains(starts, edges).collect()} == {(1, 3, 2, True), (1, 4, 3, False)}
     assert {r[0] for r in graph.spread(spark.createDataFrame([(4,)], "node int"), edges).collect()} == {1, 2, 3, 4}
@@ -139,8 +152,9 @@ def test_baseline_and_scope(spark):
 def test_text(spark):
     diff = spark.createDataFrame([("f", 1, "@@ -1 +2,3 @@ x"), ("f", 2, "+y")], "file string, line_no int, line string")
     assert tuple(text.hunks(diff).collect()[0]) == ("f", 1, 1, 2, 3)
-    lines = spark.createDataFrame([("f", 1, "// allow(T-1, until=2024-01-01: why)"), ("f", 2, "// allow(T-2)"), ("f", 3, "// allow(T-3, until=soon: x)")], "file string, line_no int, line string")
-    assert [(r["ticket"], r["expired"]) for r in text.bypasses(lines, "2024-01-01 12:00:00").sort("line_no").collect()] == [("T-1", False), ("T-2", False), ("T-3", True)]
+    lines = [("f", 1, "  // repo-allow T-1 until:2024-01-01 why not "), ("f", 2, "// repo-allow T-2"), ("f", 3, "// repo-allow T-3 until:soon x"), ("f", 4, "x() // repo-allow T-4 until:2030-01-01 y"), ("f", 5, "//repo-allow T-5 until:2024-01-01T11:00:00Z z")]
+    found = text.bypasses(spark.createDataFrame(lines, "file string, line_no int, line string"), "2024-01-01 23:59:59.500").sort("line_no").collect()
+    assert [(r["ticket"], r["reason"], r["expired"]) for r in found] == [("T-1", "why not", False), ("T-3", "x", True), ("T-5", "z", True)]
     names = spark.createDataFrame([("userId", ["user", "id"]), ("idUser", ["id", "user"]), ("usrId", ["usr", "id"]), ("other", ["other"])], "name string, tokens array<string>")
     known = spark.createDataFrame([(["user", "id"],)], "tokens array<string>")
     assert {r["name"]: r["class"] for r in text.term_classes(names, known).collect()} == {"userId": "match", "idUser": "duplicate", "usrId": "conflict", "other": "new"}
@@ -187,8 +201,13 @@ def test_readers(spark):
     assert {(r["name"], r["version"], r["direct"], tuple(r["chain"])) for r in npm.collect()} == {("x", "1.0", True, ("x",)), ("y", "2.0", False, ("x", "y"))}
     cargo = readers.cargo_lock(text_of('[[package]]\nname = "a"\nversion = "1"\ndependencies = [\n "b 2",\n "c",\n]\n\n[[package]]\nname = "b"\nversion = "2"\n'))
     assert {(r["name"], r["version"], tuple(r["dependencies"])) for r in cargo.collect()} == {("a", "1", ("b", "c")), ("b", "2", ())}
-    assert {tuple(r) for r in readers.bun_lock(text_of('{"packages": {"x": ["x@1.0.0", {}], "@s/y": ["@s/y@2.0.0", ""]}}')).collect()} == {("x", "1.0.0"), ("@s/y", "2.0.0")}
-    assert {tuple(r) for r in readers.pnpm_lock(text_of("packages:\n\n  /x@1.0.0:\n    a: b\n  '@s/y@2.0.0':\n    c: d\n")).collect()} == {("x", "1.0.0"), ("@s/y", "2.0.0")}
+    told = lambda df: {(r["name"], r["version"], r["direct"], tuple(r["chain"] or ())) for r in df.collect()}
+    bun = '{"workspaces": {"": {"dependencies": {"x": "1"}, "devDependencies": {"d": "1"},},}, "packages": {"x": ["x@1.0.0", "", {"dependencies": {"@s/y": "2", "z": "1"}}, "h"], "@s/y": ["@s/y@2.0.0", "", {}, "h"], "z": ["z@2.0.0", ""], "x/z": ["z@1.0.0", ""], "d": ["d@1.0.0", "", {"dependencies": {"z": "2"}}], "free": ["free@0.1.0", ""],}}'
+    assert told(readers.bun_lock(text_of(bun))) == {("x", "1.0.0", True, ("x",)), ("d", "1.0.0", True, ("d",)), ("@s/y", "2.0.0", False, ("x", "@s/y")), ("z", "1.0.0", False, ("x", "z")), ("z", "2.0.0", False, ("d", "z")), ("free", "0.1.0", False, ())}
+    pnpm = "lockfileVersion: '9.0'\n\nimporters:\n\n  .:\n    dependencies:\n      x:\n        specifier: ^1\n        version: 1.0.0\n    devDependencies:\n      '@s/y':\n        specifier: ^2\n        version: 2.0.0(x@1.0.0)\n\npackages:\n\n  x@1.0.0:\n    resolution: {integrity: a}\n  '@s/y@2.0.0':\n    resolution: {integrity: b}\n  z@3.1.0:\n    resolution: {integrity: c}\n\nsnapshots:\n\n  x@1.0.0:\n    dependencies:\n      z: 3.1.0\n  '@s/y@2.0.0(x@1.0.0)':\n    dependencies:\n      z: 3.1.0\n  z@3.1.0: {}\n"
+    assert told(readers.pnpm_lock(text_of(pnpm))) == {("x", "1.0.0", True, ("x",)), ("@s/y", "2.0.0", True, ("@s/y",)), ("z", "3.1.0", False, ("@s/y", "z"))}
+    found, edges = readers.cargo_metadata(text_of('{"packages": [{"id": "a 1", "name": "a", "version": "1"}, {"id": "b 2", "name": "b", "version": "2"}], "workspace_members": ["a 1"], "resolve": {"nodes": [{"id": "a 1", "dependencies": ["b 2"]}]}}'))
+    assert {(r["name"], r["member"]) for r in found.collect()} == {("a", True), ("b", False)} and [tuple(r) for r in edges.collect()] == [("a 1", "b 2")]
     log = readers.git_log(text_of("\x01s1\t2024-01-01T00:00:00Z\tAl\n\n3\t1\ta.ts\n-\t-\tb.png\n\x01s2\t2024-01-02T00:00:00Z\tBo\n\n1\t0\ta.ts\n"))
     assert {(r["sha"], r["author"], r["file"], r["added"]) for r in log.collect()} == {("s1", "Al", "a.ts", 3), ("s1", "Al", "b.png", None), ("s2", "Bo", "a.ts", 1)}
 
@@ -200,6 +219,9 @@ def test_registry(spark):
     assert r.order == ["A", "RS-C", "TS-B"] and r.ancestors("TS-B") == ["A", "TS-B"]
     out = registry.run(r, {}, registry.Vector(active={"RS-C": False}))
     assert list(out) == ["A", "TS-B"] and registry.results(r, out).count() == 2
+    bad = registry.Signal("BAD", "review-pain", 1.0, "legibility", lambda f, c, g: f["none"].select("x"))
+    told = registry.Registry([s("A"), bad, s("N", needs=("absent",))])
+    assert {(x["signal_id"], x["score"], x["applicability"]) for x in registry.results(told, registry.run(told, {})).collect()} == {("A", 0.5, "applicable"), ("BAD", 0.0, "failed")}
     for bad in ([s("A"), s("A")], [s("A", ["B"])], [s("A", ["B"]), s("B", ["A"])], [s("A"), s("B", ["A"]), s("C", ["B"]), s("D", ["C"])]):
         with pytest.raises(registry.RegistryError):
             registry.Registry(bad)
