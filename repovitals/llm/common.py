@@ -17,13 +17,19 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Local runs that set neither get one of their own; on a cluster that would be a folder of one machine, so it is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="repovitals-")
-    return _own_dirs[app]
+    context = spark.sparkContext
+    if (chosen := context._jsc.sc().getCheckpointDir()).isDefined():
+        return chosen.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="repovitals-")
+    return _own_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -53,6 +59,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(df: DataFrame, each: int) -> int:
+    """Tasks for work that grows with df: the shuffle partitions, and more where a task would get more than `each` input bytes.
+
+    By Spark's own estimate of the table's size, which the driver has without a job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(100_000, -(-size // each)) if size < 1 << 50 else 1)
+
+
 def fold(doc_id, modulus: int):
     """crc32(doc_id as text) mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
