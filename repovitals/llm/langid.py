@@ -5,8 +5,9 @@ that lie in it, each hashed to a row of an embedding table; a text is the mean
 of the rows of all its words' n-grams, and a linear layer with softmax tells
 languages apart. Embeddings and layer are trained by stochastic gradient
 descent in numpy on the driver, from the hashed counts of at most `sample`
-labelled texts (those whose keyed hash of doc_id is among the smallest, whole
-texts, with all that tie for the last place): the one bound here, documented because it limits only what a classifier is fitted on.
+different labelled texts (those whose keyed hashes of doc_id, and then of text
+and label, are the smallest; whole texts): the one bound here, documented
+because it limits only what a classifier is fitted on. Counts stay sparse.
 
 Calibration, on every fifth of those texts, which descent doesn't see: a
 temperature that minimises their log loss, and a rejection threshold, the
@@ -141,40 +142,78 @@ def bags(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, used binary, share binary")
 
 
+@dataclass
+class Bags:
+    """Sparse rows: text i has the n-grams used[start[i]:start[i + 1]] with these shares, which are never none."""
+
+    start: np.ndarray
+    used: np.ndarray
+    share: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(used, share, first entry of each) of some rows, one after the other."""
+        size = self.start[rows + 1] - self.start[rows]
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) + np.repeat(self.start[rows] - first, size)
+        return self.used[place].astype(np.int64), self.share[place], first
+
+    def times(self, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The rows as a matrix times a table with a row for each n-gram."""
+        out = np.zeros((len(rows), table.shape[1]), table.dtype)
+        for lo in range(0, len(rows), 64):
+            used, share, first = self.at(rows[lo : lo + 64])
+            out[lo : lo + 64] = np.add.reduceat(table[used] * share[:, None], first, 0)
+        return out
+
+
+def sampled(labelled: DataFrame, sample: int, seed: int) -> DataFrame:
+    """At most `sample` different (doc_id, text, lang) with a text and a label, chosen by their hashes alone."""
+    plain = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    by_id = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit("")))
+    hashed = plain.withColumn("h", by_id).withColumn("t", F.xxhash64(F.lit(seed), "text", "lang"))
+    last = hashed.select("h", "t").distinct().orderBy("h", "t").limit(sample).orderBy(F.desc("h"), F.desc("t")).first()  # no text goes to one task
+    if last is None:
+        return plain.limit(0).select("text", "lang")
+    some = hashed.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("t") <= last["t"]))
+    return some.groupBy("h", "t").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.text", "row.lang")
+
+
 def train(labelled: DataFrame, sample: int = 3000, epochs: int = 12, batch: int = 32, rate: float = 0.5, seed: int = 0) -> Model:
     """Fits a model to labelled (doc_id, text, lang), from at most `sample` of its texts."""
-    plain = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    first = plain.select(order.alias("h")).orderBy("h").limit(sample)  # hashes alone: no text goes to one task
-    most = first.agg(F.max("h")).first()[0]
-    rows = bags(plain.where(order <= most)).collect() if most is not None else []
-    rows = sorted((r["lang"], bytes(r["used"]), bytes(r["share"])) for r in rows)
+    rows = sorted((r["lang"], bytes(r["used"]), bytes(r["share"])) for r in bags(sampled(labelled, sample, seed)).collect())
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     chance = np.random.default_rng(seed)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (_, used, share) in enumerate(rows):
-        x[i, np.frombuffer(used, "<u2")] = np.frombuffer(share, "<f4")
+    x = Bags(np.cumsum([0, *(len(r[1]) // 2 for r in rows)]), np.frombuffer(b"".join(r[1] for r in rows), "<u2"), np.frombuffer(b"".join(r[2] for r in rows), "<f4"))
     y = np.array([langs.index(r[0]) for r in rows])
-    order = chance.permutation(len(rows))
-    held, fit = (order[::5], np.setdiff1d(order, order[::5])) if len(rows) >= 50 else (order, order)
+    del rows
+    order = chance.permutation(len(x))
+    held, fit = (order[::5], np.setdiff1d(order, order[::5])) if len(x) >= 50 else (order, order)
     emb = (chance.normal(0, 1 / DIM, (BUCKETS, DIM))).astype(np.float32)
     layer, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     seen = [np.full_like(a, 1e-8) for a in (emb, layer, bias)]  # squared gradients, for steps by coordinate
     for _ in range(epochs):
         for at in np.array_split(chance.permutation(fit), max(1, len(fit) // batch)):
-            part = x[at]
-            h = part @ emb
+            used, share, first = x.at(at)
+            h = np.add.reduceat(emb[used] * share[:, None], first, 0)
             d = softmax(h @ layer + bias)
             d[np.arange(len(at)), y[at]] -= 1
             d = (d / len(at)).astype(np.float32)
-            grads = (part.T @ (d @ layer.T), h.T @ d, d.sum(0))
-            for value, grad, sq, step in zip((emb, layer, bias), grads, seen, (rate, rate / 5, rate / 50), strict=True):
+            each, index = np.unique(used, return_inverse=True)
+            pull = np.zeros((len(each), len(at)), np.float32)
+            pull[index, np.repeat(np.arange(len(at)), np.diff(np.append(first, len(used))))] = share
+            grad = pull @ (d @ layer.T)  # of the batch's own n-grams: all others' are 0
+            seen[0][each] += grad * grad
+            emb[each] -= rate * grad / np.sqrt(seen[0][each])
+            for value, grad, sq, step in ((layer, h.T @ d, seen[1], rate / 5), (bias, d.sum(0), seen[2], rate / 50)):
                 sq += grad * grad
                 value -= step * grad / np.sqrt(sq)
     model = Model(langs, (emb @ layer).astype(np.float64), bias.astype(np.float64))
-    z = x[held].astype(np.float64) @ model.logits + model.bias
+    z = x.times(held, model.logits) + model.bias
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
