@@ -6,13 +6,16 @@ vector is indexed. The number of probes is the smallest whose recall, by brute
 force within that sample, reaches `recall`, and each query probes on until its
 lists hold enough candidates.
 
-A list is dealt out in chunks of at most CHUNK vectors and its queries in chunks
-of at most QUERIES, and each pair of chunks is scanned by one call, so that a
-hot list is many tasks. A scan holds rotated vectors in blocks of columns. After
-each block it abandons the candidates whose partial distance would, by a test
-on random projections, be too small with a chance of about exp(-EPSILON^2 / 2)
-if they belonged to the nearest found so far. Those that last through all
-blocks are measured on the original vectors in double precision.
+Lists are packed into chunks of about CHUNK vectors; a longer list is dealt over
+several, so that a hot list is many tasks. Each vector goes to one chunk, once. A
+query goes once to each chunk that holds a part of its lists, with their numbers,
+and a chunk's queries stream past its vectors, so that a task holds no more than a
+chunk. A query scans the chunk's lists from the nearest on and carries its limit,
+the k-th best distance so far, from list to list. A scan holds rotated vectors in
+blocks of columns. After each block it abandons the candidates whose partial
+distance would, by a test on random projections, be too small with a chance of
+about exp(-EPSILON^2 / 2) if they belonged to the nearest found so far. Those that
+last through all blocks are measured on the original vectors in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do those of another length than most have; nor rows without vec_id. A
@@ -21,6 +24,8 @@ Ties go to the smaller vec_id. An empty table gives no rows."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 
-CHUNK, QUERIES, EPSILON, BLOCK = 4096, 256, 2.1, 16
+CHUNK, EPSILON, BLOCK = 8192, 2.1, 16
 SAMPLE_VALUES = 1 << 24
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v): rows that take part, and their dimension."""
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
+    """(vec_id, v): rows that take part, and their dimension. v stays in single precision where it came so."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     good = plain.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     most = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = most["d"] if most else 0
@@ -46,7 +53,7 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
 def _stack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten()).reshape(-1, dim)
+    return np.asarray(column.flatten()).reshape(-1, dim).astype(np.float64)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,37 +85,60 @@ def fit(good: DataFrame, dim: int, count: int, k: int, recall: float, sample: in
     return centroids, rotation, min(lists, probes + lists // 20)
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of queries, vec_id, distance) of at most k nearest of base to each query."""
-    dim = base.shape[1]
-    edges = list(range(0, dim, BLOCK)) + [dim]
-    turned = base @ rotation
-    blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    asked = queries @ rotation
-    rows, found, scores = [], [], []
-    for i, q in enumerate(asked):
-        alive = np.flatnonzero(ids != query_ids[i])
-        if not len(alive):
-            continue
-        part = ((blocks[0][alive] - q[: edges[1]]) ** 2).sum(1)
-        first = alive[np.argpartition(part, k - 1)[:k]] if len(alive) > k else alive
-        limit = ((turned[first] - q) ** 2).sum(1).max() if len(alive) > k else np.inf
-        for j in range(1, len(blocks)):
-            seen = edges[j]
-            keep = part <= limit * (seen / dim) * (1 + EPSILON / np.sqrt(seen)) ** 2
-            alive, part = alive[keep], part[keep]
-            part = part + ((blocks[j][alive] - q[seen : edges[j + 1]]) ** 2).sum(1)
-        if len(alive) > k:
-            nearest = np.partition(part, k - 1)[k - 1]
-            alive = alive[part <= nearest + 1e-9 * (1 + nearest)]
-        exact = np.sqrt(((base[alive] - queries[i]) ** 2).sum(1))
-        order = np.lexsort((ids[alive], exact))[:k]
-        rows.append(np.full(len(order), i))
-        found.append(ids[alive[order]])
-        scores.append(exact[order])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
+class Chunk:
+    """Vectors of some lists, laid out for scanning."""
+
+    def __init__(self, lists: np.ndarray, ids: np.ndarray, base: np.ndarray, rotation: np.ndarray):
+        order = np.argsort(lists, kind="stable")
+        self.ids, self.base, self.rotation, self.dim = ids[order], base[order], rotation, base.shape[1]
+        self.edges = [*range(0, self.dim, BLOCK), self.dim]
+        turned = self.base @ rotation
+        self.blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
+        each, first = np.unique(lists[order], return_index=True)
+        self.rows = dict(zip(each.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True), strict=True))
+
+    def nearest(self, query_id: int, query: np.ndarray, lists: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vec_id, distance) of at most k nearest in the lists, from the first on; the limit goes from list to list."""
+        q, limit = query @ self.rotation, np.inf
+        ids, found = np.zeros(0, np.int64), np.zeros(0)
+        for n in lists:
+            lo, hi = self.rows.get(n, (0, 0))
+            alive = lo + np.flatnonzero(self.ids[lo:hi] != query_id)
+            if not len(alive):
+                continue
+            part = np.zeros(len(alive))
+            for j, block in enumerate(self.blocks):
+                a, b = self.edges[j], self.edges[j + 1]
+                if a and np.isfinite(limit):
+                    keep = part <= limit * (a / self.dim) * (1 + EPSILON / np.sqrt(a)) ** 2
+                    alive, part = alive[keep], part[keep]
+                part = part + ((block[alive] - q[a:b]) ** 2).sum(1)
+            alive = alive[part <= limit * (1 + 1e-9) + 1e-9]
+            if len(alive) > k:
+                part = ((self.base[alive] - query) ** 2).sum(1)
+                alive = alive[part <= np.partition(part, k - 1)[k - 1]]
+            ids = np.concatenate([ids, self.ids[alive]])
+            found = np.concatenate([found, np.sqrt(((self.base[alive] - query) ** 2).sum(1))])
+            if len(ids) >= k:
+                order = np.lexsort((ids, found))[:k]
+                ids, found = ids[order], found[order]
+                limit = found[-1] ** 2
+        order = np.lexsort((ids, found))[:k]
+        return ids[order], found[order]
+
+
+def packed_lists(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunk, chunks) of each list: short lists side by side in one chunk, longer ones dealt over several."""
+    first, many = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // CHUNK))
+    at, held = 0, 0
+    for n, size in enumerate(sizes.tolist()):
+        if held and held + size > CHUNK:
+            at, held = at + 1, 0
+        first[n] = at
+        held += size
+        if many[n] > 1:
+            at, held = at + int(many[n]), 0
+    return first, many
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.96, sample: int = 50_000) -> DataFrame:
@@ -128,41 +158,81 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0
                 own = _squares(_stack(batch.column("v"), dim), kept.value[0]).argmin(1)
                 yield pa.record_batch([pa.array(own.astype(np.int32)), batch.column("vec_id"), batch.column("v")], ["list", "vec_id", "v"])
 
-    index = written(good.select("vec_id", "v").mapInArrow(assign, "list int, vec_id long, v array<double>"), "lists")
+    index = written(good.select("vec_id", "v").mapInArrow(assign, f"list int, vec_id long, v {good.schema['v'].dataType.simpleString()}"), "lists")
     sizes = np.zeros(len(centroids), np.int64)
     for n, size in index.groupBy("list").count().collect():
         sizes[n] = size
 
-    def probe(batches):
+    first, many = packed_lists(sizes)
+    kind = good.schema["v"].dataType.simpleString()
+
+    def place(batches):
+        """A vector's chunk: its list's, or one of them by its id."""
+        for batch in batches:
+            lists = np.asarray(batch.column("list"))
+            spread = np.fromiter((zlib.crc32(str(i).encode()) for i in batch.column("vec_id").to_pylist()), np.int64, len(lists))
+            yield pa.record_batch([pa.array((first[lists] + spread % many[lists]).astype(np.int32)), *batch.columns, pa.nulls(len(lists), pa.list_(pa.int32()))], _PLACED)
+
+    def ask(batches):
+        """A query's row for each chunk with a part of the lists it probes, nearest first."""
         for batch in batches:
             if batch.num_rows:
                 order = _squares(_stack(batch.column("v"), dim), kept.value[0]).argsort(1, kind="stable")
                 held = np.cumsum(sizes[order], 1)
                 need = np.maximum(probes, (held < 4 * k + 1).sum(1) + 1)
-                chosen = [o[:n][sizes[o[:n]] > 0] for o, n in zip(order, need, strict=True)]
-                at = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
-                yield pa.record_batch([pa.array(np.concatenate(chosen).astype(np.int32)), batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at))], ["list", "query_id", "q"])
-
-    one = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = written(one.mapInArrow(probe, "list int, query_id long, q array<double>"), "probes")
-    shape = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).join(index.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "list")
-    dealt = lambda seed, column, n: F.pmod(F.xxhash64(F.lit(seed), column), F.col(n)).cast("int")
-    left = index.join(F.broadcast(shape), "list").withColumn("chunk", dealt(1, "vec_id", "chunks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "chunk", "part", "vec_id", "v")
-    right = asked.join(F.broadcast(shape), "list").withColumn("part", dealt(2, "query_id", "parts")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("list", "chunk", "part", "query_id", "q")
-
-    def both(base: pa.Table, queries: pa.Table) -> pa.Table:
-        if not base.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = np.asarray(queries.column("query_id"))
-        row, found, score = scan(_stack(queries.column("q"), dim), ids, _stack(base.column("v"), dim), np.asarray(base.column("vec_id")), kept.value[1], k)
-        return pa.table({"query_id": ids[row], "vec_id": found, "score": score})
-
-    keys = ("list", "chunk", "part")
-    some = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(both, "query_id long, vec_id long, score double")
+                at, chunks, lists = [], [], []
+                for i, (o, n) in enumerate(zip(order, need, strict=True)):
+                    chosen = o[:n][sizes[o[:n]] > 0]
+                    wanted = np.repeat(chosen, many[chosen])
+                    where = first[wanted] + np.arange(len(wanted)) - np.repeat(np.cumsum(many[chosen]) - many[chosen], many[chosen])
+                    by = np.argsort(where, kind="stable")
+                    each, start = np.unique(where[by], return_index=True)
+                    at += [i] * len(each)
+                    chunks += each.tolist()
+                    lists += [x.tolist() for x in np.split(wanted[by], start[1:])]
+                rows = pa.array(at, pa.int64())
+                columns = [pa.array(chunks, pa.int32()), pa.nulls(len(at), pa.int32()), batch.column("vec_id").take(rows), batch.column("v").take(rows), pa.array(lists, pa.list_(pa.int32()))]
+                yield pa.record_batch(columns, _PLACED)
+
+    columns_of = f"chunk int, list int, vec_id long, v {kind}, lists array<int>"
+    base = index.mapInArrow(place, columns_of)
+    asked = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(ask, columns_of)
+    chunks = int(max(f + m for f, m in zip(first.tolist(), many.tolist(), strict=True)))
+    tasks = min(chunks, max(partitions(spark), 1))
+    met = base.unionByName(asked).repartitionById(tasks, F.pmod("chunk", F.lit(tasks))).sortWithinPartitions("chunk", F.col("lists").isNotNull())
+
+    def search(batches):
+        now, held, chunk = None, [], None
+        for batch in batches:
+            numbers = np.asarray(batch.column("chunk"))
+            queries = np.asarray(batch.column("lists").is_valid())
+            cuts = np.flatnonzero((numbers[1:] != numbers[:-1]) | (queries[1:] != queries[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not part.num_rows:
+                    continue
+                if numbers[lo] != now:
+                    now, held, chunk = numbers[lo], [], None
+                if not queries[lo]:
+                    held.append((np.asarray(part.column("list")), np.asarray(part.column("vec_id")), _stack(part.column("v"), dim)))
+                    continue
+                if chunk is None and held:
+                    chunk, held = Chunk(*(np.concatenate(x) for x in zip(*held, strict=True)), kept.value[1]), []
+                if chunk is None:
+                    continue
+                ids = part.column("vec_id").to_pylist()
+                got = [chunk.nearest(i, q, lists, k) for i, q, lists in zip(ids, _stack(part.column("v"), dim), part.column("lists").to_pylist(), strict=True)]
+                found = [pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x, _ in got]))]
+                yield pa.record_batch([*found, pa.array(np.concatenate([x for x, _ in got])), pa.array(np.concatenate([d for _, d in got]))], ["query_id", "vec_id", "score"])
+
+    some = met.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return some.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+_PLACED = ["chunk", "list", "vec_id", "v", "lists"]
+
+
 def exact(vectors: pd.DataFrame, every: int = 100, k: int = 10) -> pd.DataFrame:
     """Brute force over a small table in memory, to measure recall against."""
     ids, base = vectors["vec_id"].to_numpy(), np.stack(vectors["embedding"]).astype(np.float64)

@@ -25,7 +25,6 @@ def test_recall_on_the_embeddings(spark):
 
 def test_hot_list_ties_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 64)
-    monkeypatch.setattr(ann, "QUERIES", 2)
     r = np.random.default_rng(3)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(700)] + [(1000 + i, r.normal(size=4).tolist()) for i in range(300)]
     bad = [(5000, None), (5100, [0.0] * 4), (5200, [1.0, None, 1.0, 1.0]), (5300, [math.nan, 1.0, 1.0, 1.0]), (5400, [math.inf, 1.0, 1.0, 1.0]), (5500, [1.0]), (None, [1.0, 1.0, 1.0, 1.0]), (5600, [])]
