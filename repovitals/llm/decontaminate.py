@@ -3,14 +3,18 @@
 Items and texts are words in lower case with ASCII punctuation as white space.
 A window of an item's length is compared with items of that length: a 64-bit
 SimHash over its weighted five-word shingles, found within RADIUS bits through
-RADIUS + 1 index blocks (two fingerprints that differ in RADIUS bits agree in a
-block), then the exact weighted Jaccard similarity of the shingle multisets.
+BLOCKS index blocks of 10 or 11 bits, then the exact weighted Jaccard similarity of
+the shingle multisets. Of the blocks of two fingerprints that differ in at most
+RADIUS bits, one differs in at most RADIUS / BLOCKS = 2; the index lists each
+fingerprint under all keys so near to its own, so a query looks at one list a
+block, about a quarter of the fingerprints in all, and finds every one in reach.
 A shingle weighs ln(1 + items / items that hold it), so shared boilerplate of
 the benchmark counts for less. Windows start at every word where they overlap
 at least one shingle of an item of their length: no other window can reach a
-similarity above zero, so none is lost.
+similarity above zero, so none is lost. An item's best window is the most similar
+one, of equals the first. Long texts are hashed RUN windows at a time.
 
-Items are held in memory in chunks of at most CHUNK_WORDS words; a larger
+Items are held in memory in chunks of at most CHUNK_WORDS words or CHUNK_ITEMS items; a larger
 benchmark takes one pass over the documents for each chunk. Weights are those of
 the whole benchmark in every chunk: the shingles that two and more items hold
 are counted first, and all others weigh as if one item held them.
@@ -22,6 +26,7 @@ tables give no rows; other columns are dropped by matches(), kept by clean()."""
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, shingles, written
 
-RADIUS = 16
-CHUNK_WORDS = 2_000_000
+RADIUS, BLOCKS = 16, 6
+CHUNK_WORDS, CHUNK_ITEMS = 2_000_000, 20_000
+RUN = 8192
 _SPACED = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or b < 32 else b for b in range(256))
 _TABLE_BITS = 20
 
@@ -50,33 +56,70 @@ def simhashes(features: np.ndarray, weights: np.ndarray, starts: np.ndarray, wid
     return (on.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
+def runs(starts: np.ndarray, width: int, most: int = RUN) -> list[np.ndarray]:
+    """Sorted starts cut where the next window doesn't overlap, and after `most` words."""
+    out, lo = [], 0
+    gaps = np.flatnonzero(np.diff(starts) > width) + 1
+    for hi in [*gaps.tolist(), len(starts)]:
+        while lo < hi:
+            end = min(hi, int(np.searchsorted(starts, starts[lo] + most)))
+            out.append(starts[lo:end])
+            lo = end
+    return out
+
+
+def _near_masks(bits: int, most: int) -> np.ndarray:
+    """All patterns of at most `most` of `bits` bits."""
+    return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in itertools.combinations(range(bits), k)], np.int64)
+
+
 class HammingIndex:
-    """All of a set of fingerprints within RADIUS bits of a query: exact, by RADIUS + 1 blocks."""
+    """All of a set of fingerprints within RADIUS bits of a query: exact, by blocks and the keys near to a fingerprint's own.
+
+    Lists are made when they are first asked for, so that what is broadcast are the fingerprints."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints = prints
-        cuts = np.linspace(0, 64, RADIUS + 2).astype(int)
-        self.blocks = []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            key = (prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-            order = np.argsort(key, kind="stable")
-            self.blocks.append((lo, hi, key[order], order))
+        self.prints, self.lists = prints, None
+        cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
+        self.blocks = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def __getstate__(self):
+        return {"prints": self.prints, "lists": None, "blocks": self.blocks}
+
+    def _keys(self, prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+
+    def _listed(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(starts, prints) of each block: under key k stand prints[starts[k] : starts[k + 1]]."""
+        out = []
+        for lo, hi in self.blocks:
+            near = self._keys(self.prints, lo, hi)[:, None] ^ _near_masks(hi - lo, RADIUS // BLOCKS)[None]
+            order = np.argsort(near.ravel(), kind="stable")
+            out.append((np.searchsorted(near.ravel()[order], np.arange((1 << (hi - lo)) + 1)), (order // near.shape[1]).astype(np.int32)))
+        return out
 
     def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, print, distance) triples."""
+        self.lists = self.lists or self._listed()
         pairs = []
-        for lo, hi, keys, order in self.blocks:
-            key = (queries >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-            first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = last - first
+        for (lo, hi), (starts, listed) in zip(self.blocks, self.lists, strict=True):
+            key = self._keys(queries, lo, hi)
+            first, n = starts[key], starts[key + 1] - starts[key]
             rows = np.repeat(np.arange(len(queries)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            pairs.append(rows * len(self.prints) + order[at])
+            p = listed[at]
+            pairs.append((rows * len(self.prints) + p)[np.bitwise_count(queries[rows] ^ self.prints[p]) <= RADIUS])
         found = np.unique(np.concatenate(pairs))
         q, p = found // len(self.prints), found % len(self.prints)
-        distance = np.bitwise_count(queries[q] ^ self.prints[p])
-        near = distance <= RADIUS
-        return q[near], p[near], distance[near]
+        return q, p, np.bitwise_count(queries[q] ^ self.prints[p])
+
+
+def _window_starts(places: np.ndarray, count: int, n: int) -> np.ndarray:
+    """Starts of the windows of `count` shingles that hold one of the sorted places, in a text of n shingles."""
+    change = np.zeros(n + 2, np.int32)
+    np.add.at(change, np.maximum(0, places - count + 1), 1)
+    np.add.at(change, np.minimum(places, n - count) + 1, -1)
+    return np.flatnonzero(np.cumsum(change)[: n - count + 1] > 0)
 
 
 class Items:
@@ -133,15 +176,15 @@ class Items:
                     near[size].append(at)
             for size, places in near.items():
                 count = min(size - grams + 1, len(features))  # shingles of a window
-                starts = np.unique(np.concatenate([np.arange(max(0, p - count + 1), min(p, len(features) - count) + 1) for p in places]))
-                low = int(starts[0])
-                held = features[low : int(starts[-1]) + count]
-                prints = simhashes(held, self._weights(held), starts - low, count)
-                for q, p, distance in zip(*(x.tolist() for x in self.index[size].near(prints)), strict=True):
-                    i, s = self.members[size][p], int(starts[q])
-                    similar = self.similarity(i, features[s : s + count])
-                    if similar >= threshold and (i not in best or similar > best[i][4]):
-                        best[i] = (self.ids[i], s, min(size, len(hashes)), distance, similar)
+                for starts in runs(_window_starts(np.array(places), count, len(features)), count):
+                    low = int(starts[0])
+                    held = features[low : int(starts[-1]) + count]
+                    prints = simhashes(held, self._weights(held), starts - low, count)
+                    for q, p, distance in zip(*(x.tolist() for x in self.index[size].near(prints)), strict=True):
+                        i, s = self.members[size][p], int(starts[q])
+                        similar = self.similarity(i, features[s : s + count])
+                        if similar >= threshold and (i not in best or similar > best[i][4]):
+                            best[i] = (self.ids[i], s, min(size, len(hashes)), distance, similar)
         return list(best.values())
 
     def similarity(self, i: int, features: np.ndarray) -> float:
@@ -174,7 +217,7 @@ def chunks(benchmark: DataFrame, width: int) -> Iterator[Items]:
     for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
         rows.append((item, text))
         held += len(plain_words(text))
-        if held >= CHUNK_WORDS:
+        if held >= CHUNK_WORDS or len(rows) >= CHUNK_ITEMS:
             whole = whole or shared_shingles(benchmark, width)
             yield Items(rows, width, whole)
             rows, held = [], 0

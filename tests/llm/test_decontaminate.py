@@ -1,8 +1,11 @@
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 
 from repovitals.llm import decontaminate as de
+from repovitals.llm.common import WordHashes
 
 
 def test_hamming_index_finds_all_within_radius():
@@ -60,3 +63,59 @@ def test_weights_are_those_of_the_whole_benchmark(spark, monkeypatch):
     one = run()
     monkeypatch.setattr(de, "CHUNK_WORDS", 100)
     assert len(one) >= 12 and run() == one
+
+
+def weighted_similarity(a, b, weight):
+    both = sum(weight[s] * min(a[s], b[s]) for s in a if s in b)
+    return both / (sum(weight[s] * k for s, k in a.items()) + sum(weight[s] * k for s, k in b.items()) - both)
+
+
+def test_windows_against_brute_force():
+    """Of all windows of an item's size at 0.8 and more, fingerprints within the radius find nearly all, and nothing else comes out."""
+    r = random.Random(11)
+    vocab = [f"v{i}" for i in range(900)]
+    make = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [make(r.choice([12, 25, 40, 60])) for _ in range(150)]
+    shingled = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    sets = [shingled(w) for w in items]
+    holders = Counter(s for x in sets for s in x)
+    weight = defaultdict(lambda: math.log(1 + len(items)), {s: math.log(1 + len(items) / k) for s, k in holders.items()})
+    known = de.Items([(i, " ".join(w)) for i, w in enumerate(items)], 5)
+    wanted = found = 0
+    for i, item in enumerate(items):
+        w = list(item)
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            w[r.choice([0, 1, len(w) - 1, r.randrange(len(w))])] = r.choice(vocab)
+        text = make(30) + w + make(30)
+        got = {m[0]: m for m in known.match(WordHashes().of([x.encode() for x in text]), 0.8)}
+        best = {}
+        for j, x in enumerate(sets):
+            n = len(items[j])
+            for s in range(len(text) - n + 1):
+                if not x.keys().isdisjoint(here := shingled(text[s : s + n])) and (like := weighted_similarity(x, here, weight)) >= 0.8:
+                    best[j] = max(best.get(j, (0, 0)), (like, -s))
+        wanted += len(best)
+        found += len(best.keys() & got.keys())
+        for j, m in got.items():
+            assert j in best and m[4] <= best[j][0] + 1e-9
+            if not m[3]:
+                assert abs(m[4] - best[j][0]) < 1e-9
+    assert wanted > 80 and found >= 0.97 * wanted
+
+
+def test_long_texts_are_hashed_in_runs(monkeypatch):
+    r = random.Random(5)
+    item = [b"w%d" % r.randrange(9) for _ in range(40)]
+    known = de.Items([(0, b" ".join(item).decode())], 5)
+    text = WordHashes().of([b"w%d" % r.randrange(9) for _ in range(3000)] + item + [b"w%d" % r.randrange(9) for _ in range(500)])
+    whole = known.match(text, 0.8)
+    monkeypatch.setattr(de.runs, "__defaults__", (37,))
+    assert whole == known.match(text, 0.8) and whole[0][1] == 3000
+    starts = np.array([3, 4, 5, 90, 91, 400])
+    assert [x.tolist() for x in de.runs(starts, 10, 2)] == [[3, 4], [5], [90, 91], [400]]
+
+
+def test_ties_go_to_the_first_window():
+    known = de.Items([(0, "a b c d e f")], 5)
+    text = WordHashes().of(b"a b c d e f x a b c d e f".split())
+    assert known.match(text, 0.8)[0][1] == 0
