@@ -1,10 +1,12 @@
 """Personal data replaced by keyed surrogates of the same kind, gender, script and format.
 
-One pattern finds e-mail and IP addresses, phone, card and social security
-numbers, long hexadecimal tokens and names after a title. What stands for an
-entity is decided once for the whole corpus, on its normal form: digits for
-numbers, lower case for addresses and tokens, and single words for names, so
-"Mrs. Ana Ruiz" and "Frau Ruiz" keep pointing at one person. A surrogate comes
+One pattern finds e-mail and IP addresses (of both versions), bank accounts, phone,
+card and social security numbers, long hexadecimal tokens and names after a title.
+What stands for an entity is decided once for the whole corpus, on its normal form:
+digits for numbers, lower case for addresses and tokens, and single words for names,
+so "Mrs. Ana Ruiz" and "Frau Ruiz" keep pointing at one person. A name that a title
+tells once in a text is also replaced where its words stand bare in that text, as
+written or in capitals. A surrogate comes
 from sha2(key, kind, entity, attempt). Surrogates that two entities would share,
 or that are entities of the corpus themselves, are drawn again for all but the
 first, until all are distinct. Later draws widen what can grow: host labels of
@@ -12,8 +14,10 @@ addresses, syllables of names. What short numbers are left after ATTEMPTS draws
 is numbered through the free values of their length. Each spelling is then written in its own format:
 digits go into the places of digits, upper case stays upper case.
 
-Formats kept: the local part's classes of characters and the number of labels
-of an address (hosts become reserved example names), four octets, the first
+Formats kept: the local part's classes of characters and its case, and the number of
+labels of an address (hosts become reserved example names), four octets or eight
+groups in the prefix reserved for documentation, the country, grouping and check
+digits of an account, the first
 digit and the check digit of cards that pass the Luhn test, the first digit of
 numbers after "+", lengths everywhere. Given names keep the gender their title
 tells and their script, Latin or Cyrillic.
@@ -37,7 +41,9 @@ OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
 KINDS = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
     "ip": f"(?<![\\w.]){OCTET}(?:\\.{OCTET}){{3}}(?![\\w]|\\.\\d)",
+    "ip6": "(?<![\\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\\w:])",
     "token": "(?<!\\w)(?=[0-9a-fA-F]*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\\w)",
+    "iban": "(?<!\\w)[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\\w)",
     "card": "(?<!\\w)(?:\\d{13,19}|\\d{4}(?:[ -]\\d{4}){3})(?!\\w)",
     "ssn": "(?<![\\w-])\\d{3}-\\d{2}-\\d{4}(?![\\w-])",
     "phone": "\\+\\d{1,3}[ .-]?\\(?\\d{2,4}\\)?(?:[ .-]?\\d{2,4}){1,4}(?!\\w)|(?<![\\w(])\\(\\d{3}\\) ?\\d{3}[ -]\\d{4}(?!\\w)|(?<![\\w-])\\d{3}-\\d{3}-\\d{4}(?![\\w-])",
@@ -45,7 +51,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every entity holds one of these: texts that don't are passed on without trying the pattern.
-QUICK = "[@0-9]|(?:Mr|Ms|Miss|Herr|Frau|Señor|Sr|Monsieur|Madame|Mme|[Гг]оспо)"
+QUICK = "[@0-9]|::|(?:Mr|Ms|Miss|Herr|Frau|Señor|Sr|Monsieur|Madame|Mme|[Гг]оспо)"
 FEMALE, MALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "госпожа"], ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "господин"]
 #: Syllables of made-up names.
 LATIN = [a + b for a in ("b", "d", "f", "k", "l", "m", "n", "r", "s", "t", "v", "z") for b in ("a", "e", "i", "o")]
@@ -59,7 +65,7 @@ SHORT = 9
 
 
 def _kind(raw: Column) -> Column:
-    tests = [F.when(raw.rlike("@"), "email"), F.when(raw.rlike(f"^(?:{KINDS['ip']})$"), "ip"), F.when(raw.rlike("^\\p{L}+\\.? \\p{Lu}"), "name"), F.when(raw.rlike("^[0-9a-fA-F]{32,128}$") & raw.rlike("[a-fA-F]"), "token"), F.when(raw.rlike("^\\d{3}-\\d{2}-\\d{4}$"), "ssn"), F.when(raw.rlike("^\\d[\\d -]{12,18}$"), "card")]
+    tests = [F.when(raw.rlike("@"), "email"), F.when(raw.rlike(f"^(?:{KINDS['ip']})$"), "ip"), F.when(raw.rlike("^[0-9A-Fa-f]{1,4}:"), "ip6"), F.when(raw.rlike("^\\p{L}+\\.? \\p{Lu}"), "name"), F.when(raw.rlike("^[0-9a-fA-F]{32,128}$") & raw.rlike("[a-fA-F]"), "token"), F.when(raw.rlike(f"^(?:{KINDS['iban']})$"), "iban"), F.when(raw.rlike("^\\d{3}-\\d{2}-\\d{4}$"), "ssn"), F.when(raw.rlike("^\\d[\\d -]{12,18}$"), "card")]
     return F.coalesce(*tests, F.lit("phone"))
 
 
@@ -71,6 +77,7 @@ def _parts(raw: Column, kind: Column) -> Column:
     given = F.when(title.isin(FEMALE), "given_f").when(title.isin(MALE), "given_m").otherwise("given_u")
     name = F.when(F.size(spaced) == 3, F.array(part(given, F.lower(F.get(spaced, F.lit(1)))), part(F.lit("surname"), F.lower(F.get(spaced, F.lit(2)))))).otherwise(F.array(part(F.lit("surname"), F.lower(F.get(spaced, F.lit(1))))))
     plain = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(raw, "\\D", "")).otherwise(F.lower(raw))
+    plain = F.when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).otherwise(plain)
     return F.when(kind == "name", name).otherwise(F.array(part(kind, plain)))
 
 
@@ -102,6 +109,23 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(_chars(digits)), value), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of a text of digits and capitals, a capital counting 10 to 35."""
+    def add(rest: Column, c: Column) -> Column:
+        n = F.ascii(c)
+        return F.when(n < 65, (rest * 10 + n - 48) % 97).otherwise((rest * 100 + n - 55) % 97)
+
+    return F.aggregate(_chars(text), F.lit(0), lambda rest, c: add(rest, c).cast("int"))
+
+
+def _account(norm: Column, stream: Column) -> Column:
+    """An account of the same country, each digit and capital drawn anew, with check digits that hold."""
+    body = F.lower(F.substring(norm, F.lit(5), F.length(norm) - 4))
+    drawn, country = F.upper(_redrawn(body, stream)), F.substring(norm, 1, 2)
+    check = F.lit(98) - _mod97(F.concat(drawn, country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), drawn)
+
+
 def _surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     seed = F.concat_ws("\x1f", F.lit(key), kind, norm, F.lit(str(attempt)))
     wide = min(attempt // WIDEN, 12)  # 64 bytes of the stream last for so many labels
@@ -112,6 +136,8 @@ def _surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     more = [F.concat(F.lit("h"), (_byte(stream, F.lit(32 + 2 * i)) * 256 + _byte(stream, F.lit(33 + 2 * i))).cast("string"), F.lit(".")) for i in range(wide)]
     email = F.concat(_redrawn(local, stream), F.lit("@"), *more, host)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
+    groups = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.lower(F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 16)))
+    ip6 = F.concat(F.lit("2001:db8:"), F.array_join(groups, ":"))
     hexed = F.substring(stream, F.lit(1), F.length(norm))
     token = F.when(hexed.rlike("[a-f]"), hexed).otherwise(F.concat(F.lit("a"), F.substring(hexed, F.lit(2), F.length(norm) - 1)))
     number = _redrawn(norm, stream, 1)
@@ -125,6 +151,7 @@ def _surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
         return F.when(cyrillic, made(CYRILLIC, ENDINGS[k][1])).otherwise(made(LATIN, ENDINGS[k][0]))
 
     drawn = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "token", token).when(kind == "card", card)
+    drawn = drawn.when(kind == "ip6", ip6).when(kind == "iban", _account(norm, stream))
     for k in ENDINGS:
         drawn = drawn.when(kind == k, name(k))
     return drawn.otherwise(number)
@@ -183,10 +210,47 @@ def _spelled(raw: Column, kind: Column, found: Column) -> Column:
     digit_at = F.transform(_chars(raw), lambda c, i: F.when(c.rlike("\\d"), F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), "\\D", ""))).otherwise(0))
     digits = F.array_join(F.zip_with(_chars(raw), digit_at, lambda c, n: F.when(n > 0, F.substring(one, n, F.lit(1))).otherwise(c)), "")
     upper = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(one)).otherwise(one)
+    local, new_local = F.split(raw, "@")[0], F.split(one, "@")[0]
+    cased = F.array_join(F.zip_with(_chars(local), _chars(new_local), lambda c, n: F.when(c != F.lower(c), F.upper(n)).otherwise(n)), "")
+    email = F.when(raw == F.upper(raw), F.upper(one)).otherwise(F.concat(cased, F.substring(one, F.length(new_local) + 1, F.length(one))))
+    held = F.transform(_chars(raw), lambda c, i: F.when(c == " ", 0).otherwise(F.length(F.replace(F.substring(raw, F.lit(1), i + 1), F.lit(" "), F.lit("")))))
+    account = F.array_join(F.zip_with(_chars(raw), held, lambda c, n: F.when(n > 0, F.substring(one, n, F.lit(1))).otherwise(c)), "")
     shaped = lambda word, new: F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(new)).otherwise(F.initcap(new))
     spaced = F.split(raw, " ")
     name = F.concat_ws(" ", F.array(spaced[0]), F.zip_with(F.slice(spaced, 2, 2), found, shaped))
-    return F.when(kind == "name", name).when(kind.isin("card", "ssn", "phone"), digits).otherwise(upper)
+    return F.when(kind == "name", name).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", email).when(kind == "iban", account).otherwise(upper)
+
+
+def _bare(gap: Column, names: Column) -> Column:
+    """A stretch of text with the words of names, (word, new) each, replaced where they stand alone."""
+    def one(text: Column, name: Column) -> Column:
+        return F.regexp_replace(text, F.concat(F.lit("(?<![\\p{L}\\p{N}])\\Q"), name["word"], F.lit("\\E(?![\\p{L}\\p{N}])")), name["new"])
+
+    return F.when(F.size(names) > 0, F.aggregate(names, gap, one)).otherwise(gap)
+
+
+def _words(raw: Column, new: Column) -> Column:
+    """(word, new) of a name's words after its title, as written and in capitals."""
+    after = lambda c: F.slice(F.split(c, " "), 2, 2)
+    pair = lambda w, n: F.struct(w.alias("word"), n.alias("new"))
+    plain = F.zip_with(after(raw), after(new), pair)
+    return F.concat(plain, F.transform(plain, lambda p: pair(F.upper(p["word"]), F.upper(p["new"]))))
+
+
+#: Rows that hold one spelling: from so many on it is joined apart, by a broadcast of the few such spellings.
+HOT = 20_000
+
+
+def _by_row(raws: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(row, raw, new, name): raws (row, raw) with what stands for them. A spelling that very many rows hold meets them where they are."""
+    total = raws.count()
+    least = max(HOT, total // 2000)
+    hot = written(raws.groupBy("raw").count().where(F.col("count") >= least).select("raw"), "hot")
+    if total < HOT or hot.isEmpty():
+        return raws.join(spelled, "raw")
+    few = written(spelled.join(F.broadcast(hot), "raw", "left_semi"), "hot")  # at most 2000 spellings
+    rest = raws.join(F.broadcast(hot), "raw", "left_anti").join(spelled, "raw")
+    return rest.unionByName(raws.join(F.broadcast(few), "raw"))
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
@@ -194,15 +258,18 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     tried = plain.withColumn("found", F.when(F.col("text").rlike(QUICK), found).otherwise(F.array().cast("array<string>")))
-    some = tried.where(F.size("found") > 0).withColumn("row", F.xxhash64("doc_id", "text"))
+    some = written(tried.where(F.size("found") > 0).withColumn("row", F.xxhash64("doc_id", "text")), "some")
     raws = written(some.select("row", F.explode(F.array_distinct("found")).alias("raw")).distinct(), "entities")
     kinds = written(raws.select("raw").distinct().withColumn("kind", _kind(F.col("raw"))).withColumn("parts", _parts(F.col("raw"), F.col("kind"))), "kinds")
     names = assign(written(kinds.select(F.explode("parts").alias("p")).select("p.kind", "p.norm").distinct(), "names"), key)
     parts = kinds.select("raw", "kind", F.posexplode("parts").alias("i", "p")).select("raw", F.col("kind").alias("of"), "i", "p.kind", "p.norm").join(names, ["kind", "norm"])
-    spelled = parts.groupBy("raw", "of").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate"))).alias("s")).select("raw", _spelled(F.col("raw"), F.col("of"), F.col("s.surrogate")).alias("new"))
-    maps = raws.join(spelled, "raw").groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("raw", "new"))).alias("new"))
+    spelled = parts.groupBy("raw", "of").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate"))).alias("s"))
+    spelled = written(spelled.select("raw", _spelled(F.col("raw"), F.col("of"), F.col("s.surrogate")).alias("new"), (F.col("of") == "name").alias("name")), "spelled")
+    bare = F.flatten(F.collect_set(F.when(F.col("name"), _words(F.col("raw"), F.col("new")))))
+    maps = _by_row(raws, spelled).groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("raw", "new"))).alias("new"), F.array_distinct(bare).alias("bare"))
     joined = some.join(maps, "row")
-    gaps = F.split("text", PATTERN, -1)
-    text = F.concat(F.array_join(F.transform("found", lambda e, i: F.concat(F.get(gaps, i), F.element_at(F.col("new"), e))), ""), F.element_at(gaps, -1))
+    gaps = F.transform(F.split("text", PATTERN, -1), lambda gap: _bare(gap, F.col("bare")))
+    joined = joined.withColumn("gaps", gaps)
+    text = F.concat(F.array_join(F.transform("found", lambda e, i: F.concat(F.get(F.col("gaps"), i), F.element_at(F.col("new"), e))), ""), F.element_at("gaps", -1))
     rewritten = joined.select("doc_id", text.alias("text"), F.size("found").cast("long").alias("n_entities"))
     return tried.where((F.size("found") == 0) | F.col("text").isNull()).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")).unionByName(rewritten)

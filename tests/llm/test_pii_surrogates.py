@@ -47,6 +47,27 @@ def test_replacement(spark):
     assert pii.replace(docs.limit(0), "k").count() == 0
 
 
+def test_bare_names_case_and_accounts(spark):
+    texts = ["Mr. John Smith called. Smith said hi; JOHN wrote to John.Smith@Acme.com, not Smithson.", "Smith alone stays here", "pay DE89 3704 0044 0532 0130 00 or DE89370400440532013000 from fe80:0:0:0:1:2:3:4 or 2001:db8::7", "Mrs. Eva Smith"]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    a = re.fullmatch(r"Mr\. (\S+) (\S+) called\. (\S+) said hi; (\S+) wrote to (\S+), not Smithson\.", got[0])
+    given, surname = a[1], a[2]
+    assert a[3] == surname and a[4] == given.upper() and "Smith" not in got[0].replace("Smithson", "") and "John" not in got[0]
+    assert re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{4}@example\.(com|net|org)", a[5])
+    assert got[1] == texts[1] and got[3].endswith(" " + surname) and got[3].startswith("Mrs. ")
+    spaced, flat, one, two = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20}) from (\S+) or (\S+)", got[2]).groups()
+    assert spaced.replace(" ", "") == flat != "DE89370400440532013000" and int(flat[4:] + "1314" + flat[2:4]) % 97 == 1
+    assert one != two and all(re.fullmatch(r"2001:db8:[0-9a-f]{1,4}(:[0-9a-f]{1,4}){5}", x) for x in (one, two))
+
+
+def test_a_spelling_in_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(pii, "HOT", 50)
+    docs = spark.createDataFrame([(i, f"to all@one.org and u{i % 40}@two.org") for i in range(300)], "doc_id long, text string")
+    plain = {r["doc_id"]: r["text"] for r in pii.replace(docs, "k").collect()}
+    monkeypatch.setattr(pii, "HOT", 10**9)
+    assert plain == {r["doc_id"]: r["text"] for r in pii.replace(docs, "k").collect()} and len({t.split()[1] for t in plain.values()}) == 1
+
+
 def test_small_formats_never_run_out(spark, monkeypatch):
     """More entities than their first format has values, and numbers that take up almost half of theirs."""
     monkeypatch.setattr(pii, "ATTEMPTS", 9)
