@@ -2,15 +2,17 @@
 
 Sets are dealt to size bands, band j holding sizes 2^j to 2^(j+1)-1; a set whose
 partners may be in the next band signs for that one too, so two similar sets
-always share a band. In a band the feature domain is hashed to n1 first-level
-groups of n2 = 2 partitions, and every subset of n2 - 1 partitions of a group
-gives one signature: a hash of the features that fall in the subset. Two sets
-at a Jaccard similarity of 0.8 differ in at most a quarter of the smaller one's
-size, d features, which touch at most d partitions: of M signatures of subsets
-that aren't empty, all but d are shared. So under any order of signatures that
-is the same for all sets, the first d + s of both share s; each set signs its first
-d + d / 2. The order puts subsets with a rare feature first, by a table of how
-often features come. A set that shares fewer signatures with all others together
+always share a band. In a band of sizes up to L the feature domain is hashed to n1, about
+L / 4, first-level groups of n2 = 3 partitions. Of each group all C(3, 2) = 3 subsets
+of n2 - k2 = 2 partitions are enumerated, and a subset gives one signature, a hash
+of all features that fall in its two partitions: 3 signatures a group, about 0.75 L
+a band. Two sets at a Jaccard similarity of 0.8 differ in at most a quarter of the
+smaller one's size, d features; each lies in one partition, which is in C(2, 1) = 2
+of the group's subsets. So of the signatures of subsets that aren't empty, all but
+2 d are shared. Under any order of signatures that is the same for all sets, the
+first 2 d + e of both share e at least; each set signs its first 2 d + e, e being a
+twelfth of its size: about 0.58 signatures a feature and band. The order puts
+subsets with a rare feature first, by a table of how often features come. A set that shares fewer signatures with all others together
 than it must with a partner of four fifths its size is settled: it has none. So
 texts that only have a common passage in common mostly drop out before any set
 is compared. A set with too few filled subsets signs all, and empty ones too.
@@ -34,6 +36,7 @@ dropped. An empty table gives no rows."""
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -42,10 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, partitions, shingles, words, written
+from .common import WordHashes, mix64, partitions, ranges, shingles, words, written
 from .components import components
 
-SUBPARTS, LEFT_OUT = 2, 1
+SUBPARTS, LEFT_OUT = 3, 1
+#: Subsets of a group that one partition is in, and that a differing feature so changes.
+CHANGED = math.comb(SUBPARTS - 1, SUBPARTS - LEFT_OUT - 1)
+#: Of a set's size, one part in so many is signed beyond what may differ.
+MORE = 12
+#: Input bytes for each range of signatures, at most.
+RANGE_BYTES = 32 << 20
 FILTER_BITS, COUNT_BITS, BLOCK = 22, 23, 256
 ROUNDS, PIECES = 3, 16
 
@@ -57,8 +66,8 @@ COUNTED = 256
 def least_shared(size):
     """How many of its signatures a set of this size shares with any partner, at least; size: a number or a column."""
     if isinstance(size, int):
-        return max(1, -(-4 * size // 5) // 4 // 2) if size >= COUNTED else 1
-    own = F.floor(F.floor(F.ceil(size * 4 / 5) / 4) / 2)
+        return max(1, -(-4 * size // 5) // MORE) if size >= COUNTED else 1
+    own = F.floor(F.ceil(size * 4 / 5) / MORE)
     return F.when(size >= COUNTED, F.greatest(F.lit(1), own)).otherwise(1)
 
 
@@ -102,12 +111,12 @@ def _enumerated(features: np.ndarray, level: np.ndarray, band: int) -> tuple[np.
 
 def signatures(features: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """48-bit signatures of one set of 64-bit features; levels: how common features are, as two tables over places()."""
-    found, most, level = [], len(features) // 4, np.minimum(*(t[at] for t, at in zip(levels, places(features), strict=True)))
+    found, most, level = [], CHANGED * (len(features) // 4), np.minimum(*(t[at] for t, at in zip(levels, places(features), strict=True)))
     for band in bands(len(features)):
         signed, filled, low = _enumerated(features, level, band)
         if np.count_nonzero(filled) > most:
             signed, low = signed[filled], low[filled]
-            found.append(signed[np.lexsort((signed, low))[: most + max(1, most // 2)]])
+            found.append(signed[np.lexsort((signed, low))[: most + max(1, len(features) // MORE)]])
         else:
             found.append(signed)
     return np.concatenate(found) >> np.uint64(16)
@@ -125,7 +134,7 @@ def _repeated(held: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         for k in range(PIECES):
             mine = at * PIECES >> COUNT_BITS == k
             if mine.any():
-                yield t * PIECES + k, np.stack([at[mine], times[mine]]).astype("<i4").tobytes()
+                yield t * PIECES + k, np.stack([at[mine], times[mine]]).astype("<i8").tobytes()
 
 
 def _levels(rows: DataFrame) -> np.ndarray:
@@ -133,67 +142,93 @@ def _levels(rows: DataFrame) -> np.ndarray:
 
     What the driver gets has a fixed bound: two tables of 2^COUNT_BITS places."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, total = (1 << COUNT_BITS) // PIECES, {}
+    size = (1 << COUNT_BITS) // PIECES
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        total = {}
         for batch in batches:
             for piece, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, times = np.frombuffer(x, "<i4").reshape(2, -1)
+                at, times = np.frombuffer(x, "<i8").reshape(2, -1)
                 np.add.at(total.setdefault(piece, np.zeros(size, np.int64)), at - piece % PIECES * size, times)
-        for piece, n in total.items():
+        yield from total.items()
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, n in added(batches):
+            used = np.flatnonzero(n)
+            packed = np.stack([used + piece % PIECES * size, n[used]]).astype("<i8").tobytes()
+            yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "packed"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, n in added(batches):
             used = np.flatnonzero(n)
             level = np.ceil(np.log2(n[used] + 1)).astype(np.uint8)
             yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([used.astype("<i4").tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], ["piece", "at", "levels"])
 
-    levels = np.zeros((2, PIECES, (1 << COUNT_BITS) // PIECES), np.uint8)
-    for piece, at, level in rows.repartitionById(2 * PIECES, F.col("piece")).mapInArrow(gather, "piece int, at binary, levels binary").collect():
+    # First by piece and salt, in as many tasks as the data wants, then by piece: a piece's parts are no larger than the piece.
+    salts = max(1, partitions(rows.sparkSession) // (2 * PIECES))
+    plain = rows.toDF("piece", "packed")
+    dealt = plain.repartitionById(2 * PIECES * salts, F.col("piece") * salts + F.pmod(F.xxhash64("packed"), F.lit(salts)).cast("int"))
+    met = dealt.mapInArrow(some, "piece int, packed binary").repartitionById(2 * PIECES, F.col("piece"))
+    levels = np.zeros((2, PIECES, size), np.uint8)
+    for piece, at, level in met.mapInArrow(gather, "piece int, at binary, levels binary").collect():
         levels[piece // PIECES, piece % PIECES, np.frombuffer(bytes(at), "<i4")] = np.frombuffer(bytes(level), np.uint8)
     return levels.reshape(2, -1)
 
 
 def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, print) of each whole text, print a 128-bit fingerprint of its set; and levels of features.
+    """(doc_id, n_shingles, print, head) of each whole text; and levels of features.
 
+    print: a 128-bit fingerprint of its set; head: the first document with this set that its task met.
     Counted are features that come twice and more among a map task's different
     sets. Any levels keep the join exact; these decide which signatures come first."""
     import xxhash
 
+    names = ["doc_id", "n_shingles", "print", "head", "piece"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, many = WordHashes(), set(), [], 0
+        hashes, heads, seen, held, many = WordHashes(), {}, set(), [], 0
 
         def common() -> Iterator[pa.RecordBatch]:
             for piece, packed in _repeated(held):
-                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary()), pa.array([piece], pa.int32())], ["doc_id", "n_shingles", "print", "piece"])
+                none = pa.nulls(1, pa.int64())
+                yield pa.record_batch([none, none, pa.array([packed], pa.binary()), none, pa.array([piece], pa.int32())], names)
 
         for batch in batches:
-            sizes, prints = [], []
-            for text in batch.column(1):
+            sizes, prints, firsts = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = np.unique(shingles(hashes.of(words(text.as_py())), width))
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                firsts.append(heads.setdefault(prints[-1], doc_id) if len(found) and doc_id is not None else None)
                 if len(found) and prints[-1] not in seen:
                     seen.add(prints[-1])
                     held.append(found)
                     many += len(found)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(sizes), pa.int32())], ["doc_id", "n_shingles", "print", "piece"])
+            columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(firsts, pa.int64()), pa.nulls(len(sizes), pa.int32())]
+            yield pa.record_batch([batch.column(0), *columns], names)
             if many > 4_000_000:
                 yield from common()
                 seen, held, many = set(), [], 0
         if many:
             yield from common()
 
-    found = written(_id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, print binary, piece int"), "sets")
+    found = written(_id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, print binary, head long, piece int"), "sets")
     return found.where("piece IS NULL").drop("piece"), _levels(found.where("piece IS NOT NULL").select("piece", "print"))
 
 
 def _of_texts(width: int):
-    """Reads (doc_id, features) from batches of (doc_id, text)."""
+    """Reads (doc_id, features) from batches of (doc_id, text); of a task's equal sets only the first, as copies are linked apart."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        hashes = WordHashes()
+        import xxhash
+
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if d is not None and len(found := np.unique(shingles(hashes.of(words(t.as_py())), width))):
-                    yield d, found
+                    if (print_ := xxhash.xxh3_128_digest(found.tobytes())) not in seen:
+                        seen.add(print_)
+                        yield d, found
 
     return read
 
@@ -257,11 +292,10 @@ def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
-def star_links(rows: DataFrame, read, levels: np.ndarray) -> DataFrame:
+def star_links(rows: DataFrame, read, levels: np.ndarray, n: int) -> DataFrame:
     """(kind, a, b) over the sets that read gives from batches of rows. Kind 0: document a shares b signatures with others,
-    at most counted twice; kind 1: a and b are in one cluster of candidates."""
-    spark = rows.sparkSession
-    n, kept = partitions(spark), spark.sparkContext.broadcast(levels)
+    at most counted twice; kind 1: a and b are in one cluster of candidates. n: ranges of signatures."""
+    kept = rows.sparkSession.sparkContext.broadcast(levels)
     flush = 3_000_000
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,17 +476,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         raise ValueError("the signatures are laid out for similarities of 0.8 and more")
     base, levels = shingle_sets(docs, width)
     some = base.where("doc_id IS NOT NULL AND n_shingles > 0")
-    firsts = some.groupBy("print").agg(F.min("doc_id").alias("a"))
-    copies = some.join(firsts, "print").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    copies = written(copies, "copies")
-    one = copies.groupBy("b").agg(F.min("a").alias("to"))
-
-    stars = star_links(_id_and_text(docs), _of_texts(width), levels)
+    # A task's copies meet at the task's first, and the firsts of all tasks at the smallest: a hot set is one row a task.
+    heads = some.where("doc_id = head").select("print", "head").distinct()
+    one = heads.join(heads.groupBy("print").agg(F.min("head").alias("to")), "print").where("to <> head").select(F.col("head").alias("b"), "to")
+    one = written(one.groupBy("b").agg(F.min("to").alias("to")), "copies")
+    near = some.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    copies = near.unionByName(one.select(F.col("to").alias("a"), "b"))
+
+    n = ranges(docs, RANGE_BYTES)
+    stars = star_links(_id_and_text(docs), _of_texts(width), levels, n)
     edges, shared = stars.where("kind = 1"), stars.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("shared"))
-    as_first = edges.join(one.withColumnRenamed("b", "a"), "a", "left").withColumn("a", F.coalesce("to", "a")).drop("to").join(one, "b", "left").withColumn("b", F.coalesce("to", "b")).drop("to")
-    sizes = some.groupBy(F.col("doc_id").alias("node")).agg(F.min("n_shingles").alias("n"))
+    sizes = some.groupBy(F.col("doc_id").alias("node")).agg(F.min("n_shingles").alias("n"), (F.min("print") != F.max("print")).alias("several"))
+    # A copy's place is taken by the first of its set, unless the document has other texts too.
+    whole = one.join(sizes.where("several").select(F.col("node").alias("b")), "b", "left_anti")
+    by = lambda side: whole.select(F.col("b").alias(side), F.col("to").alias(f"to_{side}"))
+    as_first = edges.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
     alive = shared.join(sizes, "node").where(F.col("shared") >= least_shared(F.col("n"))).select("node")
-    clusters = written(components(as_first.select("a", "b")).join(alive, "node", "left_semi"), "clusters")
+    clusters = written(components(as_first).join(alive, "node", "left_semi"), "clusters")
     now = written(_sets_of(docs, clusters, width), "features")
     parts, before = [], None
     for _ in range(ROUNDS):
@@ -463,7 +503,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         before = inside
         parts.append(now.join(big.select("component"), "component", "left_anti"))
         some = now.join(big.select("component"), "component", "left_semi").select("doc_id", "features")
-        again = components(star_links(some, _of_sets, levels_among(some, inside)).where("kind = 1").select("a", "b"))
+        again = components(star_links(some, _of_sets, levels_among(some, inside), n).where("kind = 1").select("a", "b"))
         now = written(some.join(again.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("doc_id", "component", "features"), "features")
     for part in parts:
         now = now.unionByName(part)
