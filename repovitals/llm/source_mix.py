@@ -14,11 +14,14 @@ than blocks, the rest follow at the end; slots beyond its blocks are void.
 Blocks: each source's documents, in an order shuffled by a keyed digest, lie end
 to end, epoch after epoch, up to the target, cut every BLOCK words. A document's
 place is its bucket's start plus a running sum in the bucket. Blocks meet slots
-by source and rank; a document takes the words of its pieces.
+by source and rank; a document takes the words of its pieces, and stands in the
+mix from the slot of its first piece on. copies() gives whole documents in the
+order of the mix, as a corpus writer takes them.
 
 Nulls: a null text has size 0; a null source is a source; a null doc_id is
-shuffled as an empty text. Repeated rows are rows of their own. No words at all
-give targets of 0; an empty table gives no rows. Other columns are dropped."""
+shuffled by its text. Repeated rows are rows of their own. No words at all give
+targets of 0; an empty table gives no rows. mix() drops other columns, copies()
+keeps all."""
 
 from __future__ import annotations
 
@@ -81,18 +84,19 @@ def schedule(sources: DataFrame, total: int) -> DataFrame:
 def pieces(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces): every document with its source's figures and its row key; and where its words lie in the mix.
 
-    pieces: source_id, bucket, rn (the row key), slot, first (offset in the document), words."""
+    pieces: source_id, bucket, rn (the row key), epoch, slot, first (offset in the document), words."""
     spark = docs.sparkSession
     size = F.coalesce(F.call_function("regexp_count", F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).alias("print")), "sizes")
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "sources")
     total, few = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*") <= FEW).first()
     small = F.broadcast(sources) if few else sources
 
     placed = sized.join(small.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    placed = placed.withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("print").cast("string")))  # rows without an id don't share one bucket
+    placed = placed.withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), name)))
     placed = placed.withColumn("bucket", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.ceil(F.col("n") / BUCKET_ROWS))
-    inside = W.partitionBy("source_id", "bucket").orderBy("digest", "size", "doc_id")
+    inside = W.partitionBy("source_id", "bucket").orderBy("digest", "size", "print")
     placed = placed.withColumn("rn", F.row_number().over(inside)).withColumn("within", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = written(placed.drop("digest"), "placed")
     sums = placed.groupBy("source_id", "bucket").agg(F.sum("size").alias("s"))
@@ -102,12 +106,35 @@ def pieces(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     laid = laid.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start") + F.col("within")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota"))).where("from < to")
     cut = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / BLOCK), F.floor((F.col("to") - 1) / BLOCK))))
     low, high = F.greatest(F.col("from"), F.col("block") * BLOCK), F.least(F.col("to"), (F.col("block") + 1) * BLOCK)
-    cut = cut.select("source_id", "bucket", "rn", "block", (low - F.col("from")).alias("first"), (high - low).alias("words"))
+    cut = cut.select("source_id", "bucket", "rn", "epoch", "block", (low - F.col("from")).alias("first"), (high - low).alias("words"))
     return placed, cut.join(schedule(sources, total), ["source_id", "block"])
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of docs (doc_id, source, text)."""
+    """(doc_id, size, source_size, target, taken, first_slot, n_blocks) of every row of docs (doc_id, source, text).
+
+    first_slot: the slot of the schedule where the document first comes, null if it never does; n_blocks: in how many
+    blocks it lies, over all epochs."""
+    rows, parts = pieces(docs, seed)
+    sums = (F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_blocks"))
+    joined = rows.join(parts.groupBy("source_id", "bucket", "rn").agg(*sums), ["source_id", "bucket", "rn"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("doc_id", "size", "source_size", "target", zero("taken"), F.col("first_slot").cast("long").alias("first_slot"), zero("n_blocks"))
+
+
+def copies(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The documents of the mix, whole, in its order: each as often as the mix takes its words, to the nearest time.
+
+    A document that the mix takes in part comes once. Rows alike in doc_id, source and text are one text, taken as
+    often as all of them. All columns of docs are kept; where such rows differ in others, the least row's are."""
     rows, parts = pieces(docs, seed)
-    taken = parts.groupBy("source_id", "bucket", "rn").agg(F.sum("words").alias("taken"))
-    return rows.join(taken, ["source_id", "bucket", "rn"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    key = ["source_id", "bucket", "rn"]
+    each = parts.groupBy(*key, "epoch").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"))
+    sized = each.join(rows.select(*key, "size", "print"), key)
+    times = F.greatest(F.lit(1), F.round(F.sum("words").over(W.partitionBy(*key)) / F.col("size")))
+    wanted = sized.withColumn("times", times).where("epoch < times").select(F.col("print").alias("__wanted"), F.col("slot").alias("__slot"), F.col("epoch").alias("__epoch"))
+    marked = docs.withColumn("__print", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")))
+    if not rows.groupBy("print").count().where("count > 1").isEmpty():
+        marked = marked.groupBy("__print").agg(F.min(F.struct(*docs.columns)).alias("row")).select("__print", "row.*")
+    # A merge of both sides at every size: texts are shuffled by print, and once more into the order of the mix.
+    return marked.hint("merge").join(wanted, F.col("__print") == F.col("__wanted")).orderBy("__slot", "__print", "__epoch").select(*docs.columns)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, new_path, partitions
@@ -127,10 +127,10 @@ class Decoder:
         return found
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, packed, counts): the ids of each whole text and the end id, packed by zstd.
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, place: Column | None = None) -> DataFrame:
+    """(doc_id, place, packed, counts): the ids of each whole text and the end id, packed by zstd.
 
-    counts is null, but in one row more of each task, which holds how often each id came in the task."""
+    place: what orders rows, doc_id if not given. counts is null, but in one row more of each task, which holds how often each id came in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, press = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
@@ -146,11 +146,17 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     found = [np.frombuffer(coder.codes(t), coder.wide).astype(wide).tobytes() + end for t in part.column(1).to_pylist()]
                 for lo in range(0, len(found), 32):
                     total += np.bincount(np.frombuffer(b"".join(found[lo : lo + 32]), wide), minlength=size)
-                yield pa.record_batch([part.column(0), pa.array([press.compress(x) for x in found], pa.binary()), pa.nulls(len(found), pa.binary())], ["doc_id", "packed", "counts"])
+                packed = pa.array([press.compress(x) for x in found], pa.binary())
+                yield pa.record_batch([part.column(0), part.column(2), packed, pa.nulls(len(found), pa.binary())], names)
         if (used := np.flatnonzero(total)).size:
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary())], ["doc_id", "packed", "counts"])
+            counts = pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary())
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, batch.schema.field(2).type), pa.nulls(1, pa.binary()), counts], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, packed binary, counts binary")
+    names = ["doc_id", "place", "packed", "counts"]
+    doc_id = F.col("doc_id").cast("long")
+    chosen = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), (doc_id if place is None else place).alias("place"))
+    kind = chosen.schema["place"].dataType.simpleString()
+    return chosen.mapInArrow(run, f"doc_id long, place {kind}, packed binary, counts binary")
 
 
 def id_type(size: int) -> str:
@@ -163,15 +169,15 @@ def unpacked(part: pa.RecordBatch, wide: str) -> list[np.ndarray]:
     return [np.frombuffer(unpress.decompress(x), wide) for x in part.column("packed").to_pylist()]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits: int = 16, num_partitions: int | None = None) -> None:
-    """Writes all documents to the folder `path`.
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits: int = 16, num_partitions: int | None = None, place: Column | None = None) -> None:
+    """Writes all documents to the folder `path`, in order of doc_id or of `place`, a column of docs.
 
     Counts go to the driver: at most one row for each id of the vocabulary."""
     spark = docs.sparkSession
     size = max(encoder(tokenizer).size, end_id + 1)
     wide = id_type(size)
     kept = new_path(spark, "ids")
-    encoded(docs, tokenizer, end_id).write.option("compression", "uncompressed").parquet(kept)
+    encoded(docs, tokenizer, end_id, place).write.option("compression", "uncompressed").parquet(kept)
     ids = spark.read.parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +218,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits:
             yield block()
 
     n = num_partitions or partitions(spark)
-    ordered = ids.where("packed IS NOT NULL").select("doc_id", "packed").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "packed")
+    ordered = ids.where("packed IS NOT NULL").select("doc_id", "place", "packed").repartitionByRange(n, "place").sortWithinPartitions("place", "packed").drop("place")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_path(spark, kept)
 

@@ -60,7 +60,7 @@ def test_mix_order_is_even(spark):
 
 def test_empty_and_blank(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
-    assert sorted(map(tuple, source_mix.mix(docs).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    assert sorted(map(tuple, source_mix.mix(docs).collect())) == [(1, 0, 0, 0.0, 0, None, 0), (2, 0, 0, 0.0, 0, None, 0)]
     assert source_mix.mix(docs.limit(0)).count() == 0
 
 
@@ -72,3 +72,21 @@ def test_points_are_multiples_of_the_golden_ratio(spark):
     for r in got:
         off = abs(r["u"] - float(r["n"] * ratio % 1))
         assert min(off, 1 - off) < 1e-9, r["n"]
+
+
+def test_copies_come_in_the_order_of_the_schedule(spark):
+    rows = [(i if i % 9 else None, "w " * (50 + i * 37 % 400), "abc"[i % 3], str(i)) for i in range(300)] + [(7, "twice here", "a", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, print string")
+    got = source_mix.copies(docs.repartition(4))
+    assert got.columns == docs.columns
+    got = [tuple(r) for r in got.collect()]
+    taken = {(r["doc_id"], r["size"]): r for r in source_mix.mix(docs).collect()}
+    first = [taken[d, len(t.split())]["first_slot"] for n, (d, t, _, _) in enumerate(got) if (d, t) not in {(a, b) for a, b, *_ in got[:n]} and d is not None]
+    assert first == sorted(first) and len(got) > 250
+    times = {}
+    for d, t, *_ in got:
+        times[d, len(t.split())] = times.get((d, len(t.split())), 0) + 1
+    for (d, size), n in times.items():
+        if d not in (None, 7):
+            assert n == max(1, round(taken[d, size]["taken"] / size + 1e-9))
+    assert {(d, s) for (d, s), r in taken.items() if r["taken"]} == set(times)
