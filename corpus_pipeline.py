@@ -7,10 +7,12 @@ costs a task and not a stage. All but the last return the columns of documents.
 Nulls and repeats follow the operators: documents without a letter go at the
 first stage, so a null text doesn't get past it; a document with a null doc_id
 links with nothing; rows of a doc_id with the same text are one document to the
-join, and rows with different texts are documents of their own."""
+join, and rows with different texts are documents of their own. Rows that are
+alike in doc_id, source and text are one document to the mix."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,16 +65,21 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes its words, to the nearest time; 0 times drops it.
 
-    A document that the mix takes in part stays once, and so does one without doc_id."""
-    taken = source_mix.mix(docs).select("doc_id", F.when(F.col("taken") > 0, F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))).otherwise(F.lit(0)).alias("times"))
-    times = written(taken.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("times").alias("times")), "times")
-    return docs.join(times, "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).where("times > 0 AND nth <= times").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    Rows are in the order of the mix's schedule, which the files keep. Rows without doc_id take part."""
+    return source_mix.copies(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the ids of all documents and returns what is read back: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the ids of all documents and returns what is read back: doc_id, start, n_tokens, ids_crc32.
+
+    Documents that come from files are written in the order of the files' names and rows, which is the mix's; others by doc_id."""
     path = new_path(spark, "tokens")
-    token_huffman.write(docs, path, tokenizer_path(), end_id=0)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        docs.select(place)
+    except AnalysisException:  # not rows of files
+        place = None
+    token_huffman.write(docs, path, tokenizer_path(), end_id=0, place=place)
     return token_huffman.read(spark, path, with_ids=False)
 
 
