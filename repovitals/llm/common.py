@@ -40,14 +40,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it again.
 
+    instead_of: an earlier step that nothing reads any more once df is written; its files go at once.
+
     Unlike an executor-local checkpoint, lost executors don't lose it; unlike
     checkpoint() it is columnar and computed once."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (old := getattr(instead_of, "step_path", None)) is not None:
+        drop_path(df.sparkSession, old)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

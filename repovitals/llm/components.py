@@ -31,5 +31,5 @@ def components(links: DataFrame) -> DataFrame:
         if told == before or not told[0]:
             break
         before = told
-        now = written(_step(_step(now, True), False), "links")
+        now = written(_step(_step(now, True), False), "links", now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

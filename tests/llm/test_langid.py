@@ -33,3 +33,13 @@ def test_no_labels(spark):
     model = langid.train(docs)
     assert [tuple(x) for x in langid.predict(docs, model).collect()] == [(1, "und", 0.0, True)]
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_ties_dont_widen_the_sample(spark):
+    """Rows without an id share one hash, and repeated rows are one text: the bound holds."""
+    rows = [(None, f"some words number {i}", "en") for i in range(300)] + [(None, "the same again", "de")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    some = langid.sampled(docs, 50, 0).collect()
+    assert len(some) == len(set(some)) == 50
+    assert sorted(map(tuple, some)) == sorted(map(tuple, langid.sampled(docs.repartition(7), 50, 0).collect()))
+    assert langid.sampled(docs.limit(0), 50, 0).count() == 0
