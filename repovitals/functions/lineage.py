@@ -26,11 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def materialised(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df to the shared folder and reads it again; the files go when the JVM ends."""
+def materialised(df: DataFrame, name: str = "step", instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again; the files go when the JVM ends.
+
+    instead_of: an earlier step's frame that nothing reads any more once df is written; its files go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/repovitals-steps/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (old := getattr(instead_of, "step_path", None)) is not None:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out

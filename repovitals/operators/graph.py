@@ -32,7 +32,7 @@ def closure(edges: DataFrame) -> DataFrame:
     size = known.count()
     while True:
         longer = known.join(known.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        known = materialised(known.unionByName(longer).distinct(), "closure")
+        known = materialised(known.unionByName(longer).distinct(), "closure", known)
         now = known.count()
         if now == size:
             return known
@@ -65,7 +65,7 @@ def sketches(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         got = edges.join(now.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "s")
-        now = materialised(now.unionByName(got).groupBy("node").agg(F.hll_union_agg("s").alias("s")), "sketch")
+        now = materialised(now.unionByName(got).groupBy("node").agg(F.hll_union_agg("s").alias("s")), "sketch", now)
         told = now.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0]
         if told == before:
             break
@@ -84,10 +84,11 @@ def _least_reaching(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, label): the least label (node, label) from which a path leads to the node, its own included."""
     now, before = start, None
     while True:
+        last = now
         for _ in range(2):  # two steps a round, for fewer rounds
             got = edges.join(now.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
             now = now.unionByName(got).groupBy("node").agg(F.min("label").alias("label"))
-        now = materialised(now, "labels")
+        now = materialised(now, "labels", last if before is not None else None)
         told = now.agg(F.count("*"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()
         if told == before:
             return now
