@@ -139,10 +139,13 @@ class Known:
                 runs[name] += f"<{own}>"
         longest = sorted(range(len(RULES)), key=lambda n: (-len(RULES[n][1]), n))
         #: (run, licence), longest first; of equal length in the order of RULES.
-        self.rules = [("".join(runs[name] for name in RULES[n][1]), RULES[n][0]) for n in longest]
+        self.rules = [("".join(runs[name] for name in RULES[n][1]), RULES[n][0]) for n in longest if all(runs[name] for name in RULES[n][1])]
 
 
 def _sentences(text: str) -> list[str]:
+    """The pieces of a known sentence; none of a line that would fall into a label and a mere word."""
+    if text.startswith("SPDX-"):
+        return []
     return [x for x in re.split("(?<=[.!?:])\\s+", text) if normal(x)]
 
 

@@ -76,7 +76,7 @@ def license_rules() -> str:
 
     ends = "string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?:])\\s+(?:[0-9*-]+[.)]?\\s+)?', '\\1' || chr(1), 'g'), chr(1))"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), {cut('a', f"string_split_regex(text, '{licenses.LINE_END}')", licenses.BY_LINE)}, {cut('b', ends, licenses.BY_SENTENCE)},
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN regexp_matches(text, '{licenses.ANCHOR}') THEN text END AS text FROM documents), {cut('a', f"string_split_regex(text, '{licenses.LINE_END}')", licenses.BY_LINE)}, {cut('b', ends, licenses.BY_SENTENCE)},
 j AS (SELECT doc_id, coalesce(ai.ids, '') AS by_line, coalesce(bi.ids, '') AS by_sentence, greatest(coalesce(ai.n, 0), coalesce(bi.n, 0)) AS n FROM d LEFT JOIN ai USING (rid) LEFT JOIN bi USING (rid)),
 m AS (SELECT doc_id, n, {marked(licenses.BY_LINE, 'by_line')} AS l, {marked(licenses.BY_SENTENCE, 'by_sentence')} AS s FROM j)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat({kept('l', 's')}, {kept('s', 'l')}))), ',') AS licenses, n AS n_sentences FROM m"""
