@@ -290,3 +290,9 @@ def test_streams(spark, tmp_path):
     assert sorted(r["sha"] for r in spark.read.parquet(store).collect()) == ["a", "b", "d", "x"]
     st.sliding(st.source(spark, src)).writeStream.format("memory").queryName("slides").outputMode("append").option("checkpointLocation", str(tmp_path / "c4")).trigger(availableNow=True).start().awaitTermination()
     assert spark.sql("SELECT max(score) AS m FROM slides").first()["m"] is not None
+
+
+def test_graphs_without_edges(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert one(graph.hub_score(none)) == {"modules": 0, "hubs": 0, "score": 1.0}
+    assert one(graph.propagation_cost(none)) == {"modules": 0, "cost": 0.0, "score": 1.0}
