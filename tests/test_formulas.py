@@ -296,3 +296,9 @@ def test_graphs_without_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert one(graph.hub_score(none)) == {"modules": 0, "hubs": 0, "score": 1.0}
     assert one(graph.propagation_cost(none)) == {"modules": 0, "cost": 0.0, "score": 1.0}
+
+
+def test_observation_of_a_graph_without_edges(spark):
+    seen = builtin.observe({"edges": spark.createDataFrame([], "src long, dst long, weight long")})
+    scores = {r["signal_id"]: r["score"] for r in seen["results"].where("applicability = 'applicable'").collect()}
+    assert scores["TS-DE-02-fan-in-fan-out"] == 1.0 and scores["TS-DE-03-propagation-cost"] == 1.0
