@@ -31,7 +31,7 @@ def inference(deltas: DataFrame, responses: DataFrame) -> DataFrame:
 
 def information_gain(deltas: DataFrame, responses: DataFrame) -> DataFrame:
     """(item, gain) of items without a response: how much is unsure about the signals that an item tells apart."""
-    known = inference(deltas, responses).select("signal", "seen", F.least(F.lit(1.0), F.abs(F.col("evidence") / F.nullif("magnitude", F.lit(0.0)))).alias("certainty"))
+    known = inference(deltas, responses).select("signal", "seen", F.when(F.col("magnitude") > 0, F.least(F.lit(1.0), F.abs(F.col("evidence") / F.nullif("magnitude", F.lit(0.0))))).alias("certainty"))
     seen, certainty = F.coalesce("seen", F.lit(0)), F.coalesce("certainty", F.lit(0.0))
     gain = F.abs("delta") * (1 / (1 + seen) + (1 - certainty)) + F.when(seen == 0, 0.25).otherwise(0.0)
     left = deltas.join(responses.select("item").distinct(), "item", "left_anti")

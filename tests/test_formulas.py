@@ -302,3 +302,9 @@ def test_observation_of_a_graph_without_edges(spark):
     seen = builtin.observe({"edges": spark.createDataFrame([], "src long, dst long, weight long")})
     scores = {r["signal_id"]: r["score"] for r in seen["results"].where("applicability = 'applicable'").collect()}
     assert scores["TS-DE-02-fan-in-fan-out"] == 1.0 and scores["TS-DE-03-propagation-cost"] == 1.0
+
+
+def test_a_signal_without_magnitude_is_not_certain(spark):
+    deltas = spark.createDataFrame([("i1", "x", 0.0), ("i2", "x", 0.4)], "item string, signal string, delta double")
+    answered = spark.createDataFrame([("i1", "a")], "item string, answer string")
+    assert one(elicitation.next_item(deltas, answered)) == {"item": "i2", "gain": pytest.approx(0.4 * (0.5 + 1))}
