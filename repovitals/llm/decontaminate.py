@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shingles, written
+from .common import WordHashes, lean, shingles, written
 
 RADIUS, BLOCKS = 16, 6
 CHUNK_WORDS, CHUNK_ITEMS = 2_000_000, 20_000
@@ -205,7 +205,7 @@ def shared_shingles(benchmark: DataFrame, width: int) -> tuple[int, dict[int, in
                     held = np.unique(shingles(hashes.of(found), width))
                     yield pa.record_batch([pa.array(np.append(held.view(np.int64), 0)), pa.array(np.append(np.zeros(len(held), bool), True))], ["shingle", "item"])
 
-    found = written(benchmark.select(F.col("text").cast("string")).where("text IS NOT NULL").mapInArrow(run, "shingle long, item boolean").groupBy("shingle", "item").count(), "holders")
+    found = written(benchmark.select(F.col("text").cast("string")).where("text IS NOT NULL").mapInArrow(lean(run), "shingle long, item boolean").groupBy("shingle", "item").count(), "holders")
     items = found.where("item").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     several = found.where("NOT item AND count > 1").select("shingle", "count").toLocalIterator()
     return items, {s & (1 << 64) - 1: k for s, k in several}
@@ -242,7 +242,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, columns))
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), columns))
     return out
 
 
@@ -258,5 +258,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width:
                 keep = [not items.match(hashes.of(plain_words(t.as_py())), threshold) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

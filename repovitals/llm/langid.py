@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, lean
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 _LETTERS = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
@@ -139,7 +139,7 @@ def bags(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["lang", "used", "share"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, used binary, share binary")
+    return docs.select("lang", "text").mapInArrow(lean(run), "lang string, used binary, share binary")
 
 
 @dataclass
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 rejected = (scores < kept.value.threshold) | np.array([x == "und" for x in langs], bool)
                 yield pa.record_batch([part.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -251,7 +251,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores = scorer.score(part.column(at).to_pylist())
                 yield part.filter(pa.array([s >= kept.value.threshold and x != "und" for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def training_fold(docs: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, partitions, ranges, shingles, words, written
+from .common import WordHashes, lean, mix64, partitions, ranges, shingles, words, written
 from .components import components
 
 SUBPARTS, LEFT_OUT = 3, 1
@@ -168,9 +168,9 @@ def _levels(rows: DataFrame) -> np.ndarray:
     salts = max(1, partitions(rows.sparkSession) // (2 * PIECES))
     plain = rows.toDF("piece", "packed")
     dealt = plain.repartitionById(2 * PIECES * salts, F.col("piece") * salts + F.pmod(F.xxhash64("packed"), F.lit(salts)).cast("int"))
-    met = dealt.mapInArrow(some, "piece int, packed binary").repartitionById(2 * PIECES, F.col("piece"))
+    met = dealt.mapInArrow(lean(some), "piece int, packed binary").repartitionById(2 * PIECES, F.col("piece"))
     levels = np.zeros((2, PIECES, size), np.uint8)
-    for piece, at, level in met.mapInArrow(gather, "piece int, at binary, levels binary").collect():
+    for piece, at, level in met.mapInArrow(lean(gather), "piece int, at binary, levels binary").collect():
         levels[piece // PIECES, piece % PIECES, np.frombuffer(bytes(at), "<i4")] = np.frombuffer(bytes(level), np.uint8)
     return levels.reshape(2, -1)
 
@@ -212,7 +212,7 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         if many:
             yield from common()
 
-    found = written(_id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, print binary, head long, piece int"), "sets")
+    found = written(_id_and_text(docs).mapInArrow(lean(run), "doc_id long, n_shingles long, print binary, head long, piece int"), "sets")
     return found.where("piece IS NULL").drop("piece"), _levels(found.where("piece IS NOT NULL").select("piece", "print"))
 
 
@@ -255,7 +255,7 @@ def levels_among(sets: DataFrame, count: int, together: int = 16_384) -> np.ndar
             yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "packed"])
 
     parts = max(1, -(-count // together))
-    return _levels(sets.repartition(parts, "doc_id").mapInArrow(run, "piece int, packed binary"))
+    return _levels(sets.repartition(parts, "doc_id").mapInArrow(lean(run), "piece int, packed binary"))
 
 
 def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -363,9 +363,9 @@ def star_links(rows: DataFrame, read, levels: np.ndarray, n: int) -> DataFrame:
             yield pa.record_batch([pa.array(np.zeros(len(each), np.int32)), pa.array(each), pa.array(np.bincount(index, x[:, 1], len(each)).astype(np.int64))], ["kind", "a", "b"])
             yield pa.record_batch([pa.array(np.ones(len(links), np.int32)), pa.array(links[:, 0]), pa.array(links[:, 1])], ["kind", "a", "b"])
 
-    sent = rows.mapInArrow(emit, "home int, sigs binary, at binary, ids binary, links binary")
-    met = sent.repartitionById(n, F.col("home")).mapInArrow(gather, "home int, shared binary, edges binary")
-    return written(met.repartitionById(n, F.col("home")).mapInArrow(summed, "kind int, a long, b long"), "stars")
+    sent = rows.mapInArrow(lean(emit), "home int, sigs binary, at binary, ids binary, links binary")
+    met = sent.repartitionById(n, F.col("home")).mapInArrow(lean(gather), "home int, shared binary, edges binary")
+    return written(met.repartitionById(n, F.col("home")).mapInArrow(lean(summed), "kind int, a long, b long"), "stars")
 
 
 def _forest(links: np.ndarray) -> np.ndarray:
@@ -397,7 +397,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sets.append(found.tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "features"])
 
-    return _id_and_text(docs).mapInArrow(run, "doc_id long, features binary").join(wanted.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("doc_id", "component", "features")
+    return _id_and_text(docs).mapInArrow(lean(run), "doc_id long, features binary").join(wanted.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("doc_id", "component", "features")
 
 
 def joined(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -467,7 +467,7 @@ def cluster_links(placed: DataFrame, percent: int) -> DataFrame:
                 held.append((d, b, x))
         yield from done()
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(lean(compare), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from repovitals.llm import token_count, token_huffman
-from repovitals.llm.common import new_path
-from repovitals.llm.tokens import encoder
+from repovitals.llm.common import lean, new_path
+from repovitals.llm.tokens import _encoders, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -78,3 +78,10 @@ def test_sentencepiece_counts(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     docs = spark.createDataFrame([(0, "Some words"), (1, None), (2, "")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(docs, path).collect()} == {0: len(model.encode("Some words")), 1: 0, 2: 0}
+
+
+def test_tasks_of_other_operators_let_the_tokenizer_s_cache_go():
+    encoder(PATH).codes("some words to keep")
+    task = lean(lambda batches: (x + 1 for x in batches))
+    assert _encoders and list(task([1, 2])) == [2, 3] and not _encoders
+    assert np.frombuffer(encoder(PATH).encode("a b"), "<u4").tolist() == PLAIN.encode("a b", add_special_tokens=False).ids
