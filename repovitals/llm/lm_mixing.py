@@ -33,8 +33,8 @@ ranges of hashes, where all units' counts meet; each range answers every unit
 with totals, so that a run crosses the network once in each direction and nothing
 of the tables is sent to all. Runs are 44-bit hashes, words 64-bit ones.
 
-The start (tables of the gates, weights, refinement, spelling) is learned on one
-training fold, dealt by a hash of its rows to groups, each group in units of its
+The start (tables of the gates, weights, refinement, spelling) is learned on all
+training texts, dealt by a hash of their rows to groups, each group in units of its
 own, where every text is scored against the counts of the unit's other texts.
 Sums of what the units learned are integers, so they don't depend on the order
 of adding. They have a fixed size: a few thousand contexts.
@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mix64, ranges, words
+from .common import fold, lean, mix64, ranges, words
 
 FOLDS, UNIT, LEARN_UNIT = 7, 4_000_000, 1_500_000
 RUN_BITS = 44  # of a run's hash
@@ -323,48 +323,77 @@ def run_mixer(facts: Facts, start: Start) -> tuple[np.ndarray, np.ndarray, np.nd
 # Spelling.
 
 
+@dataclass
+class Letters:
+    """Bytes of words and of the space after each, each distinct one with the three before it taken once."""
+
+    word: np.ndarray  # of each byte
+    at: np.ndarray  # its place in grams
+    grams: np.ndarray  # a byte, and the three before it in the word in the higher bits
+    counts: np.ndarray  # of grams
+    n: int  # words
+
+    @classmethod
+    def of(cls, names: list[bytes]) -> Letters:
+        sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
+        data = np.frombuffer(b" ".join(names) + b" ", np.uint8).astype(np.uint32)
+        place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        grams = data.copy()
+        for k in (1, 2, 3):
+            grams[k:] |= np.where(place[k:] >= k, data[:-k], np.uint32(0)) << np.uint32(8 * k)
+        grams, at, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        return cls(np.repeat(np.arange(len(names)), sizes), at, grams, counts, len(names))
+
+    def bits(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bit, slots (3, bits)) of the eight bits of each gram's byte."""
+        b1, b2, b3 = ((self.grams >> np.uint32(8 * k)) & np.uint32(255) for k in (1, 2, 3))
+        contexts = [b1 + np.uint32(1 << 24), b1 | b2 << np.uint32(8) | np.uint32(2 << 24), b1 | b2 << np.uint32(8) | b3 << np.uint32(16)]
+        depth = np.tile(np.arange(8, dtype=np.uint32), len(self.grams))
+        byte = np.repeat(self.grams & np.uint32(255), 8)
+        node = (np.uint32(1) << depth) | (byte >> (np.uint32(8) - depth))
+        slots = []
+        for context in contexts:
+            x = np.repeat(context * np.uint32(0x9E3779B1), 8) ^ node * np.uint32(0x85EBCA6B)
+            x = (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+            slots.append((x ^ (x >> np.uint32(13))) >> np.uint32(32 - SPELL_BITS))
+        return ((byte >> (np.uint32(7) - depth)) & 1).astype(np.int64), np.stack(slots).astype(np.int64)
+
+    def counted(self, bit: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Zeros and ones that each context's bits were: (3, slots, 2)."""
+        many = np.repeat(self.counts, 8)
+        return np.stack([np.bincount(s * 2 + bit, many, 2 << SPELL_BITS).reshape(-1, 2) for s in slots])
+
+    def spelled(self, bit: np.ndarray, slots: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Natural log of each word's chance."""
+        top, low = np.zeros(len(bit)), np.full(len(bit), 0.02)
+        for j, trust in enumerate((0.5, 1.0, 2.0)):
+            shut, open_ = tables[j, :, 0], tables[j, :, 1]
+            w = trust * np.sqrt(shut + open_)  # a context weighs by what it has seen
+            top += (w * np.log((open_ + 0.4) / (shut + 0.4)))[slots[j]]
+            low += w[slots[j]]
+        z = np.clip(top / low, -TOP, TOP)
+        each = -np.logaddexp(0, np.where(bit == 1, -z, z)).reshape(-1, 8).sum(1)
+        return np.bincount(self.word, each[self.at], self.n)
+
+
 def spelled_bits(names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, bit, slots (3, bits)) of every bit of words and of the space after each."""
-    sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
-    data = np.frombuffer(b" ".join(names) + b" ", np.uint8).astype(np.uint32)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before = lambda k: np.where(place >= k, np.concatenate([np.zeros(k, np.uint32), data[:-k]])[: len(data)], np.uint32(0))
-    b1, b2, b3 = before(1), before(2), before(3)
-    contexts = [b1 + np.uint32(1 << 24), b1 | b2 << np.uint32(8) | np.uint32(2 << 24), b1 | b2 << np.uint32(8) | b3 << np.uint32(16)]
-    word = np.repeat(np.arange(len(names)), sizes)
-    depth = np.tile(np.arange(8, dtype=np.uint32), len(data))
-    byte = np.repeat(data, 8)
-    node = (np.uint32(1) << depth) | (byte >> (np.uint32(8) - depth))
-    slots = []
-    for context in contexts:
-        x = np.repeat(context * np.uint32(0x9E3779B1), 8) ^ node * np.uint32(0x85EBCA6B)
-        x = (x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-        slots.append((x ^ (x >> np.uint32(13))) >> np.uint32(32 - SPELL_BITS))
-    return np.repeat(word, 8), ((byte >> (np.uint32(7) - depth)) & 1).astype(np.int64), np.stack(slots).astype(np.int64)
-
-
-def _spelled(n: int, word: np.ndarray, bit: np.ndarray, slots: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Natural log of the chance of each of n words by its spelled_bits()."""
-    top, low = np.zeros(len(bit)), np.full(len(bit), 0.02)
-    for j, trust in enumerate((0.5, 1.0, 2.0)):
-        shut, open_ = tables[j, :, 0], tables[j, :, 1]
-        w = trust * np.sqrt(shut + open_)  # a context weighs by what it has seen
-        top += (w * np.log((open_ + 0.4) / (shut + 0.4)))[slots[j]]
-        low += w[slots[j]]
-    z = np.clip(top / low, -TOP, TOP)
-    return -np.bincount(word, np.logaddexp(0, np.where(bit == 1, -z, z)), n)
+    """(word, bit, slots (3, bits)) of every bit of words and of the space after each, in order."""
+    letters = Letters.of(names)
+    bit, slots = letters.bits()
+    every = (letters.at[:, None] * 8 + np.arange(8)).ravel()
+    return np.repeat(letters.word, 8), bit[every], slots[:, every]
 
 
 def spell(names: list[bytes], tables: np.ndarray) -> np.ndarray:
     """Natural log of the chance of each word's spelling."""
     out = np.zeros(len(names))
-    for lo in range(0, len(names), 20_000):
-        some = names[lo : lo + 20_000]
-        out[lo : lo + len(some)] = _spelled(len(some), *spelled_bits(some), tables)
+    for lo in range(0, len(names), 100_000):
+        some = Letters.of(names[lo : lo + 100_000])
+        out[lo : lo + some.n] = some.spelled(*some.bits(), tables)
     return out
 
 
-# The start, learned on one fold.
+# The start, learned on all training texts.
 
 
 def learn_unit(tokens: Tokens) -> np.ndarray:
@@ -381,9 +410,10 @@ def learn_unit(tokens: Tokens) -> np.ndarray:
     left = others(np.concatenate([doc, doc[later]]), np.concatenate([runs.pair_at, runs.triple_at[later]]), runs.counts)
     pair, triple = left[: len(doc)], np.zeros(len(doc), np.int64)
     triple[later] = left[len(doc) :]
-    letters, bit, slots = spelled_bits(tokens.names)
-    spelling = np.stack([np.bincount(s * 2 + bit, minlength=2 << SPELL_BITS).reshape(-1, 2) for s in slots])
-    spelled = _spelled(len(tokens.names), letters, bit, slots, spelling * 0.8)[tokens.ids]
+    letters = Letters.of(tokens.names)
+    bit, slots = letters.bits()
+    spelling = letters.counted(bit, slots)
+    spelled = letters.spelled(bit, slots, spelling * 0.8)[tokens.ids]
     facts = Facts.of(tokens, runs.first, runs.before, word, pair, triple, len(tokens.lens) - 1, len(doc) - np.repeat(tokens.lens, tokens.lens), spelled)
     _, i1, i2, i3 = facts.contexts()
     gates = np.full(facts.seen.shape, 0.5)
@@ -427,9 +457,9 @@ def start_of(sums: np.ndarray) -> Start:
 SUMS = sum(Start.SIZES) * 2 + GATES * CELLS * (INPUTS + 1) + GATES * BUCKETS * 2 + 6 * (1 << SPELL_BITS)
 
 
-def learned(docs: DataFrame, held_fold: int, tune_fold: int) -> Start:
-    """The start from the tuning fold's texts."""
-    some = _prepared(docs).where((F.col("fold") == tune_fold) & (F.col("fold") != held_fold)).select("doc_id", "text")
+def learned(docs: DataFrame, held_fold: int, _tune_fold: int | None = None) -> Start:
+    """The start from all training texts. _tune_fold, once the only fold learned from, is without effect."""
+    some = _prepared(docs).where(F.col("fold") != held_fold).select("doc_id", "text")
     groups = max(1, -(-some.count() // GROUP_ROWS))
     dealt = some.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
 
@@ -454,7 +484,7 @@ def learned(docs: DataFrame, held_fold: int, tune_fold: int) -> Start:
             yield pa.record_batch([pa.array(used), pa.array(total[used])], ["at", "value"])
 
     ordered = dealt.repartition("grp").sortWithinPartitions("grp", "doc_id", "text").select("grp", "text")
-    found = ordered.mapInArrow(learn, "at long, value long").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    found = ordered.mapInArrow(lean(learn), "at long, value long").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
     sums = np.zeros(SUMS, np.int64)
     sums[np.asarray(found.column("at"))] = np.asarray(found.column("value"))
     return start_of(sums) if found.num_rows else Start.plain()
@@ -567,11 +597,12 @@ def _units(batches: Iterator[pa.RecordBatch], held_fold: int) -> Iterator[tuple[
     yield from ((out, rows) for out, rows in held.items() if rows)
 
 
-def scores(docs: DataFrame, held_fold: int = 2, tune_fold: int = 6) -> DataFrame:
+def scores(docs: DataFrame, held_fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     n = ranges(docs, RANGE_BYTES)
-    kept = spark.sparkContext.broadcast(learned(docs, held_fold, tune_fold))
+    kept = spark.sparkContext.broadcast(learned(docs, held_fold))
+    spark._jvm.System.gc()  # has the files go that learning exchanged
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -632,9 +663,9 @@ def scores(docs: DataFrame, held_fold: int = 2, tune_fold: int = 6) -> DataFrame
                     answers[kind].append(unpress_counts(a))
         yield from done()
 
-    sent = _prepared(docs).mapInArrow(send, _SENT).repartitionById(n, F.col("home"))
-    met = sent.mapInArrow(answer, _SENT).repartitionById(n, F.col("home")).sortWithinPartitions("unit", "kind", "nth")
-    return met.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    sent = _prepared(docs).mapInArrow(lean(send), _SENT).repartitionById(n, F.col("home"))
+    met = sent.mapInArrow(lean(answer), _SENT).repartitionById(n, F.col("home")).sortWithinPartitions("unit", "kind", "nth")
+    return met.mapInArrow(lean(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def _scored(unit: tuple, answers: dict[int, list[np.ndarray]], start: Start, total: int, distinct: int) -> pa.RecordBatch:

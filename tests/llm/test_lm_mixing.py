@@ -220,3 +220,10 @@ def test_packing():
         table.add(keys[lo : lo + 300], np.full(len(keys[lo : lo + 300]), 1 << 33))
     found = lm._totals(table.done(), np.append(keys, np.uint64(1)))
     assert found[0] == 1 << 33 and found[500] == 3 << 33 and found[-1] == 0
+
+
+def test_the_start_is_learned_from_every_training_text(spark):
+    data = [(d, t) for d, t in rows() if d is not None and zlib.crc32(str(d).encode()) % 7 != 6]  # none of the fold that once was the only one
+    start = lm.learned(spark.createDataFrame(data, "doc_id long, text string"), 2)
+    names = {w for d, t in data if not held(d) for w in tokens(t)}
+    assert start.spelling[0].sum() == start.spelling[2].sum() == 8 * sum(len(w) + 1 for w in names)
