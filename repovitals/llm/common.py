@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -146,3 +147,12 @@ def lean(run):
         yield from run(batches)
 
     return task
+
+
+def exchanges_go(spark: SparkSession) -> None:
+    """Has Spark delete the files of exchanges that nothing refers to any more: it does so when the JVM collects garbage,
+    after Python has collected the frames; in a trial the third round did it."""
+    for _ in range(4):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

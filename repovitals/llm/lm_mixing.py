@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lean, mix64, ranges, words
+from .common import exchanges_go, fold, lean, mix64, ranges, words
 
 FOLDS, UNIT, LEARN_UNIT = 7, 4_000_000, 1_500_000
 RUN_BITS = 44  # of a run's hash
@@ -602,7 +602,7 @@ def scores(docs: DataFrame, held_fold: int = 2) -> DataFrame:
     spark = docs.sparkSession
     n = ranges(docs, RANGE_BYTES)
     kept = spark.sparkContext.broadcast(learned(docs, held_fold))
-    spark._jvm.System.gc()  # has the files go that learning exchanged
+    exchanges_go(spark)  # those of learning
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
