@@ -308,3 +308,11 @@ def test_a_signal_without_magnitude_is_not_certain(spark):
     deltas = spark.createDataFrame([("i1", "x", 0.0), ("i2", "x", 0.4)], "item string, signal string, delta double")
     answered = spark.createDataFrame([("i1", "a")], "item string, answer string")
     assert one(elicitation.next_item(deltas, answered)) == {"item": "i2", "gain": pytest.approx(0.4 * (0.5 + 1))}
+
+
+def test_an_observation_scores_each_signal_once(spark):
+    files = spark.createDataFrame([("f", "p", 30, 10)], "file string, package string, complexity int, loc int")
+    seen = builtin.observe({"files": files})
+    for name in ("results", "categories", "weighted_mean", "readiness", "minimum"):
+        read = seen[name].inputFiles()
+        assert read and all("/results-" in x for x in read), name
