@@ -63,6 +63,8 @@ FOLDS, UNIT, LEARN_UNIT = 7, 4_000_000, 1_500_000
 RUN_BITS = 44  # of a run's hash
 #: Tokens that are mixed together, but for a longer text; more would only take more memory.
 TOGETHER = 150_000
+#: Tokens whose numbers a processor keeps at hand.
+BLOCK = 4096
 STEP, GROWTH = 32, 16
 GATES, INPUTS = 4, 4
 LEVELS = np.array([1, 2, 3, 5, 9, 33])  # how often a context was seen, in seven classes
@@ -70,14 +72,54 @@ CELLS = len(LEVELS) + 1
 SLOTS, SPELL_BITS = 4096, 16
 BUCKETS, TOP = 25, 8.0
 RATE, PRIOR, KEEP = 0.05, 4.0, 16.0
+NEAR = 50.0  # how firmly learned weights are held to those before, in bits
 GROUP_ROWS = 2048
 #: Input bytes for each range of hashes, at most, by Spark's own estimate of the table.
 RANGE_BYTES = 16 << 20
 END = b""
+_EMPTY_HASH = np.uint64(xxhash.xxh3_64_intdigest(b""))
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 _SCALE = float(1 << 20)
 
 
+# Sorting.
+
+
+def _in_order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in order, and where they were; equal ones as they came.
+
+    Key and place are sorted as one number, which is several times faster than an argsort; where both don't fit into 64
+    bits, keys of the same first bits are sorted apart."""
+    low = len(keys).bit_length()
+    kept = min(bits, 64 - low)
+    if bits - kept > 4:
+        at = np.argsort(keys, kind="stable")
+        return keys[at], at
+    down, mask = np.uint64(low), np.uint64((1 << low) - 1)
+    keys = keys.astype(np.uint64, copy=False)
+    if kept == bits:
+        both = np.sort(keys << down | np.arange(len(keys), dtype=np.uint64))
+        return both >> down, (both & mask).astype(np.int64)
+    first, parts, places = (keys >> np.uint64(kept)).astype(np.int64), [], []
+    for k in range(1 << bits - kept):
+        at = np.flatnonzero(first == k).astype(np.uint64)
+        both = np.sort((keys[at] & np.uint64((1 << kept) - 1)) << down | at)
+        parts.append(both >> down | np.uint64(k << kept))
+        places.append((both & mask).astype(np.int64))
+    return np.concatenate(parts), np.concatenate(places)
+
+
+def _distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, which of them each key is, their counts)."""
+    ordered, places = _in_order(keys, bits)
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts = np.flatnonzero(new)
+    at = np.empty(len(keys), np.int64)
+    at[places] = np.cumsum(new) - 1
+    return ordered[starts], at, np.diff(starts, append=len(keys))
+
+
 # Words and runs of words.
 
 
@@ -101,7 +143,9 @@ class Tokens:
         return cls(lens, np.fromiter(map(number.__getitem__, every), np.int32, len(every)), list(number))
 
     def hashes(self) -> np.ndarray:
-        return np.fromiter((xxhash.xxh3_64_intdigest(w or b" ") for w in self.names), np.uint64, len(self.names))
+        found = np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))
+        found[found == _EMPTY_HASH] = _END_HASH
+        return found
 
 
 @dataclass
@@ -134,7 +178,7 @@ class Runs:
         pair = mix64(h * np.uint64(0x9E3779B97F4A7C15) + mix64(one + np.uint64(2)))
         triple = mix64(pair + mix64(two + np.uint64(0x165667B19E3779F9)) + np.uint64(3))
         later = np.flatnonzero(~first)
-        keys, at, counts = np.unique(np.concatenate([pair, triple[later]]) >> np.uint64(64 - RUN_BITS), return_inverse=True, return_counts=True)
+        keys, at, counts = _distinct(np.concatenate([pair, triple[later]]) >> np.uint64(64 - RUN_BITS), RUN_BITS)
         pair_at = at[: len(h)]
         triple_at = pair_at.copy()
         triple_at[later] = at[len(h) :]
@@ -203,8 +247,7 @@ def _earlier(tokens: Tokens) -> np.ndarray:
     """How often each token's word came before in its text."""
     doc = np.repeat(np.arange(len(tokens.lens)), tokens.lens)
     pair = doc * np.int64(len(tokens.names)) + tokens.ids
-    order = np.argsort(pair, kind="stable")
-    sorted_ = pair[order]
+    sorted_, order = _in_order(pair, (len(tokens.lens) * len(tokens.names)).bit_length())
     start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     out = np.empty(len(pair), np.int64)
     out[order] = np.arange(len(pair)) - np.repeat(start, np.diff(np.append(start, len(pair))))
@@ -249,22 +292,37 @@ def logits_of(counts: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
 
 def posterior(facts: Facts, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log of each token's chance, r, reached): r[k] that expert k was the one, reached[k] that the chain came to it, times its trust."""
-    return _posterior(facts.trust, facts.share, facts.spelled, gates)
+    log_p, r, reached = np.empty(gates.shape[1]), np.empty(gates.shape), np.empty(gates.shape)
+    for lo in range(0, gates.shape[1], BLOCK):
+        at = slice(lo, lo + BLOCK)
+        log_p[at], r[:, at], reached[:, at] = _posterior(facts.trust[:, at], facts.share[:, at], facts.spelled[at], gates[:, at])
+    return log_p, r, reached
 
 
 def _posterior(trust: np.ndarray, share: np.ndarray, spelled: np.ndarray, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     open_ = gates * trust
-    left = np.ones((GATES + 1, open_.shape[1]))
-    np.cumprod(1 - open_, 0, out=left[1:])
-    said = left[:-1] * open_ * share
+    said = open_ * share
+    left = 1 - open_[0]
+    for k in range(1, GATES):
+        said[k] *= left
+        left *= 1 - open_[k]
     by_count = said.sum(0)
-    with np.errstate(divide="ignore"):
-        last = np.log(left[-1]) + spelled
-        log_p = np.where(by_count > 0, np.log(by_count + np.exp(last)), last)
-    p = np.exp(-log_p)
-    r = np.where(by_count > 0, said * np.minimum(p, 1e300), 0.0)
-    reached = r[::-1].cumsum(0)[::-1] + np.where(by_count > 0, np.exp(last - log_p), 1.0)
-    return log_p, r, np.minimum(reached, 1.0) * trust
+    known = by_count > 0
+    rest = left * np.exp(spelled)
+    p = np.where(known, by_count + rest, 1.0)
+    log_p = np.log(p)
+    if len(new := np.flatnonzero(~known)):  # in logs, as a long spelling's chance may be too small for a number
+        with np.errstate(divide="ignore"):
+            log_p[new] = np.log(left[new]) + spelled[new]
+    r = said
+    r /= p
+    reached = np.empty_like(r)
+    after = np.where(known, rest / p, 1.0)
+    for k in range(GATES - 1, -1, -1):
+        after = after + r[k]
+        np.minimum(after, 1.0, out=reached[k])
+    reached *= trust
+    return log_p, r, reached
 
 
 def run_mixer(facts: Facts, start: Start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,52 +330,94 @@ def run_mixer(facts: Facts, start: Start) -> tuple[np.ndarray, np.ndarray, np.nd
     n_docs = len(facts.lens)
     cell, i1, i2, i3 = facts.contexts()
     doc = np.repeat(np.arange(n_docs), facts.lens)
-    x = np.stack([t[i] for t, i in zip(start.tables, (i1, i2, i3), strict=True)]).astype(np.float32)
-    lean = PRIOR / (1 + np.exp(-x[0]))
     place = np.arange(len(doc)) - np.repeat(np.cumsum(facts.lens) - facts.lens, facts.lens)
     starts = chunk_starts(int(facts.lens.max(initial=0)))
     chunk = np.searchsorted(starts, place, "right") - 1
-    order = np.argsort(chunk, kind="stable")
+    order = _in_order(chunk, len(starts).bit_length())[1]
     cuts = np.searchsorted(chunk[order], np.arange(len(starts) + 1))
-    weights = np.tile(start.weights, (n_docs, 1, 1, 1)).reshape(n_docs, GATES * CELLS, INPUTS)
-    told = np.zeros((n_docs, GATES * CELLS, 2))
-    fine = np.zeros((n_docs, GATES * BUCKETS, 2))
-    gate, prior = np.arange(GATES)[:, None], start.refine.ravel()
+    x = [t[i[:, order]] for t, i in zip(start.tables, (i1, i2, i3), strict=True)]
+    lean, doc_at = PRIOR / (1 + np.exp(-x[0])), doc[order]
+    cell = cell[:, order] + np.arange(GATES)[:, None] * CELLS
+    trust, share, spelled = facts.trust[:, order], facts.share[:, order], facts.spelled[order]
+    # By input, or closed and open; of each text and its contexts.
+    weights = np.tile(start.weights.reshape(1, GATES * CELLS, INPUTS).transpose(2, 0, 1), (1, n_docs, 1))
+    told, fine = np.zeros((2, n_docs, GATES * CELLS)), np.zeros((2, n_docs, GATES * BUCKETS))
+    gate, prior = np.arange(GATES)[:, None] * BUCKETS, KEEP * start.refine.ravel()
     log_p = np.empty(len(doc))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        at = order[a:b]
-        mine = doc[at]
+        if a == b:
+            continue
+        mine = doc_at[a:b]
         new = np.concatenate([[True], mine[1:] != mine[:-1]])
         active, row = mine[new], np.cumsum(new) - 1
-        w, t, f = weights[active], told[active], fine[active]
-        k = row * (GATES * CELLS) + gate * CELLS + cell[:, at]
-        w_flat, t_flat = w.reshape(-1, INPUTS), t.reshape(-1, 2)
-        seen = t_flat[k]
-        own = lean[:, at]
-        inputs = [x[0][:, at], x[1][:, at], x[2][:, at], np.log((seen[..., 1] + own) / (seen[..., 0] + PRIOR - own))]
-        mixed = w_flat[k]
-        z = np.clip(sum(mixed[..., i] * inputs[i] for i in range(INPUTS)), -TOP + 1e-6, TOP - 1e-6)
+        w, t, f = (y[:, active].reshape(len(y), -1) for y in (weights, told, fine))
+        k = row * (GATES * CELLS) + cell[:, a:b]
+        own = lean[:, a:b]
+        inputs = [x[0][:, a:b], x[1][:, a:b], x[2][:, a:b], np.log((t[1][k] + own) / (t[0][k] + (PRIOR - own)))]
+        z = w[0][k] * inputs[0]
+        for i in range(1, INPUTS):
+            z += w[i][k] * inputs[i]
+        np.clip(z, -TOP + 1e-6, TOP - 1e-6, out=z)
         spot = (z + TOP) * ((BUCKETS - 1) / (2 * TOP))
         low = spot.astype(np.int64)
         part = spot - low
-        b_in = gate * BUCKETS + low
+        b_in = gate + low
         b_at = row * (GATES * BUCKETS) + b_in
-        f_flat = f.reshape(-1, 2)
-        ends = [(prior[b_in + i] * KEEP + f_flat[b_at + i, 1]) / (KEEP + f_flat[b_at + i].sum(-1)) for i in (0, 1)]
+        fit = (np.tile(prior, len(active)) + f[1]) / (KEEP + f[0] + f[1])
+        left = fit[b_at]
         squashed = 1 / (1 + np.exp(-z))
-        gates = (squashed + ends[0] * (1 - part) + ends[1] * part) / 2
-        log_p[at], r, reached = _posterior(facts.trust[:, at], facts.share[:, at], facts.spelled[at], gates)
+        gates = (squashed + left + (fit[b_at + 1] - left) * part) / 2
+        log_p[a:b], r, reached = _posterior(trust[:, a:b], share[:, a:b], spelled[a:b], gates)
         flat, near = k.ravel(), (b_at + (part >= 0.5)).ravel()
-        error = (r - reached * squashed).ravel()
-        scale = RATE / np.sqrt(np.maximum(np.bincount(flat, minlength=len(w_flat)), 1))
+        error = r - reached * squashed
+        scale = RATE / np.sqrt(np.maximum(np.bincount(flat, minlength=w.shape[1]), 1))
         for i in range(INPUTS):
-            w_flat[:, i] += np.bincount(flat, error * inputs[i].ravel(), len(w_flat)) * scale
-        for size, index, table in ((len(t_flat), flat, t_flat), (len(f_flat), near, f_flat)):
-            table[:, 1] += np.bincount(index, r.ravel(), size)
-            table[:, 0] += np.bincount(index, np.maximum(reached - r, 0).ravel(), size)
-        weights[active], told[active], fine[active] = w, t, f
-    sums = np.bincount(doc, log_p, n_docs)
-    return sums, weights.reshape(n_docs, GATES, CELLS, INPUTS), fine.sum(0).reshape(GATES, BUCKETS, 2)
+            w[i] += np.bincount(flat, (error * inputs[i]).ravel(), w.shape[1]) * scale
+        opened, closed = r.ravel(), np.maximum(reached - r, 0).ravel()
+        for index, table in ((flat, t), (near, f)):
+            table[1] += np.bincount(index, opened, table.shape[1])
+            table[0] += np.bincount(index, closed, table.shape[1])
+        for y, now in ((weights, w), (told, t), (fine, f)):
+            y[:, active] = now.reshape(len(y), len(active), -1)
+    sums = np.bincount(doc_at, log_p, n_docs)
+    return sums, weights.transpose(1, 2, 0).reshape(n_docs, GATES, CELLS, INPUTS), fine.sum(1).reshape(2, GATES, BUCKETS).transpose(1, 2, 0)
+
+
+def fitted(facts: Facts, contexts: tuple[np.ndarray, ...], start: Start) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, refinement counts of each gate) for all texts at once, from those of start.
+
+    Weights move by one Newton step, in each gate and class of its own. As a text begins, its adaptive input is the first
+    predictor's, so both share that one's weight."""
+    cell, *indices = contexts
+    gate, size = np.arange(GATES)[:, None], GATES * CELLS
+    few = start.weights.reshape(size, INPUTS)[:, :3] + start.weights.reshape(size, INPUTS)[:, 3:] * [1, 0, 0]
+    slope, bend, refine = np.zeros((size, 3)), np.zeros((size, 3, 3)), np.zeros((2, GATES * BUCKETS))
+
+    def blocks(w: np.ndarray) -> Iterator[tuple]:
+        for lo in range(0, cell.shape[1], BLOCK):
+            at = slice(lo, lo + BLOCK)
+            k = gate * CELLS + cell[:, at]
+            x = [t[i[:, at]] for t, i in zip(start.tables, indices, strict=True)]
+            z = np.clip(sum(w[:, i][k] * x[i] for i in range(3)), -TOP + 1e-6, TOP - 1e-6)
+            p = 1 / (1 + np.exp(-z))
+            _, r, reached = _posterior(facts.trust[:, at], facts.share[:, at], facts.spelled[at], p)
+            yield k.ravel(), x, z, p, r, reached
+
+    for k, x, _, p, r, reached in blocks(few):
+        error, firm = r - reached * p, reached * p * (1 - p)
+        for i in range(3):
+            slope[:, i] += np.bincount(k, (error * x[i]).ravel(), size)
+            each = firm * x[i]
+            for j in range(i + 1):
+                bend[:, i, j] += np.bincount(k, (each * x[j]).ravel(), size)
+    bend += np.tril(bend, -1).transpose(0, 2, 1) + NEAR * np.eye(3)
+    few = np.clip(few + np.linalg.solve(bend, slope[..., None])[..., 0], -0.5, 2.0)
+    for _, _, z, _, r, reached in blocks(few):
+        near = (gate * BUCKETS + np.rint((z + TOP) * ((BUCKETS - 1) / (2 * TOP))).astype(np.int64)).ravel()
+        refine[0] += np.bincount(near, np.maximum(reached - r, 0).ravel(), GATES * BUCKETS)
+        refine[1] += np.bincount(near, r.ravel(), GATES * BUCKETS)
+    weights = np.stack([few[:, 0] / 2, few[:, 1], few[:, 2], few[:, 0] / 2], 1)
+    return weights.reshape(GATES, CELLS, INPUTS), refine.reshape(2, GATES, BUCKETS).transpose(1, 2, 0)
 
 
 # Spelling.
@@ -341,7 +441,8 @@ class Letters:
         grams = data.copy()
         for k in (1, 2, 3):
             grams[k:] |= np.where(place[k:] >= k, data[:-k], np.uint32(0)) << np.uint32(8 * k)
-        grams, at, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        grams, at, counts = _distinct(grams, 32)
+        grams = grams.astype(np.uint32)
         return cls(np.repeat(np.arange(len(names)), sizes), at, grams, counts, len(names))
 
     def bits(self) -> tuple[np.ndarray, np.ndarray]:
@@ -402,7 +503,7 @@ def learn_unit(tokens: Tokens) -> np.ndarray:
     doc = np.repeat(np.arange(len(tokens.lens)), tokens.lens)
 
     def others(docs: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        _, index, own = np.unique(docs * np.int64(len(counts)) + at, return_inverse=True, return_counts=True)
+        _, index, own = _distinct(docs * np.int64(len(counts)) + at, (len(tokens.lens) * len(counts)).bit_length())
         return counts[at] - own[index]
 
     word = others(doc, runs.word_at, runs.word_counts)
@@ -415,7 +516,7 @@ def learn_unit(tokens: Tokens) -> np.ndarray:
     spelling = letters.counted(bit, slots)
     spelled = letters.spelled(bit, slots, spelling * 0.8)[tokens.ids]
     facts = Facts.of(tokens, runs.first, runs.before, word, pair, triple, len(tokens.lens) - 1, len(doc) - np.repeat(tokens.lens, tokens.lens), spelled)
-    _, i1, i2, i3 = facts.contexts()
+    cell, i1, i2, i3 = contexts = facts.contexts()
     gates = np.full(facts.seen.shape, 0.5)
     def counted(i: np.ndarray, n: int, r: np.ndarray, reached: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(i.ravel(), v.ravel(), n) for v in (np.maximum(reached - r, 0), r)], 1)
@@ -427,11 +528,9 @@ def learn_unit(tokens: Tokens) -> np.ndarray:
     tables = [counted(i, n, r, reached) for i, n in zip((i1, i2, i3), Start.SIZES, strict=True)]
     start = Start.plain()
     start.tables = [logits_of(t) for t in tables]
-    _, weights, refine = run_mixer(facts, start)
-    cell = np.searchsorted(LEVELS, facts.seen.ravel(), "right").reshape(facts.seen.shape)
-    k = doc * (GATES * CELLS) + np.arange(GATES)[:, None] * CELLS + cell
-    many = np.bincount(k.ravel(), minlength=len(tokens.lens) * GATES * CELLS).reshape(len(tokens.lens), GATES, CELLS)
-    parts = [*(t.ravel() for t in tables), (weights * many[..., None]).sum(0).ravel(), many.sum(0).ravel(), refine.ravel(), spelling.ravel()]
+    weights, refine = fitted(facts, contexts, start)
+    many = np.bincount((np.arange(GATES)[:, None] * CELLS + cell).ravel(), minlength=GATES * CELLS).reshape(GATES, CELLS)
+    parts = [*(t.ravel() for t in tables), (weights * many[..., None]).ravel(), many.ravel(), refine.ravel(), spelling.ravel()]
     return np.rint(np.concatenate(parts) * _SCALE).astype(np.int64)
 
 
@@ -531,13 +630,12 @@ def unpress_counts(x: bytes) -> np.ndarray:
     return out
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _merged(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     if not held:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys, order = _in_order(keys, bits)
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[at], np.add.reduceat(counts[order], at)
 
@@ -545,19 +643,19 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 class _Sums:
     """A table of keys and counts that is added to in parts."""
 
-    def __init__(self):
-        self.held, self.size, self.limit = [], 0, 2_000_000
+    def __init__(self, bits: int = 64):
+        self.held, self.size, self.limit, self.bits = [], 0, 2_000_000, bits
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.held.append((keys, counts))
         self.size += len(keys)
         if self.size > self.limit:
-            self.held = [_merged(self.held)]
+            self.held = [_merged(self.held, self.bits)]
             self.size = len(self.held[0][0])
             self.limit = max(self.limit, 2 * self.size)
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
-        return _merged(self.held)
+        return _merged(self.held, self.bits)
 
 
 def _totals(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -623,7 +721,7 @@ def scores(docs: DataFrame, held_fold: int = 2) -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts pass; all counts of this range are added up, then every unit is told its totals, and every home the range's sums."""
-        sums, asked = {WORDS: _Sums(), RUNS: _Sums()}, []
+        sums, asked = {WORDS: _Sums(), RUNS: _Sums(RUN_BITS)}, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == TEXTS:

@@ -227,3 +227,14 @@ def test_the_start_is_learned_from_every_training_text(spark):
     start = lm.learned(spark.createDataFrame(data, "doc_id long, text string"), 2)
     names = {w for d, t in data if not held(d) for w in tokens(t)}
     assert start.spelling[0].sum() == start.spelling[2].sum() == 8 * sum(len(w) + 1 for w in names)
+
+
+def test_packed_sorts_are_those_of_numpy():
+    rng = np.random.default_rng(5)
+    for bits, n in ((44, 5000), (53, 5000), (64, 5000), (3, 5000), (64, 0)):  # one sort, sorts by first bits, an argsort
+        keys = rng.integers(0, 1 << bits, n, np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        keys[: n // 2] = keys[n - n // 2 :]
+        ordered, places = lm._in_order(keys, bits)
+        assert (places == np.argsort(keys, kind="stable")).all() and (ordered == np.sort(keys)).all()
+        for got, wanted in zip(lm._distinct(keys, bits), np.unique(keys, return_inverse=True, return_counts=True), strict=True):
+            assert (got == wanted).all()
