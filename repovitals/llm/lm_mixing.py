@@ -139,8 +139,8 @@ class Tokens:
             every += found
             every.append(END)
             lens[i] = len(found) + 1
-        number = {w: i for i, w in enumerate(dict.fromkeys(every))}
-        return cls(lens, np.fromiter(map(number.__getitem__, every), np.int32, len(every)), list(number))
+        found = pa.array(every, pa.large_binary()).dictionary_encode()  # in the order of first occurrence
+        return cls(lens, np.asarray(found.indices, np.int32), found.dictionary.to_pylist())
 
     def hashes(self) -> np.ndarray:
         found = np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))
@@ -521,9 +521,8 @@ def learn_unit(tokens: Tokens) -> np.ndarray:
     def counted(i: np.ndarray, n: int, r: np.ndarray, reached: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(i.ravel(), v.ravel(), n) for v in (np.maximum(reached - r, 0), r)], 1)
 
-    for _ in range(2):
-        _, r, reached = posterior(facts, gates)
-        gates = 1 / (1 + np.exp(-logits_of(counted(i1, Start.SIZES[0], r, reached))))[i1]
+    _, r, reached = posterior(facts, gates)
+    gates = (1 / (1 + np.exp(-logits_of(counted(i1, Start.SIZES[0], r, reached)))))[i1]
     _, r, reached = posterior(facts, gates)
     tables = [counted(i, n, r, reached) for i, n in zip((i1, i2, i3), Start.SIZES, strict=True)]
     start = Start.plain()
