@@ -51,13 +51,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exchanges_go, fold, lean, mix64, ranges, words
+from .common import exchanges_go, fold, lean, mix64, ranges
 
 FOLDS, UNIT, LEARN_UNIT = 7, 4_000_000, 1_500_000
 RUN_BITS = 44  # of a run's hash
@@ -133,14 +134,17 @@ class Tokens:
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Tokens:
-        every, lens = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            found = words(text)
-            every += found
-            every.append(END)
-            lens[i] = len(found) + 1
-        found = pa.array(every, pa.large_binary()).dictionary_encode()  # in the order of first occurrence
-        return cls(lens, np.asarray(found.indices, np.int32), found.dictionary.to_pylist())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))  # as words() does
+        ends, every = np.asarray(split.offsets)[1:] - split.offsets[0].as_py(), split.flatten()
+        empty = np.asarray(pc.equal(every, ""))  # beside white space at the ends of a text
+        found = every.cast(pa.large_binary()).dictionary_encode()  # in the order of first occurrence
+        ids, names = np.asarray(found.indices, np.int32), found.dictionary.to_pylist()
+        if END in names:
+            end = names.index(END)
+        else:
+            end, names = len(names), [*names, END]
+        ends = ends - np.cumsum(np.append(0, empty))[ends]
+        return cls(np.diff(ends, prepend=0) + 1, np.insert(ids[~empty], ends, end).astype(np.int32), names)
 
     def hashes(self) -> np.ndarray:
         found = np.fromiter(map(xxhash.xxh3_64_intdigest, self.names), np.uint64, len(self.names))
@@ -383,39 +387,46 @@ def run_mixer(facts: Facts, start: Start) -> tuple[np.ndarray, np.ndarray, np.nd
     return sums, weights.transpose(1, 2, 0).reshape(n_docs, GATES, CELLS, INPUTS), fine.sum(1).reshape(2, GATES, BUCKETS).transpose(1, 2, 0)
 
 
-def fitted(facts: Facts, contexts: tuple[np.ndarray, ...], start: Start) -> tuple[np.ndarray, np.ndarray]:
+def fitted(facts: Facts, contexts: tuple[np.ndarray, ...], start: Start, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weights, refinement counts of each gate) for all texts at once, from those of start.
 
     Weights move by one Newton step, in each gate and class of its own. As a text begins, its adaptive input is the first
-    predictor's, so both share that one's weight."""
+    predictor's, so both share that one's weight. may: which gates may open; the others' bits are certain and teach nothing."""
     cell, *indices = contexts
-    gate, size = np.arange(GATES)[:, None], GATES * CELLS
+    size = GATES * CELLS
     few = start.weights.reshape(size, INPUTS)[:, :3] + start.weights.reshape(size, INPUTS)[:, 3:] * [1, 0, 0]
     slope, bend, refine = np.zeros((size, 3)), np.zeros((size, 3, 3)), np.zeros((2, GATES * BUCKETS))
 
     def blocks(w: np.ndarray) -> Iterator[tuple]:
         for lo in range(0, cell.shape[1], BLOCK):
             at = slice(lo, lo + BLOCK)
-            k = gate * CELLS + cell[:, at]
-            x = [t[i[:, at]] for t, i in zip(start.tables, indices, strict=True)]
-            z = np.clip(sum(w[:, i][k] * x[i] for i in range(3)), -TOP + 1e-6, TOP - 1e-6)
+            which = np.flatnonzero(may[:, at])
+            gate = which // may[:, at].shape[1]
+            k = gate * CELLS + cell[:, at].ravel()[which]
+            x = [t[i[:, at].ravel()[which]] for t, i in zip(start.tables, indices, strict=True)]
+            z = w[0][k] * x[0]
+            for i in (1, 2):
+                z += w[i][k] * x[i]
+            np.clip(z, -TOP + 1e-6, TOP - 1e-6, out=z)
             p = 1 / (1 + np.exp(-z))
-            _, r, reached = _posterior(facts.trust[:, at], facts.share[:, at], facts.spelled[at], p)
-            yield k.ravel(), x, z, p, r, reached
+            gates = np.zeros(may[:, at].shape)
+            gates.ravel()[which] = p
+            _, r, reached = _posterior(facts.trust[:, at], facts.share[:, at], facts.spelled[at], gates)
+            yield k, gate, x, z, p, r.ravel()[which], reached.ravel()[which]
 
-    for k, x, _, p, r, reached in blocks(few):
+    for k, _, x, _, p, r, reached in blocks(np.ascontiguousarray(few.T)):
         error, firm = r - reached * p, reached * p * (1 - p)
         for i in range(3):
-            slope[:, i] += np.bincount(k, (error * x[i]).ravel(), size)
+            slope[:, i] += np.bincount(k, error * x[i], size)
             each = firm * x[i]
             for j in range(i + 1):
-                bend[:, i, j] += np.bincount(k, (each * x[j]).ravel(), size)
+                bend[:, i, j] += np.bincount(k, each * x[j], size)
     bend += np.tril(bend, -1).transpose(0, 2, 1) + NEAR * np.eye(3)
     few = np.clip(few + np.linalg.solve(bend, slope[..., None])[..., 0], -0.5, 2.0)
-    for _, _, z, _, r, reached in blocks(few):
-        near = (gate * BUCKETS + np.rint((z + TOP) * ((BUCKETS - 1) / (2 * TOP))).astype(np.int64)).ravel()
-        refine[0] += np.bincount(near, np.maximum(reached - r, 0).ravel(), GATES * BUCKETS)
-        refine[1] += np.bincount(near, r.ravel(), GATES * BUCKETS)
+    for _, gate, _, z, _, r, reached in blocks(np.ascontiguousarray(few.T)):
+        near = gate * BUCKETS + np.rint((z + TOP) * ((BUCKETS - 1) / (2 * TOP))).astype(np.int64)
+        refine[0] += np.bincount(near, np.maximum(reached - r, 0), GATES * BUCKETS)
+        refine[1] += np.bincount(near, r, GATES * BUCKETS)
     weights = np.stack([few[:, 0] / 2, few[:, 1], few[:, 2], few[:, 0] / 2], 1)
     return weights.reshape(GATES, CELLS, INPUTS), refine.reshape(2, GATES, BUCKETS).transpose(1, 2, 0)
 
@@ -517,17 +528,27 @@ def learn_unit(tokens: Tokens) -> np.ndarray:
     spelled = letters.spelled(bit, slots, spelling * 0.8)[tokens.ids]
     facts = Facts.of(tokens, runs.first, runs.before, word, pair, triple, len(tokens.lens) - 1, len(doc) - np.repeat(tokens.lens, tokens.lens), spelled)
     cell, i1, i2, i3 = contexts = facts.contexts()
-    gates = np.full(facts.seen.shape, 0.5)
-    def counted(i: np.ndarray, n: int, r: np.ndarray, reached: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(i.ravel(), v.ravel(), n) for v in (np.maximum(reached - r, 0), r)], 1)
-
-    _, r, reached = posterior(facts, gates)
-    gates = (1 / (1 + np.exp(-logits_of(counted(i1, Start.SIZES[0], r, reached)))))[i1]
-    _, r, reached = posterior(facts, gates)
-    tables = [counted(i, n, r, reached) for i, n in zip((i1, i2, i3), Start.SIZES, strict=True)]
+    may = facts.trust > 0
+    which = np.flatnonzero(may)
+    i1, i2, i3 = (i.ravel()[which] for i in (i1, i2, i3))
+    gates = np.zeros(facts.seen.shape)
+
+    def taught(p: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """(closed, open) of the gates that may open, when they do so by p."""
+        gates.ravel()[which] = p
+        _, r, reached = posterior(facts, gates)
+        r = r.ravel()[which]
+        return np.maximum(reached.ravel()[which] - r, 0), r
+
+    def counted(i: np.ndarray, n: int, bits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.stack([np.bincount(i, v, n) for v in bits], 1)
+
+    first = logits_of(counted(i1, Start.SIZES[0], taught(0.5)))
+    bits = taught((1 / (1 + np.exp(-first)))[i1])
+    tables = [counted(i, n, bits) for i, n in zip((i1, i2, i3), Start.SIZES, strict=True)]
     start = Start.plain()
     start.tables = [logits_of(t) for t in tables]
-    weights, refine = fitted(facts, contexts, start)
+    weights, refine = fitted(facts, contexts, start, may)
     many = np.bincount((np.arange(GATES)[:, None] * CELLS + cell).ravel(), minlength=GATES * CELLS).reshape(GATES, CELLS)
     parts = [*(t.ravel() for t in tables), (weights * many[..., None]).ravel(), many.ravel(), refine.ravel(), spelling.ravel()]
     return np.rint(np.concatenate(parts) * _SCALE).astype(np.int64)
@@ -629,32 +650,52 @@ def unpress_counts(x: bytes) -> np.ndarray:
     return out
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    if not held:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-    keys, order = _in_order(keys, bits)
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts[order], at)
+#: Keys that are added up at once.
+SUMMED = 1_000_000
 
 
 class _Sums:
-    """A table of keys and counts that is added to in parts."""
+    """Counts of keys that come in parts, added up over all parts."""
 
-    def __init__(self, bits: int = 64):
-        self.held, self.size, self.limit, self.bits = [], 0, 2_000_000, bits
+    def __init__(self):
+        self.keys, self.counts = [], []
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.held.append((keys, counts))
-        self.size += len(keys)
-        if self.size > self.limit:
-            self.held = [_merged(self.held, self.bits)]
-            self.size = len(self.held[0][0])
-            self.limit = max(self.limit, 2 * self.size)
+        self.keys.append(keys)
+        self.counts.append(counts.astype(np.min_scalar_type(int(counts.max(initial=0)))))
+
+    def _parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, starts of equal keys in them, those keys, their sums) of all keys, some ranges of keys at a time, in order."""
+        keys = np.concatenate(self.keys or [np.zeros(0, np.uint64)])
+        counts = np.concatenate(self.counts or [np.zeros(0, np.uint8)])
+        if not len(keys):
+            return
+        least = keys.min()
+        bits = int(keys.max() - least).bit_length()
+        apart = min(bits, (len(keys) // SUMMED).bit_length())
+        mine = (keys - least) >> np.uint64(bits - apart) if apart else None
+        for k in range(1 << apart):
+            at = np.flatnonzero(mine == np.uint64(k)) if apart else np.arange(len(keys))
+            if len(at):
+                some = keys[at]
+                low = some.min()
+                ordered, places = _in_order(some - low, int(some.max() - low).bit_length())
+                starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                at = at[places]
+                yield at, starts, ordered[starts] + low, np.add.reduceat(counts[at], starts, dtype=np.int64)
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
-        return _merged(self.held, self.bits)
+        """Sorted distinct keys and their sums."""
+        found = [(keys, sums) for _, _, keys, sums in self._parts()]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def told(self) -> tuple[list[np.ndarray], int, int]:
+        """(the sums of each part's keys, the sum of all, how many keys have one)."""
+        out, total, distinct = np.empty(sum(map(len, self.keys)), np.int64), 0, 0
+        for at, starts, _, sums in self._parts():
+            out[at] = np.repeat(sums, np.diff(starts, append=len(at)))
+            total, distinct = total + int(sums.sum()), distinct + int(np.count_nonzero(sums))
+        return np.split(out, np.cumsum([len(x) for x in self.keys])[:-1]) if self.keys else [], total, distinct
 
 
 def _totals(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -720,23 +761,23 @@ def scores(docs: DataFrame, held_fold: int = 2) -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts pass; all counts of this range are added up, then every unit is told its totals, and every home the range's sums."""
-        sums, asked = {WORDS: _Sums(), RUNS: _Sums(RUN_BITS)}, []
+        sums, asked = {WORDS: _Sums(), RUNS: _Sums()}, {WORDS: [], RUNS: []}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["kind"] == TEXTS:
+                if (kind := row["kind"]) == TEXTS:
                     yield _row(row["home"], row["unit"], TEXTS, 0, row["a"])
                 else:
-                    asked.append((row["unit"], row["kind"], row["nth"], row["a"]))
-                    if row["b"]:
-                        sums[row["kind"]].add(unpress_keys(row["a"]), unpress_counts(row["b"]))
-        if asked:
-            tables = {kind: x.done() for kind, x in sums.items()}
-            counts = tables[WORDS][1]
-            told = np.array([counts.sum(), len(counts)], np.int64).tobytes()
-            for home in range(n):
-                yield _row(home, -1 - asked[0][2], TEXTS, 0, told)
-            for unit, kind, nth, keys in asked:
-                yield _row(unit % n, unit, kind, nth, press_counts(_totals(tables[kind], unpress_keys(keys))))
+                    keys = unpress_keys(row["a"])
+                    sums[kind].add(keys, unpress_counts(row["b"]) if row["b"] else np.zeros(len(keys), np.uint8))
+                    asked[kind].append((row["unit"], row["nth"]))
+        for kind, units in asked.items():
+            found, total, distinct = sums.pop(kind).told()
+            if kind == WORDS:
+                told, nth = np.array([total, distinct], np.int64).tobytes(), next((k for x in asked.values() for _, k in x), None)
+                for home in range(n) if nth is not None else ():
+                    yield _row(home, -1 - nth, TEXTS, 0, told)
+            for (unit, nth), x in zip(units, found, strict=True):
+                yield _row(unit % n, unit, kind, nth, press_counts(x))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, total, distinct = kept.value, 0, 0

@@ -238,3 +238,31 @@ def test_packed_sorts_are_those_of_numpy():
         assert (places == np.argsort(keys, kind="stable")).all() and (ordered == np.sort(keys)).all()
         for got, wanted in zip(lm._distinct(keys, bits), np.unique(keys, return_inverse=True, return_counts=True), strict=True):
             assert (got == wanted).all()
+
+
+def test_sums_are_told_to_every_part_in_one_sort(monkeypatch):
+    monkeypatch.setattr(lm, "SUMMED", 50)  # ranges of keys apart
+    rng = np.random.default_rng(7)
+    for bits in (44, 63):
+        table, plain = lm._Sums(), {}
+        parts = [np.unique(rng.integers(0, 1 << bits, 60).astype(np.uint64) % np.uint64(997) << np.uint64(bits - 10)) for _ in range(20)]
+        for nth, keys in enumerate(parts):
+            counts = rng.integers(1, 1 << 40, len(keys)) * (nth % 3 > 0)  # a third only asks
+            table.add(keys, counts)
+            for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
+                plain[k] = plain.get(k, 0) + c
+        told, total, distinct = table.told()
+        assert [x.tolist() for x in told] == [[plain[k] for k in keys.tolist()] for keys in parts]
+        assert total == sum(plain.values()) and distinct == sum(c > 0 for c in plain.values())
+        keys, sums = table.done()
+        assert dict(zip(keys.tolist(), sums.tolist(), strict=True)) == plain and (np.diff(keys.astype(np.int64)) > 0).all()
+    assert lm._Sums().told() == ([], 0, 0)
+
+
+def test_arrow_splits_texts_as_python_does():
+    texts = [None, "", " ", "a", "  A b\x0bc\x1cd\x85e f\t\r\n\x0cÉ g ", "b\x00 B b", "\n", "x" * 300 + " a"]
+    found = lm.Tokens.of(texts)
+    expected = [[*(t or "").encode().lower().split(), lm.END] for t in texts]
+    assert found.lens.tolist() == [len(x) for x in expected]
+    assert [found.names[i] for i in found.ids] == [w for x in expected for w in x]
+    assert lm.Tokens.of([]).lens.tolist() == [] and lm.Tokens.of([None]).ids.tolist() == [0]
