@@ -110,10 +110,22 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of x in order, as np.unique gives them: by a sort, which takes a tenth of the time of its table."""
+    x = np.sort(x)
+    if not len(x):
+        return x
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:

@@ -35,6 +35,7 @@ dropped. An empty table gives no rows."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import zlib
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lean, mix64, partitions, ranges, shingles, words, written
+from .common import WordHashes, distinct, lean, mix64, partitions, ranges, shingles, words, written
 from .components import components
 
 SUBPARTS, LEFT_OUT = 3, 1
@@ -88,6 +89,13 @@ def places(features: np.ndarray) -> list[np.ndarray]:
     return [(mix64(features ^ np.uint64(salt)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64) for salt in (0x2545F4914F6CDD1D, 0x6C62272E07BB0142)]
 
 
+@functools.cache
+def _salts(band: int) -> list[np.ndarray]:
+    """What tells a band's groups and subsets apart, for each subset."""
+    groups = np.arange(n_partitions(band) // SUBPARTS, dtype=np.uint64)
+    return [mix64(groups * np.uint64(64) + np.uint64(band) + np.uint64((k + 1) << 40)) for k in range(math.comb(SUBPARTS, LEFT_OUT))]
+
+
 def _enumerated(features: np.ndarray, level: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of all subsets in all groups of a band's partitions, which hold features, and the rarest feature's level."""
     n = n_partitions(band)
@@ -95,18 +103,17 @@ def _enumerated(features: np.ndarray, level: np.ndarray, band: int) -> tuple[np.
     sums, held, least = np.zeros(n, np.uint64), np.bincount(part, minlength=n) > 0, np.full(n, 255, np.uint8)
     np.add.at(sums, part, mix64(features ^ np.uint64(0x5851F42D4C957F2D)))
     np.minimum.at(least, part, level)
-    groups = np.arange(n // SUBPARTS, dtype=np.uint64)
     signed, filled, levels = [], [], []
-    for k, subset in enumerate(itertools.combinations(range(SUBPARTS), SUBPARTS - LEFT_OUT)):
-        total, some, low = np.zeros(len(groups), np.uint64), np.zeros(len(groups), bool), np.full(len(groups), 255, np.uint8)
-        for i in subset:
+    for salts, subset in zip(_salts(band), itertools.combinations(range(SUBPARTS), SUBPARTS - LEFT_OUT), strict=True):
+        total, some, low = sums[subset[0] :: SUBPARTS], held[subset[0] :: SUBPARTS], least[subset[0] :: SUBPARTS]
+        for i in subset[1:]:
             total = total * np.uint64(0x9E3779B97F4A7C15) + sums[i::SUBPARTS]
-            some |= held[i::SUBPARTS]
+            some = some | held[i::SUBPARTS]
             low = np.minimum(low, least[i::SUBPARTS])
-        signed.append(mix64(total ^ mix64(groups * np.uint64(64) + np.uint64(band) + np.uint64((k + 1) << 40))))
+        signed.append(total ^ salts)
         filled.append(some)
         levels.append(low)
-    return np.concatenate(signed), np.concatenate(filled), np.concatenate(levels)
+    return mix64(np.concatenate(signed)), np.concatenate(filled), np.concatenate(levels)
 
 
 def signatures(features: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -115,11 +122,12 @@ def signatures(features: np.ndarray, levels: np.ndarray) -> np.ndarray:
     for band in bands(len(features)):
         signed, filled, low = _enumerated(features, level, band)
         if np.count_nonzero(filled) > most:
-            signed, low = signed[filled], low[filled]
-            found.append(signed[np.lexsort((signed, low))[: most + max(1, len(features) // MORE)]])
+            # In order of level and signature, as one number; what it drops of a signature, the result drops too.
+            both = np.sort(low[filled].astype(np.uint64) << np.uint64(56) | signed[filled] >> np.uint64(8))
+            found.append((both[: most + max(1, len(features) // MORE)] & np.uint64((1 << 56) - 1)) >> np.uint64(8))
         else:
-            found.append(signed)
-    return np.concatenate(found) >> np.uint64(16)
+            found.append(signed >> np.uint64(16))
+    return np.concatenate(found)
 
 
 def _id_and_text(docs: DataFrame) -> DataFrame:
@@ -196,7 +204,7 @@ def shingle_sets(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             sizes, prints, firsts = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.unique(shingles(hashes.of(words(text.as_py())), width))
+                found = distinct(shingles(hashes.of(words(text.as_py())), width))
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 firsts.append(heads.setdefault(prints[-1], doc_id) if len(found) and doc_id is not None else None)
@@ -225,7 +233,7 @@ def _of_texts(width: int):
         hashes, seen = WordHashes(), set()
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if d is not None and len(found := np.unique(shingles(hashes.of(words(t.as_py())), width))):
+                if d is not None and len(found := distinct(shingles(hashes.of(words(t.as_py())), width))):
                     if (print_ := xxhash.xxh3_128_digest(found.tobytes())) not in seen:
                         seen.add(print_)
                         yield d, found
@@ -392,7 +400,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             ids, sets = [], []
             all_ids = batch.column(0).to_pylist()
             for i in np.flatnonzero(_held(bits, _id_hash(all_ids))):
-                if all_ids[i] is not None and len(found := np.unique(shingles(hashes.of(words(batch.column(1)[int(i)].as_py())), width))):
+                if all_ids[i] is not None and len(found := distinct(shingles(hashes.of(words(batch.column(1)[int(i)].as_py())), width))):
                     ids.append(all_ids[i])
                     sets.append(found.tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "features"])

@@ -102,3 +102,23 @@ def test_large_group_of_near_copies(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert partenum.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_signatures_come_by_level_then_value_and_sets_in_order():
+    rng = np.random.default_rng(3)
+    levels = rng.integers(0, 4, (2, 1 << partenum.COUNT_BITS)).astype(np.uint8)
+    for n in (0, 1, 2, 40, 300, 3000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        x[: n // 3] = x[n - n // 3 :]
+        features = partenum.distinct(x)
+        assert features.tolist() == sorted(set(x.tolist()))
+        if n < 2:
+            continue
+        level, expected, most = np.minimum(*(t[at] for t, at in zip(levels, partenum.places(features), strict=True))), [], partenum.CHANGED * (len(features) // 4)
+        for band in partenum.bands(len(features)):
+            signed, filled, low = partenum._enumerated(features, level, band)
+            if filled.sum() > most:
+                ordered = sorted(zip(low[filled].tolist(), signed[filled].tolist(), strict=True))
+                signed = [s for _, s in ordered[: most + max(1, len(features) // partenum.MORE)]]
+            expected += [int(s) >> 16 for s in signed]
+        assert partenum.signatures(features, levels).tolist() == expected
