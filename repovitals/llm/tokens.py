@@ -55,7 +55,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenize = self.tokenizer.model.tokenize
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):  # the library's own cache of words; pieces are kept here, so it is asked in vain
+            model._resize_cache(0)
+        self.tokenize = model.tokenize
         told = json.loads(self.tokenizer.to_str())
         pre = told.get("pre_tokenizer") or {}
         self.split = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not told["model"].get("dropout")

@@ -85,3 +85,32 @@ def test_tasks_of_other_operators_let_the_tokenizer_s_cache_go():
     task = lean(lambda batches: (x + 1 for x in batches))
     assert _encoders and list(task([1, 2])) == [2, 3] and not _encoders
     assert np.frombuffer(encoder(PATH).encode("a b"), "<u4").tolist() == PLAIN.encode("a b", add_special_tokens=False).ids
+
+
+def test_the_library_s_own_cache_of_words_is_not_used(monkeypatch):
+    """Pieces are asked for once, so the library would keep words in vain."""
+    from repovitals.llm.tokens import Encoder
+
+    sizes = []
+
+    class Model:
+        tokenize = None
+
+        def _resize_cache(self, n):
+            sizes.append(n)
+
+    class Spied:
+        def __init__(self, inner):
+            self.inner, self.model = inner, Model()
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    class Library:
+        @staticmethod
+        def from_file(path):
+            return Spied(Tokenizer.from_file(path))
+
+    monkeypatch.setattr("repovitals.llm.tokens.Tokenizer", Library)
+    Encoder(PATH)
+    assert sizes == [0]
