@@ -51,7 +51,8 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     instead_of: an earlier step that nothing reads any more once df is written; its files go at once.
 
     Unlike an executor-local checkpoint, lost executors don't lose it; unlike
-    checkpoint() it is columnar and computed once."""
+    checkpoint() it is columnar and computed once. The driver lets go of memory first."""
+    let_go()
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     if (old := getattr(instead_of, "step_path", None)) is not None:

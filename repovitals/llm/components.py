@@ -1,11 +1,42 @@
-"""Connected components of a table of links, by rounds of large and small stars."""
+"""Connected components of a table of links, by rounds of large and small stars.
+
+What has up to FEW links, at first or after some rounds, is one task's work in
+memory, with the same result: a round is some ten stages of all partitions,
+whose plans and tasks the driver keeps, however few the links are."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
+
+#: Links that one task takes: 16 MB, and some five times that while it works.
+FEW = 1_000_000
+
+
+def stars(links: np.ndarray) -> np.ndarray:
+    """links: a column (u, v) each. A column (node, smallest node that it reaches) for every node but the smallest ones."""
+    nodes, at = np.unique(links, return_inverse=True)
+    (u, v), root = at.reshape(links.shape), np.arange(len(nodes))
+    while True:  # every root that has a smaller neighbour goes below it, so their number halves at least
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return np.stack([nodes, nodes[root]])[:, root != np.arange(len(nodes))]
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if held := [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]:
+        yield pa.record_batch([pa.array(x) for x in stars(np.concatenate(held, 1))], ["u", "v"])
 
 
 def _step(links: DataFrame, large: bool) -> DataFrame:
@@ -30,6 +61,9 @@ def components(links: DataFrame) -> DataFrame:
         told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if told == before or not told[0]:
             break
+        if told[0] <= FEW:
+            now = written(now.coalesce(1).mapInArrow(lean(_in_one_task), "u long, v long"), "links", now)
+            break
         before = told
         now = written(_step(_step(now, True), False), "links", now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

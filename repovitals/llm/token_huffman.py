@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path, partitions
+from .common import drop_path, let_go, new_path, partitions
 from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 16
@@ -176,6 +176,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, max_bits:
     spark = docs.sparkSession
     size = max(encoder(tokenizer).size, end_id + 1)
     wide = id_type(size)
+    let_go()  # the driver doesn't encode
     kept = new_path(spark, "ids")
     encoded(docs, tokenizer, end_id, place).write.option("compression", "uncompressed").parquet(kept)
     ids = spark.read.parquet(kept)

@@ -114,3 +114,9 @@ def test_the_library_s_own_cache_of_words_is_not_used(monkeypatch):
     monkeypatch.setattr("repovitals.llm.tokens.Tokenizer", Library)
     Encoder(PATH)
     assert sizes == [0]
+
+
+def test_the_driver_keeps_no_tokenizer_once_it_has_the_size(spark):
+    path = new_path(spark, "test")
+    token_huffman.write(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path, PATH)
+    assert not _encoders
