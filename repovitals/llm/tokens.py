@@ -25,6 +25,8 @@ _OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 #: Marks that are a token of their own after letters.
 _MARKS = frozenset(".,:;!?|")
+#: What is neither white space nor a letter nor a number, and so is one token's stretch after a word.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Cache(dict):
@@ -44,8 +46,10 @@ class _Cache(dict):
         return value
 
     def mark(self, text: str):
-        """The value of a text that no space comes before."""
+        """The value of a text that no space comes before; all are forgotten at an eighth of `limit`."""
         if (value := self.marks.get(text)) is None:
+            if len(self.marks) >= max(1, self.limit // 8):
+                self.marks.clear()
             value = self.marks[text] = self.make(text)
         return value
 
@@ -82,15 +86,23 @@ class Encoder:
 
     def _encode(self, piece: str, spaced: bool = False) -> bytes:
         """The packed ids of a piece, after a space unless it begins with a line feed."""
-        if spaced and self.split and piece and piece[0] != "\n":
-            if piece.isascii():
-                if piece.isalpha() or piece.isdigit():  # one pre-token, whose bytes are shown as they are, but for the space
-                    return array(self.kind, [x.id for x in self.tokenize("\u0120" + piece)]).tobytes()
-                if piece[-1] in _MARKS and piece[:-1].isalpha():  # one pre-token and a mark, which is its own
-                    return self.pieces[piece[:-1]] + self.pieces.mark(piece[-1])
-            elif max(piece) <= "\xff" and piece.isalpha():
-                return self._packed(self._merge(" " + piece))
-            elif piece[-1] in _MARKS and piece[:-1].isalpha():
+        if spaced and self.split and piece:
+            plain = piece.isascii()
+            if plain and piece.isalpha():  # one pre-token, whose bytes are shown as they are, but for the space
+                return array(self.kind, [x.id for x in self.tokenize("\u0120" + piece)]).tobytes()
+            if plain or max(piece) <= "\xff":
+                line = piece[0] == "\n"
+                rest = piece[1:] if line else piece
+                word = rest.rstrip(_PUNCTUATION)
+                if word.isalpha() or word.isascii() and word.isdigit():  # a line feed, a word and its marks are a pre-token each
+                    if line:
+                        found = self.pieces.mark("\n") + self._packed(self._merge(word))
+                    elif len(word) == len(rest):
+                        return self._packed(self._merge(" " + word))
+                    else:
+                        found = self.pieces[word]
+                    return found + self.pieces.mark(rest[len(word) :]) if len(word) < len(rest) else found
+            elif piece[0] != "\n" and piece[-1] in _MARKS and piece[:-1].isalpha():
                 return self.pieces[piece[:-1]] + self.pieces.mark(piece[-1])
         if spaced and piece[:1] != "\n":
             piece = " " + piece

@@ -116,6 +116,19 @@ def test_the_library_s_own_cache_of_words_is_not_used(monkeypatch):
     assert sizes == [0]
 
 
+def test_the_library_is_asked_for_a_word_once_whatever_marks_come_after_it():
+    from repovitals.llm.tokens import Encoder
+
+    coder, asked = Encoder(PATH), []
+    ask = coder.tokenize
+    coder.tokenize = lambda x: asked.append(x) or ask(x)
+    coder.pieces.limit = 16
+    text = "a word*** word!!! word). wörd%% wörd 12%% 12\nWord?!\nWörd -- x_ ** don' d'' ª.. 5², é'a"
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert asked.count("Ġword") == asked.count("Ġ12") == asked.count("ĠwÃ¶rd") == 1
+    assert len(coder.pieces.marks) <= 2
+
+
 def test_the_driver_keeps_no_tokenizer_once_it_has_the_size(spark):
     path = new_path(spark, "test")
     token_huffman.write(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path, PATH)
